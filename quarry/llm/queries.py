@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from quarry.llm.byte_bpe import op8_byte_bpe
 from quarry.llm.mixing import OP7_SQL, op7_mixing
+from quarry.llm.near_dup import op2_near_dup
 from quarry.llm.token_count import op4_token_count
 from quarry.llm.token_store import op1_token_store
 
 QUERIES = {
     "op1_token_store": op1_token_store,
+    "op2_near_dup": op2_near_dup,
     "op4_token_count": op4_token_count,
     "op7_mixing": op7_mixing,
     "op8_byte_bpe": op8_byte_bpe,
