@@ -7,6 +7,7 @@ from quarry.llm.mixing import OP7_SQL, op7_mixing
 from quarry.llm.near_dup import op2_near_dup
 from quarry.llm.token_count import op4_token_count
 from quarry.llm.token_store import op1_token_store
+from quarry.llm.toxicity import op9_toxicity
 
 QUERIES = {
     "op1_token_store": op1_token_store,
@@ -14,6 +15,7 @@ QUERIES = {
     "op4_token_count": op4_token_count,
     "op7_mixing": op7_mixing,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLE_SQL = {"op7_mixing": OP7_SQL}
