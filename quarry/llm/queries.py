@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quarry.llm.ann import op10_ann
 from quarry.llm.byte_bpe import op8_byte_bpe
 from quarry.llm.mixing import OP7_SQL, op7_mixing
 from quarry.llm.near_dup import op2_near_dup
@@ -16,6 +17,7 @@ QUERIES = {
     "op7_mixing": op7_mixing,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_toxicity": op9_toxicity,
+    "op10_ann": op10_ann,
 }
 
 ORACLE_SQL = {"op7_mixing": OP7_SQL}
