@@ -4,14 +4,14 @@
    representatives go on.
 2. The signature has TREES orders of DEPTH values. In each order representatives are sorted; those that agree on the
    first BASE values form a region. A pair at similarity 0.8 shares a region in some order but for 3 in a million.
-3. Candidates are neighbours by longest common prefix: the next NEAR rows of the sorted region. In a region of at most
-   NEAR + 1 rows these are all its pairs; in a larger one the sort makes the depth adapt, as any sub-region of that size
-   lies together. Rows of larger regions are also paired with the region's hub at three depths, the member that shares
-   most regions, which is what copies of one original have in common. Very large regions sort in parts by deeper prefix.
+3. Candidates are neighbours by longest common prefix in the sorted region: in a region of at most NEAR + 1 rows all its
+   pairs; in a wider one, where the depth adapts, the next FEW rows, which agree to the greatest depth. Rows of wide
+   regions are also paired with the region's hub at three depths, the member that shares most regions, which is what
+   copies of one original have in common. Very large regions sort in parts by deeper prefix.
 4. Signatures discard pairs far below the threshold; the rest are confirmed on full sets.
-5. Links give components. Then the exact way for what step 3 leaves of regions above NEAR + 1 rows: members in different
-   components are compared in blocks by signature, and pairs that may reach the threshold are confirmed on full sets.
-   Pairs within a component need no comparison, since only components are asked for.
+5. Links give components. Then the exact way for what step 3 leaves of wide regions: members in different
+   components are compared in blocks on full sets. Pairs within a component need no comparison, since only components
+   are asked for.
 
 Defined results: texts without words, null or empty, link with nothing and have 0 shingles; a null doc_id links with
 nothing, has a null component and is kept; rows that repeat a doc_id are one document, which has the links of all its
@@ -33,12 +33,12 @@ from quarry.llm import common
 from quarry.llm.components import components
 from quarry.llm.shingles import MinHash, shingle_set
 
-TREES, DEPTH, BASE, NEAR = 24, 8, 4, 16
+TREES, DEPTH, BASE, NEAR, FEW = 24, 8, 4, 16, 2
 HUB_DEPTHS = (4, 6, 8)
 #: Rows of a region that are sorted as one.
 REGION = 4096
 #: Rows of a block when regions are compared in blocks.
-BLOCK = 512
+BLOCK = 1024
 KEY_BYTES = 2 * DEPTH
 
 
@@ -89,25 +89,25 @@ def _confirm(frames: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFr
         yield frame.loc[np.array(keep, bool), ["a", "b"]]
 
 
-def _across(frame: pd.DataFrame, least: int) -> pd.DataFrame:
-    """Pairs of a left row and any row of the block, in different components, that may reach the threshold.
-
-    A pair is given in the first order that has it in one region only."""
+def _across(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """The links between a left row and any other row of the block in a different component, by full sets."""
     left, right = frame[frame["left"]], frame[~frame["left"]]
-    if not len(left) or not len(right):
-        return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
-    tree = int(frame["tree"].iloc[0])
-    sl, sr = (np.frombuffer(b"".join(x["signature"]), "<u2").reshape(len(x), TREES, DEPTH) for x in (left, right))
-    pl, pr = (np.ascontiguousarray(x[:, :, :BASE]).view("<u8").reshape(len(x), TREES) for x in (sl, sr))
-    nl, nr, cl, cr = left["node"].to_numpy(), right["node"].to_numpy(), left["component"].to_numpy(), right["component"].to_numpy()
-    sl, sr = sl.reshape(len(sl), -1), sr.reshape(len(sr), -1)
-    a, b = [], []
-    for i in range(len(left)):
-        ok = np.flatnonzero(cr != cl[i])
-        ok = ok[(sr[ok] == sl[i]).sum(axis=1) >= least]
-        ok = ok[(pr[ok] == pl[i]).argmax(axis=1) == tree]
-        a.append(np.minimum(nl[i], nr[ok]))
-        b.append(np.maximum(nl[i], nr[ok]))
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    if len(left) and len(right):
+        sets = [np.frombuffer(x, "<u8") for x in right["hashes"]]
+        sizes = np.array([len(x) for x in sets])
+        starts = np.cumsum(sizes) - sizes
+        known, at = np.unique(np.concatenate(sets), return_inverse=True)
+        nodes, components = right["node"].to_numpy(), right["component"].to_numpy()
+        for node, component, x in zip(left["node"], left["component"], left["hashes"], strict=True):
+            own = np.frombuffer(x, "<u8")
+            place = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            marks = np.zeros(len(known), np.uint8)
+            marks[place[known[place] == own]] = 1
+            both = np.add.reduceat(marks[at], starts, dtype=np.int64)
+            ok = (100 * both >= percent * (len(own) + sizes - both)) & (components != component)
+            a.append(np.minimum(node, nodes[ok]))
+            b.append(np.maximum(node, nodes[ok]))
     return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
 
 
@@ -117,6 +117,7 @@ class Forest:
     def __init__(self, docs: DataFrame, k: int, percent: int):
         self.spark, self.k, self.percent = docs.sparkSession, k, percent
         self.paths: list[str] = []
+        self.large: list[str] = []
         common.ship(self.spark)
         self.docs = docs.select("doc_id", "text")
         named = self.docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
@@ -147,7 +148,8 @@ class Forest:
     def candidates(self) -> DataFrame:
         part = F.when(F.col("n") > REGION, F.xxhash64("key", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / REGION)))).otherwise(F.lit(0))
         ahead = Window.partitionBy("region", "part").orderBy("key", "node").rowsBetween(1, NEAR)
-        near = self.runs.withColumn("part", part).select("node", F.collect_list("node").over(ahead).alias("others")).select("node", F.explode("others").alias("other"))
+        near = self.runs.withColumn("part", part).select("node", F.collect_list("node").over(ahead).alias("others"), "n")
+        near = near.select("node", F.explode(F.when(F.col("n") > NEAR + 1, F.slice("others", 1, FEW)).otherwise(F.col("others"))).alias("other"))
         # hubs: the member that shares most regions, at each depth
         fame = self.wide.groupBy("node").agg(F.sum("n").alias("fame"))
         famed = self.wide.join(fame, "node").withColumn("depth", F.explode(F.array(*map(F.lit, HUB_DEPTHS))))
@@ -163,29 +165,40 @@ class Forest:
         both = pairs.join(a, "a").join(b, "b").filter(100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb")).select("a", "b", "sa", "sb")
         return self.settle(both.mapInPandas(partial(_alike, least=least_agreeing(self.percent)), "a long, b long").distinct())
 
+    def sets(self, nodes: DataFrame) -> DataFrame:
+        """The full sets of nodes, from their texts; dropped by drop_sets."""
+        used = self.settle(nodes.distinct())
+        texts = self.docs.join(common.small(used, 1_000_000), self.docs["doc_id"] == used["node"]).select("node", "text")
+        return common.settle(texts.mapInPandas(partial(_sets, k=self.k), "node long, hashes binary"), self.large)
+
+    def drop_sets(self) -> None:
+        common.drop(self.spark, self.large)
+
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs that full sets confirm."""
-        used = self.settle(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node"))
-        texts = self.docs.join(common.small(used, 1_000_000), self.docs["doc_id"] == used["node"]).select("node", "text")
-        sets = self.settle(texts.mapInPandas(partial(_sets, k=self.k), "node long, hashes binary"))
+        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("node")))
         a, b = (sets.select(F.col("node").alias(x), F.col("hashes").alias(f"h{x}")) for x in "ab")
         out = pairs.join(a, "a").join(b, "b").select("a", "b", "ha", "hb").mapInPandas(partial(_confirm, percent=self.percent), "a long, b long").distinct()
         done = self.settle(out)
-        common.drop(self.spark, [self.paths.pop(-2)])  # the sets
+        self.drop_sets()
         return done
 
     def across(self, found: DataFrame) -> DataFrame:
-        """Pairs in one region above NEAR + 1 rows, in different components, not compared in step 3 unless by chance."""
-        named = self.wide.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        # the component with most members of a region is the right side alone
-        heads = named.groupBy("region", "component").agg(F.count("*").alias("c")).groupBy("region").agg(F.max(F.struct("c", "component")).alias("main"), F.count("*").alias("parts"))
-        mixed = self.settle(named.join(heads.filter("parts > 1"), "region").select("region", "tree", "node", "component", F.col("main.component").alias("main"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-        signed = mixed.join(self.nodes.select("node", "signature"), "node").withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
+        """The links between components within one wide region, found in blocks of members."""
+        named = self.wide.join(common.small(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        # rows of the component with most members of a region are only ever compared with others'
+        sizes = named.groupBy("region", "component").agg(F.count("*").alias("c"))
+        heads = sizes.groupBy("region").agg(F.max(F.struct("c", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
+        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+        mixed = self.settle(named.join(heads, "region").select("region", "node", "component", (F.col("component") != F.col("main.component")).alias("minor"), blocks.alias("blocks")))
+        full = mixed.join(self.sets(mixed.select("node")), "node").withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
         each = F.explode(F.expr("sequence(0, blocks - 1)"))
-        left = signed.filter("component <> main").select("region", "tree", "node", "component", "signature", F.lit(True).alias("left"), F.col("own").alias("i"), each.alias("j"))
-        right = signed.select("region", "tree", "node", "component", "signature", F.lit(False).alias("left"), each.alias("i"), F.col("own").alias("j"))
-        pairs = left.union(right).groupBy("region", "i", "j").applyInPandas(partial(_across, least=least_agreeing(self.percent)), "a long, b long")
-        return pairs.distinct()
+        left = full.filter("minor").select("region", "node", "component", "hashes", F.lit(True).alias("left"), F.col("own").alias("i"), each.alias("j"))
+        right = full.select("region", "node", "component", "hashes", F.lit(False).alias("left"), each.alias("i"), F.col("own").alias("j"))
+        links = left.unionByName(right).groupBy("region", "i", "j").applyInPandas(partial(_across, percent=self.percent), "a long, b long").distinct()
+        done = self.settle(links)
+        self.drop_sets()
+        return done
 
 
 def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -193,13 +206,11 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     run = Forest(docs, k, percent)
     run.classes()
     run.regions()
-    tried = run.alike(run.candidates())
-    links = run.links(tried)
+    links = run.links(run.alike(run.candidates()))
     found = run.settle(components(links, run.paths))
-    rest = run.settle(run.alike(run.across(found).join(tried, ["a", "b"], "left_anti")))
-    if not rest.isEmpty():
-        links = links.union(run.links(rest))
-        found = run.settle(components(links, run.paths))
+    more = run.across(found)
+    if not more.isEmpty():
+        found = run.settle(components(links.union(more), run.paths))
     out = run.members.join(common.small(found), "node", "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("used"), F.coalesce("component", "node")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
