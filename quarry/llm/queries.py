@@ -6,6 +6,7 @@ from quarry.llm.ann import op10_ann
 from quarry.llm.byte_bpe import op8_byte_bpe
 from quarry.llm.mixing import OP7_SQL, op7_mixing
 from quarry.llm.near_dup import op2_near_dup
+from quarry.llm.pii import op3_pii
 from quarry.llm.quality import op5_quality
 from quarry.llm.secrets import op6_secrets
 from quarry.llm.token_count import op4_token_count
@@ -15,6 +16,7 @@ from quarry.llm.toxicity import op9_toxicity
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_near_dup": op2_near_dup,
+    "op3_pii": op3_pii,
     "op4_token_count": op4_token_count,
     "op5_quality": op5_quality,
     "op6_secrets": op6_secrets,
