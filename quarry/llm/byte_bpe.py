@@ -183,8 +183,8 @@ class Ranks:
         ends = np.cumsum(np.bincount(owner[kept], minlength=len(raw))) * 4
         return [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.bytes.__getitem__, ids.tolist()))
 
 
 @cache
@@ -197,40 +197,37 @@ def _memo(path: str) -> pretokens.Memo:
     return pretokens.Memo(ranks(path).encode)
 
 
-def encode(path: str, batch: list[str]) -> list[bytes]:
+def encode(path: str, batch: list[str]) -> list[np.ndarray]:
     """The ids of each text, each match of the pattern encoded separately."""
-    memo = _memo(path)
-    pieces = [pretokens.split(x) for x in batch]
-    memo.fill(set().union(*pieces))
-    return [b"".join(map(memo.__getitem__, p)) for p in pieces]
+    return pretokens.encode_texts(batch, _memo(path))
 
 
-def _digests(frames: Iterator[pd.DataFrame], path: str) -> Iterator[pd.DataFrame]:
+def _digests(frames: Iterator[pd.DataFrame], path: str, with_ids: bool) -> Iterator[pd.DataFrame]:
     for frame in common.chunks(frames):
-        ids = encode(path, common.texts(frame))
+        ids = [x.astype("<u4").tobytes() for x in encode(path, common.texts(frame))]
         vocab = ranks(path)
-        yield pd.DataFrame(
-            {
-                "doc_id": frame["doc_id"].to_numpy(),
-                "n_tokens": [len(x) // 4 for x in ids],
-                "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
-                "decoded_sha256": [hashlib.sha256(vocab.decode(x)).hexdigest() for x in ids],
-            }
-        )
-
-
-def digests(docs: DataFrame, vocab: str | None = None) -> DataFrame:
-    """doc_id, n_tokens and the digests of the ids and of the bytes that they decode to."""
+        out = {
+            "doc_id": frame["doc_id"].to_numpy(),
+            "n_tokens": [len(x) // 4 for x in ids],
+            "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
+            "decoded_sha256": [hashlib.sha256(vocab.decode(np.frombuffer(x, "<u4"))).hexdigest() for x in ids],
+        }
+        yield pd.DataFrame(out | {"ids": ids} if with_ids else out)
+
+
+def digests(docs: DataFrame, vocab: str | None = None, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, the digests of the ids and of the bytes that they decode to, and the ids' bytes if asked for."""
     common.ship(docs.sparkSession)
     # doc_id travels as text: a long column with nulls would become floats
     named = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    out = named.mapInPandas(partial(_digests, path=vocab or vocabulary()), "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
+    out = named.mapInPandas(partial(_digests, path=vocab or vocabulary(), with_ids=with_ids), schema)
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _ids(frames: Iterator[pd.DataFrame], path: str) -> Iterator[pd.DataFrame]:
     for frame in common.chunks(frames):
-        yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "ids": [np.frombuffer(x, "<u4").astype(np.int32) for x in encode(path, common.texts(frame))]})
+        yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "ids": [x.astype(np.int32) for x in encode(path, common.texts(frame))]})
 
 
 def encode_docs(docs: DataFrame, vocab: str | None = None) -> DataFrame:
@@ -244,7 +241,7 @@ def encode_docs(docs: DataFrame, vocab: str | None = None) -> DataFrame:
 def _texts(frames: Iterator[pd.DataFrame], path: str) -> Iterator[pd.DataFrame]:
     vocab = ranks(path)
     for frame in frames:
-        yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "text": [vocab.decode(np.asarray(x, "<u4").tobytes()).decode("utf-8", "replace") for x in frame["ids"]]})
+        yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "text": [vocab.decode(np.asarray(x)).decode("utf-8", "replace") for x in frame["ids"]]})
 
 
 def decode_docs(ids: DataFrame, vocab: str | None = None) -> DataFrame:

@@ -85,16 +85,32 @@ def thresholds(sizes: DataFrame, budgets: DataFrame, keep: list[str]) -> DataFra
     return state.select(*budgets.columns, F.when(F.col("budget") <= 0, F.lit(0).cast("long")).otherwise(below).alias("below"))
 
 
-def mix(docs: DataFrame, most: int = MOST) -> DataFrame:
-    """doc_id, source, size, source_size, target and times, how often the mix takes the document."""
+def planned(docs: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """The settled sizes of docs, and one row a source with its key, source_size, target, times and below."""
     keep: list[str] = []
-    sizes = common.settle(sized(docs), keep)
+    sizes = common.settle(sized(docs))
     plan = common.settle(targets(sizes, most), keep)
     plan = common.settle(thresholds(sizes, plan, keep))
+    common.drop(docs.sparkSession, keep)
+    return sizes, plan
+
+
+def mix(docs: DataFrame, most: int = MOST) -> DataFrame:
+    """doc_id, source, size, source_size, target and times, how often the mix takes the document."""
+    sizes, plan = planned(docs, most)
     taken = F.col("times") + (F.col("hash") < F.col("below")).cast("long")
     return sizes.join(common.small(plan), "key").select("doc_id", "source", "size", "source_size", "target", taken.alias("times"))
 
 
+def mixed(docs: DataFrame, most: int = MOST) -> DataFrame:
+    """The rows of docs as often as the mix takes them. The thresholds go to the rows; texts aren't shuffled for it."""
+    plan = planned(docs, most)[1].select(F.col("key").alias("key__"), F.col("times").alias("times__"), F.col("below").alias("below__"))
+    rows = docs.join(common.small(plan), key_of(docs["source"].cast("string")) == F.col("key__"))
+    taken = F.col("times__") + (hashed(docs["doc_id"]) < F.col("below__")).cast("long")
+    copies = F.sequence(F.lit(1).cast("long"), taken)
+    return rows.filter(taken > 0).withColumn("copy__", F.explode(copies)).drop("key__", "times__", "below__", "copy__")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(common.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 

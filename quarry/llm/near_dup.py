@@ -216,5 +216,23 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs without the documents that aren't the least of their group; a repeated doc_id stays once.
+
+    Only ids are joined with docs, so texts are shuffled only if the ids are too many to broadcast."""
+    found = groups(docs, k, percent)
+    paths: list[str] = []
+    gone = common.settle(found.filter(~F.col("kept")).select(F.col("doc_id").alias("gone__")).distinct(), paths)
+    twice = common.settle(found.filter(F.col("kept") & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("twice__")), paths)
+    rows = docs.join(common.small(gone), docs["doc_id"] == F.col("gone__"), "left_anti")
+    if twice.isEmpty():
+        return rows
+    twice = common.small(twice)
+    once = rows.join(twice, rows["doc_id"] == F.col("twice__"), "left_semi")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))
+    first = once.withColumn("place__", place).filter("place__ = 1").drop("place__")
+    return rows.join(twice, rows["doc_id"] == F.col("twice__"), "left_anti").unionByName(first)
+
+
 def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(common.table(spark, sf_dir, "documents"), k=4)

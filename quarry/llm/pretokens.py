@@ -7,11 +7,14 @@ import sys
 import unicodedata
 from collections.abc import Callable
 from functools import cache
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
 import regex
 
 #: Pieces that a memo holds before its older half is forgotten.
-MEMO_PIECES = 500_000
+MEMO_PIECES = 400_000
 
 
 @cache
@@ -96,3 +99,21 @@ class Memo(dict):
         if missing:
             new = sorted(missing)
             self.update(zip(new, self.encode(new), strict=True))
+
+
+def encode_texts(batch: list[str], memo: Memo) -> list[np.ndarray]:
+    """The ids of each text, from memoised pieces: Arrow finds the distinct pieces, and only these are looked up."""
+    pieces = [split(x) for x in batch]
+    found = pa.array(list(chain.from_iterable(pieces)), pa.string()).dictionary_encode()
+    distinct = found.dictionary.to_pylist()
+    memo.fill(set(distinct))
+    blobs = [memo[x] for x in distinct]
+    sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+    starts = np.cumsum(sizes) - sizes
+    at = found.indices.to_numpy()
+    n = sizes[at]
+    ends = np.cumsum(n)
+    total = int(ends[-1]) if len(ends) else 0
+    ids = np.frombuffer(b"".join(blobs), "<u4")[np.repeat(starts[at] - (ends - n), n) + np.arange(total)]
+    cuts = np.concatenate(([0], ends))[np.cumsum([0, *map(len, pieces)])]
+    return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]

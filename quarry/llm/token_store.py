@@ -35,6 +35,8 @@ from quarry.llm import common, pretokens
 HEAD = struct.Struct("<4sBBHIIQ")
 MAGIC = b"QTB1"
 BLOCK_IDS = 1 << 19
+#: Characters of text that are encoded at once.
+CHUNK_CHARS = 4_000_000
 BLOCKS_SCHEMA = "part int, block int, first long, n_docs long, n_ids long, bits int, payload binary"
 
 
@@ -122,46 +124,74 @@ def special(path: str) -> tuple[str, ...]:
     return tuple(x.content for x in library(path).get_added_tokens_decoder().values())
 
 
-def _encode(path: str, pieces: list[str]) -> list[bytes]:
-    return [struct.pack(f"<{len(x)}I", *x.ids) for x in library(path).encode_batch_fast(pieces, add_special_tokens=False)]
+def _encode(path: str, texts: list[str]) -> list[bytes]:
+    return [struct.pack(f"<{len(x)}I", *x.ids) for x in library(path).encode_batch_fast(texts, add_special_tokens=False)]
+
+
+#: Pieces that are given to the library as the lines of one text.
+LINES = 96
+
+
+@cache
+def _feed(path: str) -> int | None:
+    """The id of a line feed, if it is one token; as a piece of its own it then parts the pieces around it."""
+    ids = library(path).encode("\n", add_special_tokens=False).ids
+    return ids[0] if len(ids) == 1 else None
+
+
+def _encode_pieces(path: str, pieces: list[str]) -> list[bytes]:
+    """The ids of each piece. Pieces without white space at their end are encoded as lines, which the pattern keeps apart."""
+    feed = _feed(path)
+    lined = [x for x in pieces if feed is not None and not x[-1].isspace() and "\n" not in x]
+    found: dict[str, bytes] = {}
+    joined = library(path).encode_batch_fast(["\n".join(lined[i : i + LINES]) for i in range(0, len(lined), LINES)], add_special_tokens=False)
+    for i, line in zip(range(0, len(lined), LINES), joined, strict=True):
+        ids = np.array(line.ids, "<u4")
+        cuts = np.flatnonzero(ids == feed) * 4
+        raw = ids.tobytes()
+        found.update(zip(lined[i : i + LINES], [raw[a:b] for a, b in zip([0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)], strict=True)], strict=True))
+    rest = [x for x in pieces if x not in found]
+    found.update(zip(rest, _encode(path, rest), strict=True))
+    return [found[x] for x in pieces]
 
 
 @cache
 def _memo(path: str) -> pretokens.Memo:
-    return pretokens.Memo(partial(_encode, path))
+    return pretokens.Memo(partial(_encode_pieces, path))
 
 
-def encode(path: str, batch: list[str]) -> list[bytes]:
-    """Ids of each text as bytes of 32-bit integers. The library encodes each distinct piece once.
+def encode(path: str, batch: list[str]) -> list[np.ndarray]:
+    """The ids of each text. The library encodes each distinct piece once.
 
-    A byte-level vocabulary never merges across the pieces of its pattern, so the ids of the pieces are the text's."""
-    memo, marks = _memo(path), special(path)
+    A byte-level vocabulary never merges across the pieces of its pattern, so the ids of the pieces are the text's. Texts
+    that hold a special token's string are given to the library whole."""
+    marks = special(path)
     whole = [any(m in x for m in marks) for x in batch]
-    pieces = [None if w else pretokens.split(x) for x, w in zip(batch, whole, strict=True)]
-    memo.fill(set().union(*(p for p in pieces if p is not None)))
-    return [_encode(path, [x])[0] if p is None else b"".join(map(memo.__getitem__, p)) for x, p in zip(batch, pieces, strict=True)]
+    out = pretokens.encode_texts(["" if w else x for x, w in zip(batch, whole, strict=True)], _memo(path))
+    return [np.frombuffer(_encode(path, [x])[0], "<u4") if w else ids for x, w, ids in zip(batch, whole, out, strict=True)]
 
 
 def _write(frames: Iterator[pd.DataFrame], path: str, end_id: int, bits: int) -> Iterator[pd.DataFrame]:
-    part, first, block = TaskContext.get().partitionId(), 0, 0
-    tail = np.array([end_id], "<u4").tobytes()
+    part, first, block, n_ids = TaskContext.get().partitionId(), 0, 0, 0
+    tail = np.array([end_id], "<u4")
     names, lengths, held = [], [], []
 
     def out() -> pd.DataFrame:
-        nonlocal first, block
-        ids = np.frombuffer(b"".join(held), "<u4")
+        nonlocal first, block, n_ids
+        ids = np.concatenate(held)
         row = (part, block, first, len(names), len(ids), bits, to_block(names, lengths, ids, bits))
-        first, block = first + len(ids), block + 1
+        first, block, n_ids = first + len(ids), block + 1, 0
         for x in (names, lengths, held):
             x.clear()
         return pd.DataFrame([row], columns=["part", "block", "first", "n_docs", "n_ids", "bits", "payload"])
 
-    for frame in common.chunks(frames):
+    for frame in common.chunks(frames, most=CHUNK_CHARS):
         for name, ids in zip(frame["doc_id"].tolist(), encode(path, common.texts(frame)), strict=True):
             names.append(name)
-            held.append(ids + tail)
-            lengths.append(len(ids) // 4 + 1)
-            if sum(lengths) >= BLOCK_IDS:
+            held += (ids, tail)
+            lengths.append(len(ids) + 1)
+            n_ids += lengths[-1]
+            if n_ids >= BLOCK_IDS:
                 yield out()
     if names:
         yield out()
