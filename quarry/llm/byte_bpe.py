@@ -194,7 +194,8 @@ def ranks(path: str) -> Ranks:
 
 @cache
 def _memo(path: str) -> pretokens.Memo:
-    return pretokens.Memo(ranks(path).encode)
+    vocab = ranks(path)
+    return pretokens.Memo(lambda pieces: dict(zip(pieces, vocab.encode(pieces), strict=True)))
 
 
 def encode(path: str, batch: list[str]) -> list[np.ndarray]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import cache
 from itertools import chain
 
@@ -80,25 +80,26 @@ def split(text: str) -> list[str]:
 
 
 class Memo(dict):
-    """Encoded pieces by piece; bounded, in two generations, so that frequent pieces stay."""
+    """Encoded pieces by piece; bounded, in two generations, so that frequent pieces stay.
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = MEMO_PIECES):
+    encode maps distinct pieces to their encodings."""
+
+    def __init__(self, encode: Callable[[list[str]], dict], most: int = MEMO_PIECES):
         super().__init__()
         self.encode, self.most, self.old = encode, most, {}
 
-    def fill(self, pieces: set[str]) -> None:
-        """Makes all pieces present until the next fill."""
+    def fill(self, pieces: Iterable[str]) -> None:
+        """Makes all pieces, which are distinct, present until the next fill."""
         if len(self) > self.most:
             self.old = dict(self)
             self.clear()
-        missing = pieces - self.keys()
-        if self.old:
-            known = missing & self.old.keys()
-            self.update((x, self.old[x]) for x in known)
-            missing -= known
+        missing = [x for x in pieces if x not in self]
+        if missing and self.old:
+            known = {x: y for x in missing if (y := self.old.get(x)) is not None}
+            self.update(known)
+            missing = [x for x in missing if x not in known]
         if missing:
-            new = sorted(missing)
-            self.update(zip(new, self.encode(new), strict=True))
+            self.update(self.encode(missing))
 
 
 def encode_texts(batch: list[str], memo: Memo) -> list[np.ndarray]:
@@ -106,7 +107,7 @@ def encode_texts(batch: list[str], memo: Memo) -> list[np.ndarray]:
     pieces = [split(x) for x in batch]
     found = pa.array(list(chain.from_iterable(pieces)), pa.string()).dictionary_encode()
     distinct = found.dictionary.to_pylist()
-    memo.fill(set(distinct))
+    memo.fill(distinct)
     blobs = [memo[x] for x in distinct]
     sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
     starts = np.cumsum(sizes) - sizes

@@ -50,7 +50,7 @@ class Counter:
         as_is = model.encode("a  b ", out_type=str)
         self.cuts = "".join(as_is) == f"{MARK}a{MARK}{MARK}b{MARK}" and not any(MARK in x.lstrip(MARK) or "\n" in x for x in pieces)
         self.whole = self.prove(pieces) if self.cuts else {}
-        self.memo = pretokens.Memo(self.merge)
+        self.memo = pretokens.Memo(lambda rest: dict(zip(rest, self.merge(rest), strict=True)))
 
     def merge(self, segments: list[str]) -> list[int]:
         """Tokens of each segment as it stands inside a text."""

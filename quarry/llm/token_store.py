@@ -139,20 +139,22 @@ def _feed(path: str) -> int | None:
     return ids[0] if len(ids) == 1 else None
 
 
-def _encode_pieces(path: str, pieces: list[str]) -> list[bytes]:
+def _encode_pieces(path: str, pieces: list[str]) -> dict[str, bytes]:
     """The ids of each piece. Pieces without white space at their end are encoded as lines, which the pattern keeps apart."""
     feed = _feed(path)
-    lined = [x for x in pieces if feed is not None and not x[-1].isspace() and "\n" not in x]
+    lined = [x for x in pieces if not x[-1].isspace()] if feed is not None else []
     found: dict[str, bytes] = {}
     joined = library(path).encode_batch_fast(["\n".join(lined[i : i + LINES]) for i in range(0, len(lined), LINES)], add_special_tokens=False)
-    for i, line in zip(range(0, len(lined), LINES), joined, strict=True):
-        ids = np.array(line.ids, "<u4")
-        cuts = np.flatnonzero(ids == feed) * 4
-        raw = ids.tobytes()
-        found.update(zip(lined[i : i + LINES], [raw[a:b] for a, b in zip([0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)], strict=True)], strict=True))
-    rest = [x for x in pieces if x not in found]
+    raw = [np.array(x.ids, "<u4") for x in joined]
+    if raw:
+        end = np.array([feed], "<u4")
+        ids = np.concatenate([x for line in raw for x in (line, end)])
+        cuts = (np.flatnonzero(ids == feed) * 4).tolist()
+        flat = ids.tobytes()
+        found = {x: flat[a:b] for x, a, b in zip(lined, [0, *(c + 4 for c in cuts[:-1])], cuts, strict=True)}
+    rest = [x for x in pieces if x not in found] if len(found) < len(pieces) else []
     found.update(zip(rest, _encode(path, rest), strict=True))
-    return [found[x] for x in pieces]
+    return found
 
 
 @cache
