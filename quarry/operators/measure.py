@@ -60,10 +60,12 @@ def grade(score: Column) -> Column:
 
 def upper_median(rows: DataFrame, column: str) -> DataFrame:
     """One row: the element at place n // 2 of the ascending values, without interpolation; by counts, so nothing is gathered."""
-    n = rows.agg(F.count(column).alias("n"))
-    counts = rows.groupBy(column).agg(F.count("*").alias("c")).filter(F.col(column).isNotNull())
-    upto = F.sum("c").over(Window.orderBy(column))
-    return counts.withColumn("upto", upto).crossJoin(F.broadcast(n)).filter(F.col("upto") > F.floor(F.col("n") / 2)).agg(F.min(column).alias("median"))
+    values = rows.filter(F.col(column).isNotNull()).select(F.col(column).alias("value__"))
+    counts = values.groupBy("value__").agg(F.count("*").alias("count__"))
+    total = counts.agg(F.sum("count__").alias("total__"))
+    upto = F.sum("count__").over(Window.orderBy("value__"))
+    # the total is one row
+    return counts.withColumn("upto__", upto).crossJoin(F.broadcast(total)).filter(F.col("upto__") > F.floor(F.col("total__") / 2)).agg(F.min("value__").alias("median"))
 
 
 def group_similarity(vectors: DataFrame) -> DataFrame:
