@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from quarry.llm import common, pretokens
 
 NONE = np.int64(1 << 40)
+#: Half the pieces of the other memos, since encoding by rounds over a batch is cheap.
+MEMO_PIECES = 150_000
 
 
 def vocabulary() -> str:
@@ -195,7 +197,7 @@ def ranks(path: str) -> Ranks:
 @cache
 def _memo(path: str) -> pretokens.Memo:
     vocab = ranks(path)
-    return pretokens.Memo(lambda pieces: dict(zip(pieces, vocab.encode(pieces), strict=True)))
+    return pretokens.Memo(lambda pieces: dict(zip(pieces, vocab.encode(pieces), strict=True)), MEMO_PIECES)
 
 
 def encode(path: str, batch: list[str]) -> list[np.ndarray]:

@@ -16,7 +16,10 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 #: Characters of text that a Python worker handles at once.
-CHUNK_CHARS = 6_000_000
+CHUNK_CHARS = 2_000_000
+
+#: Bounds of an Arrow batch: whole texts are rows, so Spark's default of 10 000 may take much memory.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -27,7 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package, wherever the driver was started."""
+    """Lets Python workers import this package, wherever the driver was started, and bounds what they get at once.
+
+    A larger bound on batches in the session's settings is lowered; a smaller one stays."""
+    for key, value in BATCH.items():
+        now = spark.conf.get(key).rstrip("bB")
+        if not now.isdigit() or not 0 < int(now) <= int(value):
+            spark.conf.set(key, value)
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):

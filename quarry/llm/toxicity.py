@@ -59,7 +59,7 @@ class Machine:
     factors: np.ndarray
     memo: dict[str, tuple[int, ...]] = field(default_factory=dict)
 
-    MOST_WORDS = 500_000
+    MOST_WORDS = 200_000
 
     @cached_property
     def squares(self) -> np.ndarray:
@@ -92,18 +92,20 @@ class Machine:
 
 def choose(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     """The buckets with the largest likelihood ratios, in ascending order."""
-    flat = np.concatenate(rows) if rows else np.empty(0, np.int32)
-    toxic = np.repeat(labels, [len(x) for x in rows]) == 1
-    names, where = np.unique(flat, return_inverse=True)
-    n = np.bincount(where, minlength=len(names)).astype(float)
-    a = np.bincount(where[toxic], minlength=len(names)).astype(float)
+    seen, bad = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
+    for x, label in zip(rows, labels, strict=True):  # a row's buckets are distinct
+        seen[x] += 1
+        if label == 1:
+            bad[x] += 1
+    names = np.flatnonzero(seen >= LEAST)
+    n, a = seen[names].astype(float), bad[names].astype(float)
     total, positive = float(len(labels)), float((labels == 1).sum())
 
     def part(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
         return seen * np.log(np.where(seen > 0, seen, 1) / np.where(seen > 0, expected, 1))
 
     ratio = 2 * (part(a, n * positive / total) + part(n - a, n * (total - positive) / total) + part(positive - a, (total - n) * positive / total) + part(total - n - positive + a, (total - n) * (total - positive) / total))
-    ratio[(n < LEAST) | (ratio < CHANCE)] = -1
+    ratio[ratio < CHANCE] = -1
     best = np.lexsort((names, -ratio))[:FEATURES]
     return np.sort(names[best[ratio[best] > 0]])
 
@@ -113,7 +115,9 @@ def train(rows: list[np.ndarray], labels: np.ndarray, seed: int = 9) -> Machine:
     if not len(labels) or labels.min() == labels.max():
         return Machine({}, -np.inf if not len(labels) or labels.max() == 0 else 30.0, np.zeros(0), np.zeros((0, FACTORS)))
     chosen = choose(rows, labels)
-    inputs = [np.searchsorted(chosen, x[np.isin(x, chosen)]) for x in rows]
+    place = np.full(BUCKETS, -1, np.int32)
+    place[chosen] = np.arange(len(chosen))
+    inputs = [at[at >= 0] for at in (place[x] for x in rows)]
     rng = np.random.default_rng(seed)
     n = len(chosen)
     rate = labels.mean()
@@ -159,9 +163,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     share = 1 << 20 if count <= sample else (1 << 20) * sample // count
     picked = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share)
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").mapInPandas(_terms, "doc_id long, toxic int, terms array<int>")
-    got = rows.toArrow().combine_chunks()  # at most `sample` rows in expectation
+    got = rows.toArrow()  # at most `sample` rows in expectation
     order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
-    terms = got["terms"].to_pylist() if not len(got) else [np.asarray(x, np.int32) for x in got["terms"].to_numpy()]
+    # views of Arrow's own buffers, without copies
+    terms = [x for chunk in got["terms"].chunks if len(chunk) for x in np.split(chunk.flatten().to_numpy(), (chunk.offsets.to_numpy() - chunk.offsets[0].as_py())[1:-1])]
     return train([terms[i] for i in order], got["toxic"].to_numpy()[order].astype(float))
 
 
