@@ -105,15 +105,16 @@ def _segments(value: str, rank: dict[str, int]) -> list[list[tuple[int, float]]]
                     break
         if m := DATE.match(value, i):
             out[m.end()].append((i, math.log10(365 * 119 if m.end() - i > 4 else 119)))
-        # a unit said again and again
+        # a unit said again and again; where it is first said, to its very end too
         for unit in range(1, min(12, (n - i) // 2) + 1):
-            times = 1
-            while value.startswith(value[i : i + unit], i + times * unit):
+            said, times = value[i : i + unit], 1
+            first = i < unit or value[i - unit : i] != said
+            while value.startswith(said, i + times * unit) and (first or times * unit < LONGEST):
                 times += 1
-                if times >= 2 and times * unit >= 3:
-                    out[i + times * unit].append((i, _brute(value[i : i + unit]) + math.log10(times)))
-                if times * unit >= LONGEST:
-                    break
+                if times * unit >= 3 and times * unit <= LONGEST:
+                    out[i + times * unit].append((i, _brute(said) + math.log10(times)))
+            if times * unit > LONGEST:
+                out[i + times * unit].append((i, _brute(said) + math.log10(times)))
         # steps of one size through letters or digits
         if i + 2 < n and value[i].isalnum() and abs(step := ord(value[i + 1]) - ord(value[i])) <= 2:
             j = i + 1
