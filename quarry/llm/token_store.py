@@ -36,7 +36,7 @@ HEAD = struct.Struct("<4sBBHIIQ")
 MAGIC = b"QTB1"
 BLOCK_IDS = 1 << 19
 #: Characters of text that are encoded at once.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 8_000_000
 BLOCKS_SCHEMA = "part int, block int, first long, n_docs long, n_ids long, bits int, payload binary"
 
 
