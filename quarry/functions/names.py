@@ -66,7 +66,7 @@ def bibtex_fields(entry: Column) -> Column:
     """Lower-case field names to values of one BibTeX entry; empty values are dropped."""
     pattern = r"(\w+)\s*=\s*[{\"]([^{}\"]*)[}\"]"
     names = F.transform(F.regexp_extract_all(entry, F.lit(pattern), F.lit(1)), F.lower)
-    values = F.transform(F.regexp_extract_all(entry, F.lit(pattern), F.lit(2)), F.trim)
+    values = F.transform(F.regexp_extract_all(entry, F.lit(pattern), F.lit(2)), lambda x: F.trim(x))
     pairs = F.filter(F.arrays_zip(names.alias("k"), values.alias("v")), lambda x: x["v"] != "")
     return F.aggregate(pairs, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")), lambda m, x: F.when(F.map_contains_key(m, x["k"]), m).otherwise(F.map_concat(m, F.create_map(x["k"], x["v"]))))
 

@@ -26,7 +26,7 @@ def contained(queries: DataFrame, terms: DataFrame) -> DataFrame:
 def decomposed(text: Column, parity: bool = False) -> Column:
     """Parts of 6 characters or more of a query of 15 or more, split at conjunctions; parity splits inside words too."""
     words = r"\s*(?:and|or|与|和|及|以及)\s*" if parity else r"\s+(?:and|or)\s+|\s*(?:与|和|及|以及)\s*"
-    parts = F.filter(F.transform(F.split(text, words), F.trim), lambda x: F.length(x) >= 6)
+    parts = F.filter(F.transform(F.split(text, words), lambda x: F.trim(x)), lambda x: F.length(x) >= 6)
     return F.when((F.length(text) >= 15) & (F.size(parts) > 1), parts).otherwise(F.array().cast("array<string>"))
 
 
