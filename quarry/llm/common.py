@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -43,12 +45,20 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
 
+#: Scratch tables that this process has made and not dropped.
+_made: set[str] = set()
+
+
 def scratch_path(spark: SparkSession) -> str:
     """A new path in the folder that the cluster shares; one of our own only where none is set."""
     root = spark.conf.get("spark.checkpoint.dir", "")
     if not root:
-        root = f"file://{tempfile.gettempdir()}/quarry-scratch"
-    return f"{root.rstrip('/')}/quarry-{uuid.uuid4().hex}"
+        own = f"{tempfile.gettempdir()}/quarry-{os.getpid()}"
+        atexit.register(shutil.rmtree, own, True)
+        root = f"file://{own}"
+    path = f"{root.rstrip('/')}/quarry-{uuid.uuid4().hex}"
+    _made.add(path)
+    return path
 
 
 def settle(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -68,9 +78,15 @@ def drop(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _made.discard(path)
     paths.clear()
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes all scratch tables of this process. Results that still read one must have been written before."""
+    drop(spark, sorted(_made))
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df, a settled table, marked for broadcast if its counted rows are few; else a shuffle join is left to Spark."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
