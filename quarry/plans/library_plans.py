@@ -65,7 +65,7 @@ def s10(s, d):
     return t.turns(s, d).filter("role = 'user'").select("section_id", "chunk_idx", "text")
 
 
-@entry("S11_chunk_scan", f"WITH {t.CHUNKS} SELECT item_key, count(*) AS n, sum(length(text)) AS n_chars FROM chunks GROUP BY item_key")
+@entry("S11_chunk_scan", f"WITH {t.CHUNKS} SELECT item_key, count(*) AS n, sum(length(text))::BIGINT AS n_chars FROM chunks GROUP BY item_key")
 def s11(s, d):
     return t.chunks(s, d).groupBy("item_key").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("n_chars"))
 
@@ -105,16 +105,17 @@ def k8(s, d):
     return log.crossJoin(F.broadcast(last)).filter(F.col("ts").isNull() | (F.col("ts") >= F.col("last") - F.expr("INTERVAL 10 DAYS"))).select("trace_id")
 
 
-@entry("K10_synonyms", "SELECT term, list_sort(list(DISTINCT expansion)) AS expansions FROM (SELECT lang AS term, source AS expansion FROM documents UNION ALL SELECT 'en', 'english') GROUP BY term")
+@entry("K10_synonyms", "SELECT term, array_to_string(list_sort(list(DISTINCT expansion)), ',') AS expansions FROM (SELECT lang AS term, source AS expansion FROM documents UNION ALL SELECT 'en', 'english') GROUP BY term")
 def k10(s, d):
     old = t.table(s, d, "documents").select(F.col("lang").alias("term"), F.col("source").alias("expansion")).distinct()
     new = s.createDataFrame([("en", "english")], "term string, expansion string")
-    return old.union(new).groupBy("term").agg(F.array_sort(F.collect_set("expansion")).alias("expansions"))
+    return old.union(new).groupBy("term").agg(F.array_join(F.array_sort(F.collect_set("expansion")), ",").alias("expansions"))
 
 
-@entry("K12_merge_items", f"{I} SELECT doi AS keeper, list_sort(list(DISTINCT tag)) AS tags, list_sort(list(DISTINCT source)) AS collections, count(DISTINCT item_key) AS n_items FROM (SELECT *, unnest(tags) AS tag FROM items) WHERE doi IS NOT NULL GROUP BY doi")
+@entry("K12_merge_items", f"{I} SELECT doi AS keeper, array_to_string(list_sort(list(DISTINCT tag)), ',') AS tags, array_to_string(list_sort(list(DISTINCT source)), ',') AS collections, count(DISTINCT item_key) AS n_items FROM (SELECT *, unnest(tags) AS tag FROM items) WHERE doi IS NOT NULL GROUP BY doi")
 def k12(s, d):
-    return library.merged_items(t.items(s, d).filter("doi is not null").withColumn("keeper", F.col("doi")))
+    merged = library.merged_items(t.items(s, d).filter("doi is not null").withColumn("keeper", F.col("doi")))
+    return merged.withColumns({c: F.array_join(c, ",") for c in ("tags", "collections")})
 
 
 # --- cleaning ---
@@ -255,7 +256,7 @@ def q2(s, d):
     return expand.contained(t.passages(s, d), terms).select("query_id", "expansion")
 
 
-@entry("Q7_assemble", f"WITH {TERMS_SQL}, l AS (SELECT item_id AS query_id, text, 1.0 AS weight, 'original' AS layer, 0 AS o FROM benchmark UNION ALL SELECT item_id, expansion, 0.4, 'dictionary', 1 FROM benchmark, terms WHERE contains(lower(text), term) UNION ALL SELECT item_id, 't1', 0.3, 'user', 3 FROM benchmark) SELECT query_id, text, weight, layer FROM (SELECT *, row_number() OVER (PARTITION BY query_id, lower(text) ORDER BY o, text) AS n FROM l) WHERE n = 1")
+@entry("Q7_assemble", f"WITH {TERMS_SQL}, l AS (SELECT item_id AS query_id, text, 1.0 AS weight, 'original' AS layer, 0 AS o FROM benchmark UNION ALL SELECT item_id, expansion, 0.4, 'dictionary', 1 FROM benchmark, terms WHERE contains(lower(text), term) UNION ALL SELECT item_id, 't1', 0.3, 'user', 3 FROM benchmark) SELECT query_id, text, weight::DOUBLE AS weight, layer FROM (SELECT *, row_number() OVER (PARTITION BY query_id, lower(text) ORDER BY o, text) AS n FROM l) WHERE n = 1")
 def q7(s, d):
     terms = s.createDataFrame([("the", "T1"), ("tion", "T2"), ("chlich", "T3"), ("eau", "T4"), ("ción", "T5")], "term string, expansion string")
     p = t.passages(s, d)
@@ -293,7 +294,7 @@ def a1(s, d):
     return one.crossJoin(measure.upper_median(n, "n"))
 
 
-@entry("A2_top_papers", f"WITH {t.CHUNKS} SELECT item_key, count(*) AS n, sum(length(text)) AS n_chars FROM chunks GROUP BY item_key ORDER BY n DESC, item_key LIMIT 5")
+@entry("A2_top_papers", f"WITH {t.CHUNKS} SELECT item_key, count(*) AS n, sum(length(text))::BIGINT AS n_chars FROM chunks GROUP BY item_key ORDER BY n DESC, item_key LIMIT 5")
 def a2(s, d):
     return t.chunks(s, d).groupBy("item_key").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("n_chars")).orderBy(F.desc("n"), "item_key").limit(5)
 
@@ -382,9 +383,9 @@ def a28(s, d):
 NORM = "regexp_replace(translate(lower(title), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9]', '', 'g')"
 
 
-@entry("A21_duplicates", f"{I}, g AS (SELECT list_sort(list(DISTINCT item_key)) AS keys, true AS has FROM items WHERE doi IS NOT NULL GROUP BY doi UNION ALL SELECT list_sort(list(DISTINCT item_key)), bool_or(doi IS NOT NULL) FROM items WHERE length({NORM}) > 10 GROUP BY {NORM}) SELECT keys, CASE WHEN bool_or(has) THEN 'doi_match' ELSE 'title_match' END AS reason FROM g WHERE len(keys) > 1 GROUP BY keys")
+@entry("A21_duplicates", f"{I}, g AS (SELECT list_sort(list(DISTINCT item_key)) AS keys, true AS has FROM items WHERE doi IS NOT NULL GROUP BY doi UNION ALL SELECT list_sort(list(DISTINCT item_key)), bool_or(doi IS NOT NULL) FROM items WHERE length({NORM}) > 10 GROUP BY {NORM}) SELECT array_to_string(keys, ',') AS keys, CASE WHEN bool_or(has) THEN 'doi_match' ELSE 'title_match' END AS reason FROM g WHERE len(keys) > 1 GROUP BY g.keys")
 def a21(s, d):
-    return library.duplicate_groups(t.items(s, d), T.normalised_title(F.col("title")))
+    return library.duplicate_groups(t.items(s, d), T.normalised_title(F.col("title"))).withColumn("keys", F.array_join("keys", ","))
 
 
 @entry("A22_dedup", f"{I} SELECT item_key FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(doi, substr(title, 1, 50)) ORDER BY doc_id) AS n FROM items) WHERE n = 1")
@@ -480,10 +481,10 @@ def u4(s, d):
     return x.select(F.col("source").alias("tag"), F.col("doc_id").alias("o")).union(x.select("lang", "doc_id")).groupBy("tag").agg(F.min("o").alias("first_seen"))
 
 
-@entry("U5_edit_tags", f"{I} SELECT item_key, list_sort(list_filter(list_distinct(list_concat(tags, ['new', 'en'])), lambda x: x <> 'src3')) AS after FROM items")
+@entry("U5_edit_tags", f"{I} SELECT item_key, array_to_string(list_sort(list_filter(list_distinct(list_concat(tags, ['new', 'en'])), lambda x: x <> 'src3')), ',') AS after FROM items")
 def u5(s, d):
     e = library.edited_tags(F.col("tags"), F.array(F.lit("new"), F.lit("en")), F.array(F.lit("src3")))
-    return t.items(s, d).select("item_key", e["after"].alias("after"))
+    return t.items(s, d).select("item_key", F.array_join(e["after"], ",").alias("after"))
 
 
 # --- scalars ---
@@ -564,10 +565,10 @@ def r21(s, d):
     return t13(s, d).groupBy("stance").agg(F.count("*").alias("n"))
 
 
-@entry("T14_suggest_tags", "SELECT doc_id, list_filter(['idiot', 'the', 'eau'], lambda x: contains(lower(text), x)) AS tags FROM documents")
+@entry("T14_suggest_tags", "SELECT doc_id, array_to_string(list_filter(['idiot', 'the', 'eau'], lambda x: contains(lower(text), x)), ',') AS tags FROM documents")
 def t14(s, d):
     low = F.lower("text")
-    return t.table(s, d, "documents").select("doc_id", F.filter(F.array(*map(F.lit, ("idiot", "the", "eau"))), lambda x: low.contains(x)).alias("tags"))
+    return t.table(s, d, "documents").select("doc_id", F.array_join(F.filter(F.array(*map(F.lit, ("idiot", "the", "eau"))), lambda x: low.contains(x)), ",").alias("tags"))
 
 
 @entry("T8_stars", f"WITH {t.LOG} SELECT trace_id, CASE strategy WHEN 'click' THEN '★★★' WHEN 'purchase' THEN '★★' ELSE '★' END AS stars FROM log")

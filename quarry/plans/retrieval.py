@@ -253,7 +253,7 @@ def r20(s, d):
     return search.top(per, 5, "item_key").select("query_id", "item_key", F.col("rank").cast("long").alias("rank"))
 
 
-@entry("R25_review_evidence", f"WITH {t.CHUNKS}, {t.ITEMS} SELECT i.year, count(DISTINCT item_key) AS n_papers, count(*) AS n_passages, sum(length(text)) AS n_chars FROM (SELECT *, row_number() OVER (PARTITION BY item_key ORDER BY chunk_idx) AS n FROM chunks) JOIN items i USING (item_key) WHERE n <= 3 GROUP BY i.year")
+@entry("R25_review_evidence", f"WITH {t.CHUNKS}, {t.ITEMS} SELECT i.year, count(DISTINCT item_key) AS n_papers, count(*) AS n_passages, sum(length(text))::BIGINT AS n_chars FROM (SELECT *, row_number() OVER (PARTITION BY item_key ORDER BY chunk_idx) AS n FROM chunks) JOIN items i USING (item_key) WHERE n <= 3 GROUP BY i.year")
 def r25(s, d):
     w = Window.partitionBy("item_key").orderBy("chunk_idx")
     first = t.chunks(s, d).withColumn("n", F.row_number().over(w)).filter("n <= 3")
@@ -272,7 +272,7 @@ LISTS_SQL = """lists AS (SELECT * FROM (SELECT 1 AS list_order, 'a' AS source, r
 keyed AS (SELECT *, coalesce('doi:' || lower(nullif(trim(doi), '')), 'title:' || substr(lower(trim(title)), 1, 120)) AS merge_key FROM lists)"""
 
 
-@entry("R11_consolidate", f"WITH {t.ITEMS}, {LISTS_SQL} SELECT merge_key, round(sum(1 / (60 + rank)), 6) AS score, max(version) AS citation_count, list_sort(list(DISTINCT source)) AS sources FROM keyed GROUP BY merge_key")
+@entry("R11_consolidate", f"WITH {t.ITEMS}, {LISTS_SQL} SELECT merge_key, round(sum(1 / (60 + rank)), 6) AS score, max(version) AS citation_count, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources FROM keyed GROUP BY merge_key")
 def r11(s, d):
     from quarry.functions.names import merge_key
 
@@ -281,7 +281,7 @@ def r11(s, d):
     a = i.filter("doc_id % 2 = 0").withColumns({"list_order": F.lit(1), "rank": F.row_number().over(w.orderBy("doc_id"))}).withColumn("source", F.lit("a"))
     b = i.filter("doc_id % 3 = 0").withColumns({"list_order": F.lit(2), "rank": F.row_number().over(w.orderBy(F.desc("doc_id")))}).withColumn("source", F.lit("b"))
     lists = a.unionByName(b).withColumns({"merge_key": merge_key(F.col("doi"), F.col("source"), F.lit(None).cast("string"), F.col("title")), "publisher": F.col("lang"), "citation_count": F.col("version")})
-    return search.consolidated(lists).select("merge_key", F.round("score", 6).alias("score"), "citation_count", "sources")
+    return search.consolidated(lists).select("merge_key", F.round("score", 6).alias("score"), "citation_count", F.array_join("sources", ",").alias("sources"))
 
 
 QRELS_SQL = ", qrels AS (SELECT b.item_id AS query_id, d.doc_id::VARCHAR AS item_key FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text))"
