@@ -31,7 +31,7 @@ from quarry.llm import common
 BOOKS, WORDS, BEAM = 24, 64, 4
 SAMPLE = 10_000
 ROUNDS = 2
-RERANK = 192
+RERANK = 128
 CHUNK_ROWS = 8192
 QUERY_BLOCK = 1024
 
@@ -166,6 +166,7 @@ def index(vectors: DataFrame, keep: list[str]) -> tuple[DataFrame, Quantiser | N
     q = train(np.array([x for x in held if len(x) == d]))
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common.enter("ann")
         for frame in frames:
             for i in range(0, len(frame), CHUNK_ROWS):
                 part = frame.iloc[i : i + CHUNK_ROWS]

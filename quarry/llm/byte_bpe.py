@@ -200,12 +200,16 @@ def _memo(path: str) -> pretokens.Memo:
     return pretokens.Memo(lambda pieces: dict(zip(pieces, vocab.encode(pieces), strict=True)), MEMO_PIECES)
 
 
+common.forgets("byte_bpe", _memo.cache_clear)
+
+
 def encode(path: str, batch: list[str]) -> list[np.ndarray]:
     """The ids of each text, each match of the pattern encoded separately."""
     return pretokens.encode_texts(batch, _memo(path))
 
 
 def _digests(frames: Iterator[pd.DataFrame], path: str, with_ids: bool) -> Iterator[pd.DataFrame]:
+    common.enter("byte_bpe")
     for frame in common.chunks(frames):
         ids = [x.astype("<u4").tobytes() for x in encode(path, common.texts(frame))]
         vocab = ranks(path)
@@ -229,6 +233,7 @@ def digests(docs: DataFrame, vocab: str | None = None, with_ids: bool = False) -
 
 
 def _ids(frames: Iterator[pd.DataFrame], path: str) -> Iterator[pd.DataFrame]:
+    common.enter("byte_bpe")
     for frame in common.chunks(frames):
         yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "ids": [x.astype(np.int32) for x in encode(path, common.texts(frame))]})
 

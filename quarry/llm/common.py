@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import shutil
 import tempfile
@@ -11,6 +13,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +34,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Arrow's own pool keeps what was freed; the system's gives it back.
+WORKER_ENV = {"ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def ship(spark: SparkSession) -> None:
     """Lets Python workers import this package, wherever the driver was started, and bounds what they get at once.
 
@@ -43,6 +50,8 @@ def ship(spark: SparkSession) -> None:
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    for key, value in WORKER_ENV.items():
+        env.setdefault(key, value)
 
 
 #: Scratch tables that this process has made and not dropped.
@@ -92,6 +101,29 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+_holder = ""
+_forget: dict[str, list[Callable[[], object]]] = {}
+
+
+def forgets(op: str, *clear: Callable[[], object]) -> None:
+    """Names what clears the caches that an operator keeps in a Python worker."""
+    _forget.setdefault(op, []).extend(clear)
+
+
+def enter(op: str) -> None:
+    """Called first in a worker: when another operator ran there before, its caches go and the memory is given back."""
+    global _holder
+    if _holder not in ("", op):
+        for clear in _forget.get(_holder, ()):
+            clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+    _holder = op
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once a row; inlined into a lambda it would be computed for each element."""
     return F.element_at(F.transform(F.array(value), body), 1)

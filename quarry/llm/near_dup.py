@@ -54,6 +54,7 @@ def least_agreeing(percent: int) -> int:
 
 
 def _sign(frames: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
+    common.enter("near_dup")
     for frame in common.chunks(frames):
         sizes, digests, signatures = [], [], []
         for name, text in zip(frame["doc_id"].tolist(), common.texts(frame), strict=True):
@@ -66,6 +67,7 @@ def _sign(frames: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
 
 
 def _sets(frames: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
+    common.enter("near_dup")
     for frame in common.chunks(frames):
         yield pd.DataFrame({"node": frame["node"].to_numpy(), "hashes": [shingle_set(x, k).tobytes() for x in common.texts(frame)]})
 

@@ -195,7 +195,11 @@ def show(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
+common.forgets("secrets", costly.cache_clear, words.cache_clear)
+
+
 def _scan(frames: Iterator[pd.DataFrame], path: str) -> Iterator[pd.DataFrame]:
+    common.enter("secrets")
     for frame in common.chunks(frames):
         rows = []
         for name, text in zip(frame["doc_id"].tolist(), common.texts(frame), strict=True):

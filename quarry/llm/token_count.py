@@ -86,7 +86,11 @@ def counter(path: str) -> Counter:
     return Counter(path)
 
 
+common.forgets("token_count", counter.cache_clear)
+
+
 def _count(frames: Iterator[pd.DataFrame], path: str) -> Iterator[pd.DataFrame]:
+    common.enter("token_count")
     for frame in common.chunks(frames):
         yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "n_bytes": frame["n_bytes"].to_numpy(), "n_tokens": counter(path).count(common.texts(frame))})
 

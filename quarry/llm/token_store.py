@@ -162,6 +162,9 @@ def _memo(path: str) -> pretokens.Memo:
     return pretokens.Memo(partial(_encode_pieces, path))
 
 
+common.forgets("token_store", _memo.cache_clear)
+
+
 def encode(path: str, batch: list[str]) -> list[np.ndarray]:
     """The ids of each text. The library encodes each distinct piece once.
 
@@ -174,6 +177,7 @@ def encode(path: str, batch: list[str]) -> list[np.ndarray]:
 
 
 def _write(frames: Iterator[pd.DataFrame], path: str, end_id: int, bits: int) -> Iterator[pd.DataFrame]:
+    common.enter("token_store")
     part, first, block, n_ids = TaskContext.get().partitionId(), 0, 0, 0
     tail = np.array([end_id], "<u4")
     names, lengths, held = [], [], []

@@ -150,6 +150,7 @@ def train(rows: list[np.ndarray], labels: np.ndarray, seed: int = 9) -> Machine:
 
 
 def _terms(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    common.enter("toxicity")
     for frame in common.chunks(frames):
         terms = [np.unique(np.fromiter({b for w in set(WORDS.findall(x.lower())) for b in buckets(w)}, np.int32)) for x in common.texts(frame)]
         yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "toxic": frame["toxic"].to_numpy(), "terms": terms})
@@ -172,6 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
 
 def score(machine: Machine, text: Column) -> Column:
     def scores(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        common.enter("toxicity")
         for part in parts:
             yield pd.Series([machine.score(x) for x in part.tolist()], dtype=float)
 

@@ -41,3 +41,16 @@ def test_let_evaluates_once(spark):
 def test_batches_are_bounded(spark):
     common.ship(spark)
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 2000
+
+
+def test_caches_go_when_another_operator_enters(monkeypatch):
+    gone = []
+    monkeypatch.setattr(common, "_holder", "")
+    monkeypatch.setattr(common, "_forget", {})
+    common.forgets("a", lambda: gone.append("a"))
+    for op in ("a", "a", "b", "b"):
+        common.enter(op)
+    assert gone == ["a"]
+    common.enter("a")
+    common.enter("c")
+    assert gone == ["a", "a"]
