@@ -18,33 +18,34 @@ QUERY_BLOCK = 1024
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """token, chunk_id, item_key, tf."""
-    rows = chunks.select("chunk_id", "item_key", F.explode(T.tokens(F.col("text"))).alias("token"))
-    return rows.groupBy("token", "chunk_id", "item_key").agg(F.count("*").alias("tf"))
+    """token, chunk_id, item_key, tf, dl: dl is the chunk's number of tokens, carried so that scoring needs no other join."""
+    split = chunks.select("chunk_id", "item_key", T.tokens(F.col("text")).alias("tokens"))
+    rows = split.select("chunk_id", "item_key", F.size("tokens").alias("dl"), F.explode("tokens").alias("token"))
+    return rows.groupBy("token", "chunk_id", "item_key", "dl").agg(F.count("*").alias("tf"))
 
 
-def doc_stats(chunks: DataFrame) -> DataFrame:
-    """chunk_id, dl: every chunk, those without tokens too."""
-    return chunks.select("chunk_id", F.coalesce(F.size(T.tokens(F.col("text"))), F.lit(0)).alias("dl"))
+def totals(chunks: DataFrame) -> DataFrame:
+    """One row: n, the number of chunks, those without tokens too, and avgdl, their mean number of tokens."""
+    return chunks.agg(F.count("*").alias("n"), F.avg(F.coalesce(F.size(T.tokens(F.col("text"))), F.lit(0))).alias("avgdl"))
 
 
-def idf(posted: DataFrame, stats: DataFrame) -> DataFrame:
+def idf(posted: DataFrame, total: DataFrame) -> DataFrame:
     """token, df, idf: negative values become EPSILON times the mean over the vocabulary."""
-    n = stats.agg(F.count("*").alias("n"))
     df = posted.groupBy("token").agg(F.count("*").alias("df"))
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    # n and the mean are single rows
-    scored = df.crossJoin(F.broadcast(n)).select("token", "df", raw.alias("raw"))
+    # the totals and the mean are single rows
+    scored = df.crossJoin(F.broadcast(total.select("n"))).select("token", "df", raw.alias("raw"))
     mean = scored.agg(F.avg("raw").alias("mean"))
     return scored.crossJoin(F.broadcast(mean)).select("token", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25(queries: DataFrame, posted: DataFrame, stats: DataFrame) -> DataFrame:
-    """query_id, chunk_id, item_key, score above 0, of queries (query_id, text); repeated query tokens count each time."""
-    mean = F.broadcast(stats.agg(F.avg("dl").alias("avgdl")))
+def bm25(queries: DataFrame, posted: DataFrame, total: DataFrame) -> DataFrame:
+    """query_id, chunk_id, item_key, score above 0, of queries (query_id, text); repeated query tokens count each time.
+
+    posted and total are read several times: store them (sinks.write_index) where more than one batch is asked."""
     asked = queries.select("query_id", F.explode(T.tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
-    weighed = asked.join(idf(posted, stats), "token")
-    hits = posted.join(weighed, "token").join(stats, "chunk_id").crossJoin(mean)
+    weighed = asked.join(idf(posted, total), "token")
+    hits = posted.join(weighed, "token").crossJoin(F.broadcast(total.select("avgdl")))
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("query_id", "chunk_id", "item_key").agg(F.sum(part).alias("score")).filter("score > 0")
 

@@ -56,7 +56,7 @@ def r23(s, d):
 @entry("R24_reading_note", f"WITH {t.HITS} SELECT item_key, query_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id, item_key ORDER BY round(score, 9) DESC, chunk_id) AS n FROM hits WHERE query_id < 6) WHERE n <= 3")
 def r24(s, d):
     c = t.chunks(s, d)
-    hits = search.bm25(t.passages(s, d).filter("query_id < 6"), search.postings(c), search.doc_stats(c))
+    hits = search.bm25(t.passages(s, d).filter("query_id < 6"), search.postings(c), search.totals(c))
     n = F.row_number().over(Window.partitionBy("query_id", "item_key").orderBy(F.round("score", 9).desc(), "chunk_id"))
     return hits.withColumn("n", n).filter("n <= 3").select("item_key", "query_id", "chunk_id")
 

@@ -23,7 +23,7 @@ def entry(name: str, sql: str | None = None):  # noqa: ANN201
 
 def _hits(s: SparkSession, d: str) -> DataFrame:
     c = t.chunks(s, d)
-    return search.bm25(t.passages(s, d), search.postings(c), search.doc_stats(c))
+    return search.bm25(t.passages(s, d), search.postings(c), search.totals(c))
 
 
 def _best(s: SparkSession, d: str) -> DataFrame:
@@ -153,7 +153,7 @@ def r1(s, d):
 @entry("R2_bm25_build", f"WITH {t.POSTINGS} SELECT token, df, round(idf, 6) AS idf FROM idf")
 def r2(s, d):
     c = t.chunks(s, d)
-    return search.idf(search.postings(c), search.doc_stats(c)).select("token", "df", F.round("idf", 6).alias("idf"))
+    return search.idf(search.postings(c), search.totals(c)).select("token", "df", F.round("idf", 6).alias("idf"))
 
 
 @entry("R3_bm25_topk", f"WITH {t.HITS} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM best WHERE rank <= 20")
@@ -249,7 +249,7 @@ def r14(s, d):
 def r20(s, d):
     q = t.passages(s, d).select("query_id", F.posexplode(T.sentences(F.col("text"))).alias("i", "text")).filter("length(text) >= 10").select((F.col("query_id") * 1000 + F.col("i")).alias("query_id"), "text")
     c = t.chunks(s, d)
-    per = search.bm25(q, search.postings(c), search.doc_stats(c)).groupBy("query_id", "item_key").agg(F.max("score").alias("score"))
+    per = search.bm25(q, search.postings(c), search.totals(c)).groupBy("query_id", "item_key").agg(F.max("score").alias("score"))
     return search.top(per, 5, "item_key").select("query_id", "item_key", F.col("rank").cast("long").alias("rank"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PARTS = 64
@@ -35,3 +35,14 @@ def append_traces(traces: DataFrame, path: str) -> None:
 def save_manifest(manifest: DataFrame, path: str, model: str, chunking: str) -> None:
     """item_key, version, with the embedding model and chunking version they were indexed with."""
     manifest.select("item_key", "version", F.lit(model).alias("embedding_model"), F.lit(chunking).alias("chunking_version")).write.mode("overwrite").parquet(path)
+
+
+def write_index(posted: DataFrame, total: DataFrame, path: str) -> None:
+    """The sparse index: postings in folders by a hash of the token, and the totals."""
+    part = F.pmod(F.xxhash64("token"), F.lit(PARTS)).cast("int")
+    posted.withColumn("part", part).repartition("part").write.partitionBy("part").mode("overwrite").parquet(f"{path}/postings")
+    total.write.mode("overwrite").parquet(f"{path}/totals")
+
+
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/postings").drop("part"), spark.read.parquet(f"{path}/totals")

@@ -19,7 +19,7 @@ def test_rrf_and_ties(spark):
 
 def test_negative_idf_is_floored(spark):
     chunks = spark.createDataFrame([("1", "a", "common rare"), ("2", "a", "common"), ("3", "a", "other words here")], "chunk_id string, item_key string, text string")
-    got = {r.token: r.idf for r in search.idf(search.postings(chunks), search.doc_stats(chunks)).collect()}
+    got = {r.token: r.idf for r in search.idf(search.postings(chunks), search.totals(chunks)).collect()}
     raw = {t: np.log(3 - n + 0.5) - np.log(n + 0.5) for t, n in (("common", 2), ("rare", 1), ("other", 1), ("words", 1), ("here", 1))}
     assert abs(got["common"] - 0.25 * np.mean(list(raw.values()))) < 1e-12
 
