@@ -3,11 +3,14 @@
 A vector is the sum of one codeword from each of BOOKS full-dimensional codebooks. The books start as residual k-means on
 a bounded sample (SAMPLE rows at most in expectation) and are refined in turns: encode by beam search, then solve for all
 codewords together by least squares. Every row is encoded by beam search over what remains after each book, and stored
-with its codes, the squared norm of its reconstruction and the original vector.
+with its codes, the squared norm of its reconstruction, the distance that the reconstruction misses it by and the original
+vector.
 
 A query makes a table of its products with all codewords; a row's approximate distance is its norm less twice the sum of
-its codes' entries. In each chunk of rows the RERANK best are measured exactly in double precision, and the best k of all
-chunks are the answer. Queries go in blocks of QUERY_BLOCK, whose tables are all that is sent to the executors.
+its codes' entries. In each chunk of rows the RERANK best are measured exactly in double precision; then so is every other
+row that can be among the best k, its approximate distance less what its reconstruction misses being no more than the k-th
+best measured so far. So the answer is that of brute force, however close rows lie to each other. Queries go in blocks of
+QUERY_BLOCK, whose tables are all that is sent to the executors.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and rows with a null id, take no
 part; nor do vectors of another length than most of the sample. Ties go to the smaller id, within a chunk too, so a
@@ -34,6 +37,8 @@ ROUNDS = 2
 RERANK = 128
 CHUNK_ROWS = 8192
 QUERY_BLOCK = 1024
+#: Pairs of a query and a row that are measured at once.
+PAIRS = 1 << 17
 
 
 def usable(v: Column) -> Column:
@@ -123,17 +128,18 @@ class Best:
         self.far = np.full((len(ids), k), np.inf)
         self.who = np.full((len(ids), k), np.iinfo(np.int64).max)
 
-    def add(self, far: np.ndarray, who: np.ndarray) -> None:
-        far, who = np.concatenate((self.far, far), axis=1), np.concatenate((self.who, who), axis=1)
+    def add(self, far: np.ndarray, who: np.ndarray, of: slice = slice(None)) -> None:
+        """Rows of the queries `of`."""
+        far, who = np.concatenate((self.far[of], far), axis=1), np.concatenate((self.who[of], who), axis=1)
         order = np.lexsort((who, far), axis=1)[:, : self.k]
-        self.far, self.who = np.take_along_axis(far, order, 1), np.take_along_axis(who, order, 1)
+        self.far[of], self.who[of] = np.take_along_axis(far, order, 1), np.take_along_axis(who, order, 1)
 
     def frame(self) -> pd.DataFrame:
         ok = np.isfinite(self.far)
         return pd.DataFrame({"query_id": np.repeat(self.ids, self.k).reshape(ok.shape)[ok], "vec_id": self.who[ok], "score": self.far[ok]})
 
 
-def nearest_in_chunk(q: Quantiser, ids: np.ndarray, queries: np.ndarray, tables: np.ndarray, rows: np.ndarray, codes: np.ndarray, norms: np.ndarray, vectors: np.ndarray, best: Best, rerank: int) -> None:
+def nearest_in_chunk(q: Quantiser, ids: np.ndarray, queries: np.ndarray, tables: np.ndarray, rows: np.ndarray, codes: np.ndarray, norms: np.ndarray, misses: np.ndarray, vectors: np.ndarray, best: Best, rerank: int) -> None:
     """rows are in ascending order, so that of equal approximate distances the smallest ids are taken."""
     near = np.broadcast_to(norms.astype(np.float32), (len(ids), len(rows))).copy()
     for b in range(codes.shape[1]):
@@ -148,16 +154,41 @@ def nearest_in_chunk(q: Quantiser, ids: np.ndarray, queries: np.ndarray, tables:
     who = rows[take]
     far[who == ids[:, None]] = np.inf
     best.add(far, who)
+    # the sums above are of single precision: no sum is further off than `loose`
+    size = norms.max() + 2 * np.abs(tables).max(axis=2).sum(axis=1, dtype=np.float64)
+    loose = (codes.shape[1] + 4) * float(np.finfo(np.float32).eps) * (size + 1) + 1e-9 * (queries**2).sum(axis=1)
+    own = (queries**2).sum(axis=1)[:, None]
+    open_ = (near <= (best.far[:, -1:] + misses) ** 2 * (1 + 1e-9) + loose[:, None] - own) & np.isfinite(near)
+    np.put_along_axis(open_, take, False, axis=1)
+    # products in double precision rule out most of them before they are measured
+    some = np.flatnonzero(open_.any(axis=0))
+    rows, vectors, open_ = rows[some], vectors[some], open_[:, some]
+    size = own + (vectors**2).sum(axis=1)
+    open_ &= size - 2 * queries @ vectors.T <= best.far[:, -1:] ** 2 * (1 + 1e-9) + 1e-11 * size
+    left = open_.sum(axis=1)
+    start = 0
+    while start < len(ids):
+        # as many queries as have PAIRS pairs, one at least
+        stop = start + max(1, int(np.searchsorted(np.cumsum(left[start:]), PAIRS, side="right")))
+        at, row = np.nonzero(open_[start:stop])
+        if len(at):
+            part = np.concatenate([np.sqrt(((vectors[row[i : i + PAIRS]] - queries[start + at[i : i + PAIRS]]) ** 2).sum(axis=1)) for i in range(0, len(at), PAIRS)])
+            place = np.arange(len(at)) - np.concatenate(([0], np.cumsum(left[start:stop])))[at]
+            far = np.full((stop - start, int(left[start:stop].max())), np.inf)
+            who = np.full(far.shape, np.iinfo(np.int64).max)
+            far[at, place], who[at, place] = part, rows[row]
+            best.add(far, who, slice(start, stop))
+        start = stop
 
 
 def index(vectors: DataFrame, keep: list[str]) -> tuple[DataFrame, Quantiser | None]:
-    """The settled index (vec_id, codes, norm, embedding) of all usable rows, and its quantiser."""
+    """The settled index (vec_id, codes, norm, miss, embedding) of all usable rows, and its quantiser."""
     common.ship(vectors.sparkSession)
     good = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     count = good.count()
     share = 1 << 20 if count <= SAMPLE else (1 << 20) * SAMPLE // count
     sample = good.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < share).orderBy("vec_id", "embedding").toArrow()["embedding"].combine_chunks()
-    schema = "vec_id long, codes binary, norm double, embedding array<double>"
+    schema = "vec_id long, codes binary, norm double, miss double, embedding array<double>"
     if not len(sample):
         return vectors.sparkSession.createDataFrame([], schema), None
     held = [np.asarray(x) for x in sample.to_numpy(zero_copy_only=False)]
@@ -170,8 +201,11 @@ def index(vectors: DataFrame, keep: list[str]) -> tuple[DataFrame, Quantiser | N
         for frame in frames:
             for i in range(0, len(frame), CHUNK_ROWS):
                 part = frame.iloc[i : i + CHUNK_ROWS]
-                codes = q.encode(np.stack(part["embedding"].to_numpy()))
-                yield pd.DataFrame({"vec_id": part["vec_id"].to_numpy(), "codes": [x.tobytes() for x in codes], "norm": (q.decode(codes) ** 2).sum(axis=1), "embedding": part["embedding"].to_numpy()})
+                x = np.stack(part["embedding"].to_numpy())
+                codes = q.encode(x)
+                near = q.decode(codes)
+                miss = np.sqrt(((x - near) ** 2).sum(axis=1))
+                yield pd.DataFrame({"vec_id": part["vec_id"].to_numpy(), "codes": [c.tobytes() for c in codes], "norm": (near**2).sum(axis=1), "miss": miss, "embedding": part["embedding"].to_numpy()})
 
     return common.settle(good.filter(F.size("embedding") == d).mapInPandas(encode, schema), keep), q
 
@@ -186,7 +220,7 @@ def _block(q: Quantiser, rows: DataFrame, ids: np.ndarray, queries: np.ndarray,
             for i in range(0, len(frame), CHUNK_ROWS):
                 part = frame.iloc[i : i + CHUNK_ROWS]
                 codes = np.frombuffer(b"".join(part["codes"]), np.uint8).reshape(len(part), -1)
-                nearest_in_chunk(q, ids, queries, tables, part["vec_id"].to_numpy(), codes, part["norm"].to_numpy(), np.stack(part["embedding"].to_numpy()), best, rerank)
+                nearest_in_chunk(q, ids, queries, tables, part["vec_id"].to_numpy(), codes, part["norm"].to_numpy(), part["miss"].to_numpy(), np.stack(part["embedding"].to_numpy()), best, rerank)
         yield best.frame()
 
     return rows.mapInPandas(search, "query_id long, vec_id long, score double")

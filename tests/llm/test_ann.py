@@ -70,3 +70,16 @@ def test_beam_beats_greedy():
     q = ann.train(x)
     lost = [((x - q.decode(q.encode(x, beam))) ** 2).sum() for beam in (1, 8)]
     assert lost[1] < lost[0]
+
+
+def test_near_copies_in_a_hot_cluster(spark, tmp_path):
+    """A third of the rows lie closer together than the quantiser resolves; a chunk holds more of them than RERANK."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6000, 16))
+    x[1::3] = x[1] + rng.normal(size=(2000, 16)) * 0.004
+    data = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = {}
+    for r in ann.op10_ann(spark, save(spark, tmp_path, data)).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    want = exact(data)
+    assert got == {q: [v for v, _ in found] for q, found in want.items()}
