@@ -4,8 +4,9 @@ Each text gives five transformed statistics: log mean word length, root of the s
 share of capitals, share of repeated lines; as whole numbers of 1/SCALE, so that sums are exact in any order. In each
 group, a language and source, a minimum-covariance-determinant estimate is made of the rows that pass the base rules:
 start from medians and median deviations, then concentrate STEPS times, each time taking the mean and covariance of the
-share HALF of rows that are nearest; scale by the median distance, and estimate once more from all rows within the
-chi-square bound of 97.5 %. FLOOR is the least spread of a statistic, without which one that is nearly always 0 would
+nearest (n + P + 1) / 2 of n rows, where rows tied at the last place share what weight is left, so that copies of one page
+come in by no more than that; scale by the median distance, and estimate once more from all rows within the chi-square
+bound of 97.5 %. The covariance of the nearest half is widened by CONSISTENT. FLOOR is the least spread of a statistic, without which one that is nearly always 0 would
 have none. A row is an outlier if its squared Mahalanobis distance is above CUT.
 
 Groups of fewer than LEAST_ROWS rows are pooled by language, and if still fewer, over all; below LEAST_POOL rows there is
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import common
@@ -34,7 +35,9 @@ LEAST_WORDS = 50
 P = 5
 SCALE = 1024
 FLOOR = (0.10, 0.05, 0.06, 0.45, 0.12)
-HALF, STEPS = 0.75, 4
+STEPS = 4
+#: Of normal rows in P dimensions, the covariance over that of the nearest half: 0.5 / P(chi-square of P + 2 <= MEDIAN_5).
+CONSISTENT = 1.9126
 #: Chi-square of five degrees: median, and the bound of 97.5 %.
 MEDIAN_5, INNER_5 = 4.351, 12.833
 CUT = 30.0
@@ -127,16 +130,31 @@ def factored(params: DataFrame, extra: list[str]) -> DataFrame:
     return out.select("group", *extra, *(f"m{k}" for k in range(P)), *(f"w{i}{j}" for i, j in _triangle()))
 
 
-def moments(rows: DataFrame) -> DataFrame:
-    """group, m0.. and c00.. of rows, floors included; sums of whole numbers, so exact."""
-    n = F.count("*").alias("n")
-    sums = [F.sum(f"x{k}").alias(f"s{k}") for k in range(P)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i, j in _triangle()]
-    means = {f"m{k}": F.col(f"s{k}") / F.col("n") / SCALE for k in range(P)}
-    out = rows.groupBy("group").agg(n, *sums).withColumns(means)
-    cov = {f"c{i}{j}": F.col(f"q{i}{j}") / F.col("n") / SCALE**2 - F.col(f"m{i}") * F.col(f"m{j}") + F.lit(FLOOR[i] ** 2 if i == j else 0.0) for i, j in _triangle()}
+def moments(rows: DataFrame, wider: float = 1.0) -> DataFrame:
+    """group, m0.. and c00.. of rows up to `bound`, those at it with the weight `share`; floors included.
+
+    Sums are of whole numbers, so exact."""
+    x = {"n": F.lit(1)} | {f"s{k}": F.col(f"x{k}") for k in range(P)} | {f"q{i}{j}": F.col(f"x{i}") * F.col(f"x{j}") for i, j in _triangle()}
+    inner = [F.coalesce(F.sum(F.when(F.col("far") < F.col("bound"), v)), F.lit(0)).alias(f"{k}_in") for k, v in x.items()]
+    edge = [F.coalesce(F.sum(F.when(F.col("far") == F.col("bound"), v)), F.lit(0)).alias(f"{k}_at") for k, v in x.items()]
+    out = rows.groupBy("group").agg(F.first("share").alias("share"), *inner, *edge)
+    out = out.withColumns({k: F.col(f"{k}_in") + F.col("share") * F.col(f"{k}_at") for k in x})
+    out = out.withColumns({f"m{k}": F.col(f"s{k}") / F.col("n") / SCALE for k in range(P)})
+    cov = {f"c{i}{j}": (F.col(f"q{i}{j}") / F.col("n") / SCALE**2 - F.col(f"m{i}") * F.col(f"m{j}")) * wider + F.lit(FLOOR[i] ** 2 if i == j else 0.0) for i, j in _triangle()}
     return out.withColumns(cov)
 
 
+def nearest_half(far: DataFrame) -> DataFrame:
+    """group, the distance `bound` of the last of a group's nearest (n + P + 1) / 2 rows, and the weight `share` of those at it."""
+    by = Window.partitionBy("group")
+    up = F.sum("n").over(by.orderBy("far").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # at most STEP * MOST + 1 distances a group
+    held = far.groupBy("group", "far").agg(F.count("*").alias("n")).withColumns({"up": up, "all": F.sum("n").over(by)})
+    half = F.least(F.col("all"), F.floor((F.col("all") + P + 1) / 2))
+    last = held.withColumn("left", half - F.col("up") + F.col("n")).filter((F.col("left") > 0) & (F.col("left") <= F.col("n")))
+    return last.select("group", F.col("far").alias("bound"), (F.col("left") / F.col("n")).alias("share"))
+
+
 def grouped(rows: DataFrame, keep: list[str]) -> DataFrame:
     """lang, source to group: the pair, its language's pool, the pool of all, or none."""
     pairs = common.settle(rows.groupBy("lang", "source").agg(F.count("*").alias("n")), keep)
@@ -170,11 +188,11 @@ def judged(docs: DataFrame) -> DataFrame:
     params = settled(factored(spread.withColumns(start | {f"m{k}": F.col(f"m{k}") / SCALE for k in range(P)}), []))
     for _ in range(STEPS):
         far = common.settle(rows.join(params, "group").select("group", *(f"x{k}" for k in range(P)), distance(quantised=True).alias("far")), keep)
-        near = settled(far.groupBy("group").agg(F.percentile("far", F.lit(HALF)).alias("bound")))
-        params = settled(factored(moments(far.join(near, "group").filter("far <= bound")), []))
+        near = settled(nearest_half(far))
+        params = settled(factored(moments(far.join(near, "group").filter("far <= bound"), CONSISTENT), []))
     far = common.settle(rows.join(params, "group").select("group", *(f"x{k}" for k in range(P)), distance(quantised=True).alias("far")), keep)
     # a step's middle, so that a median of 0 doesn't scale everything away
-    near = settled(far.groupBy("group").agg(((F.percentile("far", F.lit(0.5)) + 0.5) / MEDIAN_5 * INNER_5).alias("bound")))
+    near = settled(far.groupBy("group").agg(((F.percentile("far", F.lit(0.5)) + 0.5) / MEDIAN_5 * INNER_5).alias("bound"), F.lit(1.0).alias("share")))
     params = settled(factored(moments(far.join(near, "group").filter("far <= bound")), []))
     known = groups.join(params.withColumnRenamed("group", "g"), F.col("group") == F.col("g"), "left").withColumnsRenamed({"lang": "lang_", "source": "source_"})
     known = common.small(common.settle(known.drop("group", "g"), keep), GROUPS)

@@ -60,6 +60,18 @@ def test_estimates_resist_a_third_of_outliers(spark):
     assert all(got[i].kept for i in range(300)) and not any(got[1000 + i].kept for i in range(70))
 
 
+def test_copies_of_a_junk_page(spark):
+    """Identical junk rows as a third and as 40 % of a group."""
+    rng = random.Random(6)
+    rows = []
+    for source, n in (("third", 150), ("more", 200)):
+        junk = " ".join(f"{x}|||" for x in fixtures.words(rng, 100).split())
+        rows += [fixtures.row(i, fixtures.words(rng, 100), "en", source) for i in range(300)]
+        rows += [fixtures.row(1000, junk, "en", source) for _ in range(n)]
+    got = quality.judged(fixtures.frame(spark, rows)).collect()
+    assert all(r.kept == (r.doc_id < 1000) for r in got)
+
+
 def test_cholesky(spark):
     rng = np.random.default_rng(1)
     a = rng.normal(size=(quality.P, quality.P))
