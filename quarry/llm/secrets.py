@@ -185,8 +185,8 @@ def guess_spans(text: str, path: str) -> list[tuple[int, int, int]]:
     out = []
     for m in CONTEXT.finditer(text):
         value = m[1].rstrip(TRIM)
-        # a plain lower-case or capitalised word is prose, whatever its cost
-        if len(value) >= 6 and not value.replace("-", "").isalpha() and costly(value, path):
+        # words of prose too are costed: those of the dictionary are cheap
+        if len(value) >= 6 and costly(value, path):
             out.append((m.start(1), 3, m.start(1) + len(value)))
     return out
 

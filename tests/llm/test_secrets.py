@@ -87,3 +87,10 @@ def test_query(spark, tmp_path):
         assert set(filter(None, shown.split(","))) <= set(g.spans.split(","))
     assert "guess:" in by_id[104].spans and TEXTS[4][int(re.findall(r"guess:(\d+)", by_id[104].spans)[0]) :].startswith("x7Kq")
     assert S.op6_secrets(spark, fixtures.save(spark, tmp_path / "b", [])).collect() == []
+
+
+@pytest.mark.parametrize("value", ["QwXzPtRkLmNbVcYhGd", "zkqjwvxhgpfbtn", "gravel-tundra-cobalt-walnut"])
+def test_values_of_letters_are_costed(value):
+    text = f"the password is {value} here"
+    assert S.guess_spans(text, S.vocabulary()) == [(16, 3, 16 + len(value))]
+    assert S.guess_spans("the password is required here, a token embedding and the secret ingredient", S.vocabulary()) == []
