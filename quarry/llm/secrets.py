@@ -4,7 +4,7 @@ Base kinds, leftmost and non-overlapping each: `assign` (a credential word, a se
 more), `access` (AKIA keys of 18 or more) and `hex` (runs of 16 or more). Matches that fail their length are dropped
 after they have been consumed.
 
-`guess`: a value in a credential context (CONTEXT) whose cheapest segmentation still takes 10^LEAST guesses or more. The
+`guess`: a value in a credential context (CONTEXT, then SIGNED or BARE) whose cheapest segmentation still takes 10^LEAST guesses or more. The
 segmentation is a dynamic program over the value's positions. A segment is a dictionary word in any case or with common
 letter swaps (its rank, times its spellings), a date, a repeated unit, an alphabetic or numeric run in steps, a walk over
 neighbouring keys, or a brute-force span; the cost of a password is the product of its segments' guesses times the
@@ -41,12 +41,13 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 
-#: Words after which a value may be a credential, up to three plain words and a separator before it.
-CONTEXT = re.compile(
-    r"""(?i:\b(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|api[_-]?key|access[_-]?key|credentials?|auth|bearer|login|private[_-]?key))\b"""
-    r"""["']?(?:\x20(?i:is|was|for|to|the|my|your))?\x20*(?:[:=]|\x20)\x20*["']?([^\s"'<>,;]{6,})""",
-    re.ASCII,
-)
+#: Words after which a value may be a credential, alone or as a part of a name joined by underscores or hyphens.
+CONTEXT = re.compile(r"(?i:(?<![A-Za-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|pin|secret|token|api[_-]?key|access[_-]?key|credentials?|auth|bearer|login|private[_-]?key)(?![A-Za-z0-9]))", re.ASCII)
+_GAP, _VALUE = r"[\x20\t-\r]", r"""["']?([^\s"'<>,;]{6,})"""
+_NAME = r"""(?:[_-][A-Za-z0-9]{1,24}){0,3}["']?"""
+#: What may follow such a word: up to three plain words and a separator, or white space with up to three words of a list.
+SIGNED = re.compile(rf"(?i:{_NAME}(?:{_GAP}{{1,40}}[A-Za-z]{{1,24}}){{0,3}}?(?:{_GAP}{{0,40}}[:=]{_GAP}{{0,40}}|{_GAP}{{1,40}}(?:is|was){_GAP}{{1,40}})){_VALUE}", re.ASCII)
+BARE = re.compile(rf"(?i:{_NAME}(?:{_GAP}{{1,40}}(?:is|was|for|to|the|my|your)){{0,3}}{_GAP}{{1,40}}){_VALUE}", re.ASCII)
 TRIM = ".!?)]}"
 #: Guesses, as a power of ten, that a credential takes at least.
 LEAST = 10.0
@@ -182,13 +183,24 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def guess_spans(text: str, path: str) -> list[tuple[int, int, int]]:
-    out = []
-    for m in CONTEXT.finditer(text):
-        value = m[1].rstrip(TRIM)
-        # words of prose too are costed: those of the dictionary are cheap
-        if len(value) >= 6 and costly(value, path):
-            out.append((m.start(1), 3, m.start(1) + len(value)))
-    return out
+    """(start, kind, end) of the costly values; of values that end together, the shortest."""
+    out: dict[int, int] = {}
+    closed = 0
+    # the next context word is sought just after the last one, which may be what follows it
+    for word in CONTEXT.finditer(text):
+        if word.start() < closed:
+            continue
+        for after in (SIGNED, BARE):
+            if m := after.match(text, word.end()):
+                value = m[1].rstrip(TRIM)
+                # words of prose too are costed: those of the dictionary are cheap
+                if len(value) >= 6 and costly(value, path):
+                    start, end = m.start(1), m.start(1) + len(value)
+                    out[end] = max(start, out.get(end, 0))
+                    if after is SIGNED:
+                        closed = end
+                        break
+    return sorted((start, 3, end) for end, start in out.items())
 
 
 def show(spans: list[tuple[int, int, int]]) -> str:

@@ -94,3 +94,12 @@ def test_values_of_letters_are_costed(value):
     text = f"the password is {value} here"
     assert S.guess_spans(text, S.vocabulary()) == [(16, 3, 16 + len(value))]
     assert S.guess_spans("the password is required here, a token embedding and the secret ingredient", S.vocabulary()) == []
+
+
+@pytest.mark.parametrize(
+    "before",
+    ["DB_PASSWORD=", "AWS_SECRET_ACCESS_KEY=", "client_secret: ", "password for the database is ", "login password: ", "secret password: ", "auth token: ", "auth token=", "password:\t", "password\n", "token is:\r\n"],
+)
+def test_contexts(before):
+    value = "x7Kq!9vR2mP#"
+    assert S.guess_spans(f"a {before}{value} z", S.vocabulary()) == [(2 + len(before), 3, 2 + len(before) + len(value))]
