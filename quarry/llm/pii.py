@@ -1,7 +1,8 @@
 """Format-preserving pseudonyms for personal data (operator 3), in DataFrame functions alone.
 
 Kinds: e-mail addresses, payment cards (Luhn), IBANs (mod 97), US social security numbers (valid areas, groups and
-serials), IPv4 addresses, telephone numbers, and calendar dates from 1900 to 2099-12-30. A value that fails its kind's
+serials), IPv4 addresses, telephone numbers, and calendar dates from 1900 to 2099-12-30 as
+yyyy-mm-dd, yyyy/mm/dd or day first (month-first ones whose day is above 12 stay as they are). A value that fails its kind's
 validation stays as it is. A valid one is permuted within its format by a keyed Feistel network of ROUNDS rounds, so its
 length, separators and letter case stay, check digits are valid again, dates are dates, and equal values have equal
 pseudonyms in all documents; with the key the permutation can be undone.
@@ -28,6 +29,14 @@ from pyspark.sql import functions as F
 from quarry.llm import common
 
 ROUNDS = 6
+#: Lengths of IBANs by country.
+LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+#: IBANs of their country's length; others may have any, and take what is behind them if it looks alike.
+IBAN = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in LENGTHS.items())
 #: For tests and the query; production passes its own.
 DEMO_KEY = "quarry-demo-key"
 
@@ -35,8 +44,8 @@ DEMO_KEY = "quarry-demo-key"
 # that Java runs them without recursion or second tries
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "date": r"(?<![A-Za-z0-9./-])(?:(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])|(?:0[1-9]|[12][0-9]|3[01])[./](?:0[1-9]|1[0-2])[./](?:19|20)[0-9]{2})(?![A-Za-z0-9/-]|\.[0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{IBAN}|[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?)(?![A-Za-z0-9])",
+    "date": r"(?<![A-Za-z0-9./-])(?:(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])|(?:19|20)[0-9]{2}/(?:0[1-9]|1[0-2])/(?:0[1-9]|[12][0-9]|3[01])|(?:0[1-9]|[12][0-9]|3[01])[./](?:0[1-9]|1[0-2])[./](?:19|20)[0-9]{2})(?![A-Za-z0-9/-]|\.[0-9])",
     "ip": r"(?<![A-Za-z0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![A-Za-z0-9]|\.[0-9])",
     "ssn": r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9]|-[0-9])",
     "phone": r"(?<![A-Za-z0-9+])(?:(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|(?:\+[0-9]{1,3}[ .-])?[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5})(?![A-Za-z0-9]|[.-][0-9])",
@@ -117,7 +126,7 @@ def _bare(x: Column) -> Column:
     """Without separators (s), and what comes before the part that is permuted (head)."""
     v = x["v"]
     digits = F.regexp_replace(v, DIGIT, "")
-    day = F.when(v.contains("-"), F.try_to_timestamp(v, F.lit("yyyy-MM-dd"))).otherwise(F.try_to_timestamp(F.translate(v, "/", "."), F.lit("dd.MM.yyyy"))).cast("date")
+    day = F.when(v.rlike("^[0-9]{4}"), F.try_to_timestamp(F.translate(v, "/", "-"), F.lit("yyyy-MM-dd"))).otherwise(F.try_to_timestamp(F.translate(v, "/", "."), F.lit("dd.MM.yyyy"))).cast("date")
     s = _by_kind(x, email=v, phone=v, card=digits, iban=F.regexp_replace(v, " ", ""), ssn=v, ip=v, date=F.datediff(day, F.to_date(F.lit(FIRST_DAY))).cast("string"))
     head = _by_kind(x, phone=F.regexp_extract(v, r"^\+(?:1|[2-9][0-9]?)(?=[^0-9])|^\+[0-9]", 0))
     return F.struct(v.alias("v"), x["kind"].alias("kind"), s.alias("s"), F.coalesce(head, F.lit("")).alias("head"))
@@ -198,7 +207,7 @@ def _shown(x: Column) -> Column:
         phone=F.concat(x["head"], laid(rest, x["t"], DIGIT)),
         ssn=F.format_string("%03d-%02d-%04d", area + F.when(area >= 666, 1).otherwise(0), a % 99 + 1, b + 1),
         ip=F.concat_ws(".", F.floor(a / 256), a % 256, F.floor(b / 256), b % 256),
-        date=F.when(v.contains("-"), F.date_format(day, "yyyy-MM-dd")).otherwise(F.concat(F.date_format(day, "dd"), mark, F.date_format(day, "MM"), mark, F.date_format(day, "yyyy"))),
+        date=F.when(v.contains("-"), F.date_format(day, "yyyy-MM-dd")).when(v.rlike("^[0-9]{4}"), F.date_format(day, "yyyy/MM/dd")).otherwise(F.concat(F.date_format(day, "dd"), mark, F.date_format(day, "MM"), mark, F.date_format(day, "yyyy"))),
     )
     return F.struct(v.alias("v"), x["kind"].alias("kind"), F.when(x["a"].isNull(), v).otherwise(F.coalesce(p, v)).alias("p"))
 

@@ -143,3 +143,14 @@ def test_edges(spark, tmp_path):
     assert sorted(map(str, got.collect())) == sorted(map(str, fixtures.frame(spark, rows).collect()))
     assert pii.op3_pii(spark, fixtures.save(spark, tmp_path / "a", [])).collect() == []
     assert pii.op3_pii(spark, fixtures.save(spark, tmp_path / "b", rows)).count() == len(rows)
+
+
+def test_iban_before_a_word_and_dates_with_slashes(spark):
+    rows = [(1, "AT611904300234573201 BIC"), (2, "BE68 5390 0754 7034 BIC"), (3, "born 1990/12/25."), (4, "XX 1990/02/30")]
+    got = {r.doc_id: r for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, start in ((1, "AT"), (2, "BE")):
+        assert got[i].n_iban == 1 and got[i].text != rows[i - 1][1] and got[i].text.startswith(start) and got[i].text.endswith(" BIC")
+        code = got[i].text[:-4].replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
+    assert got[3].n_date == 1 and re.fullmatch(r"born \d{4}/\d\d/\d\d\.", got[3].text) and got[3].text != rows[2][1]
+    assert got[4].text == rows[3][1]
