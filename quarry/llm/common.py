@@ -59,9 +59,11 @@ _made: set[str] = set()
 
 
 def scratch_path(spark: SparkSession) -> str:
-    """A new path in the folder that the cluster shares; one of our own only where none is set."""
+    """A new path in the folder that the cluster shares. Only a local master, whose tasks run on this machine, may do without."""
     root = spark.conf.get("spark.checkpoint.dir", "")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         own = f"{tempfile.gettempdir()}/quarry-{os.getpid()}"
         atexit.register(shutil.rmtree, own, True)
         root = f"file://{own}"
@@ -78,7 +80,9 @@ def settle(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     df.write.parquet(path)
     if keep is not None:
         keep.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._quarry_path = path
+    return out
 
 
 def drop(spark: SparkSession, paths: list[str]) -> None:
@@ -91,6 +95,16 @@ def drop(spark: SparkSession, paths: list[str]) -> None:
     paths.clear()
 
 
+def made() -> set[str]:
+    """The scratch tables there are now."""
+    return set(_made)
+
+
+def path_of(df: DataFrame) -> str | None:
+    """The scratch table that a settled DataFrame reads."""
+    return getattr(df, "_quarry_path", None)
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes all scratch tables of this process. Results that still read one must have been written before."""
     drop(spark, sorted(_made))
@@ -101,6 +115,18 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names, made from these, that df doesn't have (in any case)."""
+    taken = {x.lower() for x in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 _holder = ""
 _forget: dict[str, list[Callable[[], object]]] = {}
 

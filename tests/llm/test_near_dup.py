@@ -86,6 +86,46 @@ def test_wide_regions_in_blocks(spark, monkeypatch):
     assert sorted((tuple(r) for r in got), key=str) == exact(rows, 4)
 
 
+def template_pages(n, kept, seed=0, words=200):
+    """n pages that share one template's words but for own ones, at several shares."""
+    rng = random.Random(seed)
+    base = fixtures.words(rng, words).split()
+    rows = []
+    for i in range(n):
+        share = kept[i % len(kept)]
+        cut = int(words * share)
+        rows.append(fixtures.row(10_000 + i, " ".join(base[:cut] + fixtures.words(rng, words - cut, "klmnopqrst").split())))
+    rng.shuffle(rows)
+    return rows
+
+
+def test_wide_region_of_unlinked_rows(spark):
+    """Pages of one template, most of them below the threshold: the groups are those of all pairs."""
+    rows = template_pages(240, (0.6, 0.78, 0.85, 0.88, 0.9, 0.93))
+    got = near_dup.groups(fixtures.frame(spark, rows), k=4).collect()
+    assert sorted((tuple(r) for r in got), key=str) == exact(rows, 4)
+
+
+@pytest.mark.parametrize("share", [0.6, 0.8])
+def test_templates_meet_nobody(spark, share):
+    """In a wide region without links no pair comes out of the prefix join, so none is compared."""
+    run = near_dup.Forest(fixtures.frame(spark, template_pages(150, (share,))), 4, 80)
+    run.classes()
+    run.regions()
+    assert run.wide.count() > 0
+    seen = []
+    run.alike = lambda pairs: seen.append(pairs.count()) or pairs
+    run.links = lambda pairs: pairs
+    run.across(spark.createDataFrame([], "node long, component long")).collect()
+    assert seen == [0]
+
+
+def test_clashing_columns(spark):
+    rows = [(i, "a b c d e f g h", i, i, i) for i in (1, 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone long, twice long, place long")
+    assert [tuple(r) for r in near_dup.deduplicated(docs).collect()] == [rows[0]]
+
+
 def test_deduplicated(spark):
     rows = families(3) + fixtures.edge_rows()
     got = near_dup.deduplicated(fixtures.frame(spark, rows))
