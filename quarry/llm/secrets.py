@@ -4,24 +4,27 @@ Base kinds, leftmost and non-overlapping each: `assign` (a credential word, a se
 more), `access` (AKIA keys of 18 or more) and `hex` (runs of 16 or more). Matches that fail their length are dropped
 after they have been consumed.
 
-`guess`: a value in a credential context (CONTEXT, then SIGNED or BARE) whose cheapest segmentation still takes 10^LEAST guesses or more. The
-segmentation is a dynamic program over the value's positions. A segment is a dictionary word in any case or with common
-letter swaps (its rank, times its spellings), a date, a repeated unit, an alphabetic or numeric run in steps, a walk over
-neighbouring keys, or a brute-force span; the cost of a password is the product of its segments' guesses times the
-factorial of their number, as an attacker does not know where they meet. Costs are kept as logarithms. Words come from
-the vocabulary file of a public byte-level tokenizer, whose merge order is an order of frequency; its path is a parameter.
-
-A value of more than LONGEST characters is a credential if LONGEST of its characters in a row cost twice LEAST, which
-leaves room for the segments that their ends may cut; otherwise the program runs over the whole value.
-
-Defined results: a null or empty text has no spans; spans count code points, ends exclusive, and are in order of start,
-then kind; texts of any length are scanned whole; repeated rows give equal rows; other columns are ignored.
+`guess`: a value in a credential context (CONTEXT, then SIGNED or BARE) whose cheapest segmentation still takes 10^LEAST
+guesses or more. The segmentation is a dynamic program over the value's positions. A segment is a dictionary word in any
+case or with common letter swaps (its rank, times its spellings), a date, a unit repeated as often as it goes or up to
+SHY times less, a run of letters or digits in steps, a walk over neighbouring keys, or a brute-force span; the cost of a
+password is the product of its segments' guesses times the factorial of their number, as an attacker does not know where
+they meet. Costs are kept as logarithms. Words come from the vocabulary file of a public byte-level tokenizer, whose merge
+order is an order of frequency; its path is a parameter.
+
+The program goes forward from the value's start and drops what has reached 10^LEAST guesses, which no segment makes less;
+so it is exact, and a value of any length costs a bounded number of steps beside looking for the ends of its repeats.
+
+Defined results: a null or empty text has no spans; a null doc_id stays null; spans count code points, ends exclusive,
+and are in order of start, then kind (of guesses that end together, the shortest); texts and values of any length are
+scanned whole; repeated rows give equal rows; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import math
 import re
 from collections.abc import Iterator
@@ -48,12 +51,13 @@ _NAME = r"""(?:[_-][A-Za-z0-9]{1,24}){0,3}["']?"""
 #: What may follow such a word: up to three plain words and a separator, or white space with up to three words of a list.
 SIGNED = re.compile(rf"(?i:{_NAME}(?:{_GAP}{{1,40}}[A-Za-z]{{1,24}}){{0,3}}?(?:{_GAP}{{0,40}}[:=]{_GAP}{{0,40}}|{_GAP}{{1,40}}(?:is|was){_GAP}{{1,40}})){_VALUE}", re.ASCII)
 BARE = re.compile(rf"(?i:{_NAME}(?:{_GAP}{{1,40}}(?:is|was|for|to|the|my|your)){{0,3}}{_GAP}{{1,40}}){_VALUE}", re.ASCII)
-TRIM = ".!?)]}"
+TRIM = ".?)]}"
 #: Guesses, as a power of ten, that a credential takes at least.
 LEAST = 10.0
-MOST_SEGMENTS = 13
-LONGEST = 64
-BRUTE = {"digit": 10, "lower": 26, "upper": 26, "other": 33}
+#: A repeat may end this many units before it has to.
+SHY = 3
+#: Values up to this length are remembered with their verdict.
+REMEMBERED = 64
 # fixed values: rows of a keyboard, each key's neighbours being those beside it and above or below
 KEY_ROWS = ("`1234567890-=", " qwertyuiop[]\\", " asdfghjkl;'", " zxcvbnm,./")
 SWAPS = str.maketrans({"@": "a", "4": "a", "3": "e", "1": "i", "!": "i", "0": "o", "$": "s", "5": "s", "7": "t"})
@@ -80,97 +84,143 @@ def words(path: str) -> dict[str, int]:
 
 
 @cache
-def neighbours() -> dict[str, set[str]]:
-    place = {c: (r, k) for r, row in enumerate(KEY_ROWS) for k, c in enumerate(row) if c != " "}
-    return {c: {d for d, (r2, k2) in place.items() if d != c and abs(r - r2) <= 1 and abs(k - k2) <= 1} for c, (r, k) in place.items()}
+def longest_word(path: str) -> int:
+    return max(map(len, words(path)), default=0)
+
+
+@cache
+def places() -> dict[str, tuple[int, int]]:
+    return {c: (r, k) for r, row in enumerate(KEY_ROWS) for k, c in enumerate(row) if c != " "}
+
+
+def _alphabet(c: str) -> int:
+    """The bit of a character's class: digits, lower case, upper case, all else."""
+    return 1 if "0" <= c <= "9" else 2 if c.islower() else 4 if c.isupper() else 8
+
+
+#: log10 of the number of characters in the classes of a set of bits.
+BRUTE = [math.log10(max(1, 10 * (m & 1) + 26 * (m >> 1 & 1) + 26 * (m >> 2 & 1) + 33 * (m >> 3 & 1))) for m in range(16)]
 
 
 def _brute(segment: str) -> float:
     """log10 of the guesses for a brute-force span: its alphabet to the power of its length."""
-    size = (BRUTE["digit"] if any(c.isdigit() for c in segment) else 0) + (BRUTE["lower"] if any(c.islower() for c in segment) else 0) + (BRUTE["upper"] if any(c.isupper() for c in segment) else 0) + (BRUTE["other"] if any(not c.isalnum() for c in segment) else 0)
-    return len(segment) * math.log10(max(size, 10))
-
-
-def _segments(value: str, rank: dict[str, int]) -> list[list[tuple[int, float]]]:
-    """For each end, the (start, log10 guesses) of the segments with structure that end there."""
-    n, out = len(value), [[] for _ in range(len(value) + 1)]
-    low = value.lower()
-    plain = low.translate(SWAPS)
-    for i in range(n):
-        for j in range(i + 3, min(n, i + 20) + 1):
-            for form, extra in ((low[i:j], 0.0), (plain[i:j], 0.3)):
-                if r := rank.get(form):
+    m = 0
+    for c in segment:
+        m |= _alphabet(c)
+    return len(segment) * BRUTE[m]
+
+
+class Segments:
+    """What a value can be cut into."""
+
+    def __init__(self, value: str, rank: dict[str, int], longest: int):
+        self.value, self.rank, self.longest = value, rank, longest
+        low = value.lower()
+        self.low = low if len(low) == len(value) else "".join(x if len(x := c.lower()) == 1 else c for c in value)
+        self.plain = self.low.translate(SWAPS)
+        self.runs: dict[int, tuple[int, int]] = {}
+
+    def run(self, i: int, unit: int) -> int:
+        """How many characters from i on equal those `unit` places further."""
+        start, end = self.runs.get(unit, (0, 0))
+        if start <= i < end:
+            return end - i
+        v, n, at, step = self.value, len(self.value), i, 1
+        while step:
+            if at + unit + step <= n and v[at : at + step] == v[at + unit : at + unit + step]:
+                at, step = at + step, step * 2
+            else:
+                step //= 2
+        self.runs[unit] = (i, at)
+        return at - i
+
+    def structured(self, i: int, limit: float) -> Iterator[tuple[int, float]]:
+        """(end, log10 guesses below limit) of the segments with structure that start at i."""
+        value, low, n = self.value, self.low, len(self.value)
+        for j in range(i + 3, min(n, i + self.longest) + 1):
+            for form, extra in ((low[i:j], 0.0), (self.plain[i:j], 0.3)):
+                if r := self.rank.get(form):
                     cased = value[i:j]
-                    spell = 0.0 if cased == cased.lower() else 0.3 if cased.istitle() or cased.isupper() else 1.0
-                    out[j].append((i, math.log10(r) + spell + extra))
+                    spell = 0.0 if cased == form or cased.islower() else 0.3 if cased.istitle() or cased.isupper() else 1.0
+                    yield j, math.log10(r) + spell + extra
                     break
         if m := DATE.match(value, i):
-            out[m.end()].append((i, math.log10(365 * 119 if m.end() - i > 4 else 119)))
-        # a unit said again and again; where it is first said, to its very end too
-        for unit in range(1, min(12, (n - i) // 2) + 1):
-            said, times = value[i : i + unit], 1
-            first = i < unit or value[i - unit : i] != said
-            while value.startswith(said, i + times * unit) and (first or times * unit < LONGEST):
-                times += 1
-                if times * unit >= 3 and times * unit <= LONGEST:
-                    out[i + times * unit].append((i, _brute(said) + math.log10(times)))
-            if times * unit > LONGEST:
-                out[i + times * unit].append((i, _brute(said) + math.log10(times)))
+            yield m.end(), math.log10(365 * 119 if m.end() - i > 4 else 119)
+        # a unit said again and again
+        for unit in range(1, (n - i) // 2 + 1):
+            said = _brute(value[i : i + unit])
+            if said >= limit:
+                break
+            most = 1 + self.run(i, unit) // unit
+            for times in range(max(2, most - SHY), most + 1):
+                if times * unit >= 3:
+                    yield i + times * unit, said + math.log10(times)
         # steps of one size through letters or digits
-        if i + 2 < n and value[i].isalnum() and abs(step := ord(value[i + 1]) - ord(value[i])) <= 2:
+        step = ord(value[i + 1]) - ord(value[i]) if i + 2 < n else 0
+        if 0 < abs(step) <= 2 and value[i].isascii() and value[i].isalnum():
             j = i + 1
-            while j < n and ord(value[j]) - ord(value[j - 1]) == step and value[j].isalnum() and j - i < LONGEST:
+            while j < n and ord(value[j]) - ord(value[j - 1]) == step and value[j].isascii() and value[j].isalnum():
                 j += 1
                 if j - i >= 3:
-                    out[j].append((i, math.log10((10 if value[i].isdigit() else 26) * 4 * (j - i))))
+                    yield j, math.log10((10 if value[i].isdigit() else 26) * 4 * (j - i))
         # a walk over neighbouring keys, costed by its turns
-        j, turns, last, near = i + 1, 1, None, neighbours()
-        while j < n and low[j] in near.get(low[j - 1], ()) and j - i < LONGEST:
-            way = ord(low[j]) - ord(low[j - 1])
+        key, j, turns, last = places(), i + 1, 1, None
+        while j < n and (a := key.get(low[j - 1])) and (b := key.get(low[j])):
+            way = (b[0] - a[0], b[1] - a[1])
+            if way == (0, 0) or max(map(abs, way)) > 1:
+                break
             turns += last is not None and way != last
             last, j = way, j + 1
+            cost = math.log10(47 * (j - i)) + turns * math.log10(4.6)
+            if cost >= limit:
+                break
             if j - i >= 4:
-                out[j].append((i, math.log10(47 * (j - i)) + turns * math.log10(4.6)))
-    return out
-
-
-def guesses(value: str, rank: dict[str, int]) -> float:
-    """log10 of the guesses that the cheapest segmentation takes.
-
-    best[k] at a position is the cheapest way there by k segments; brute-force spans end a run, so that two in a row
-    count as one."""
-    n = len(value)
-    structured = _segments(value, rank)
-    best: list[dict[int, tuple[float, float]]] = [{} for _ in range(n + 1)]  # count -> (any end, end by structure)
-    best[0][0] = (0.0, 0.0)
-    for j in range(1, n + 1):
-        here: dict[int, list[float]] = {}
-        for i, cost in structured[j]:
-            for k, (total, _) in best[i].items():
-                slot = here.setdefault(k + 1, [math.inf, math.inf])
-                slot[1] = min(slot[1], total + cost)
-        for i in range(max(0, j - LONGEST), j):
-            cost = _brute(value[i:j])
-            for k, (_, clean) in best[i].items():
-                if clean < math.inf:
-                    slot = here.setdefault(k + 1, [math.inf, math.inf])
-                    slot[0] = min(slot[0], clean + cost)
-        # longer spans of brute force go on from the last one's end at no more than their own characters
-        if j > LONGEST:
-            for k, (total, _) in best[j - 1].items():
-                slot = here.setdefault(k, [math.inf, math.inf])
-                slot[0] = min(slot[0], total + _brute(value[j - 1 : j]))
-        # the order of more segments than MOST_SEGMENTS alone takes 10^LEAST guesses
-        best[j] = {k: (min(x), x[1]) for k, x in here.items() if k <= MOST_SEGMENTS}
-    return min((total + math.log10(math.factorial(k)) for k, (total, _) in best[n].items()), default=LEAST + 1)
+                yield j, cost
+
+    def brute(self, i: int, limit: float) -> Iterator[tuple[int, float]]:
+        mask = 0
+        for j in range(i + 1, len(self.value) + 1):
+            mask |= _alphabet(self.value[j - 1])
+            if (cost := (j - i) * BRUTE[mask]) >= limit:
+                return
+            yield j, cost
+
+
+def guesses(value: str, rank: dict[str, int], longest: int, limit: float = LEAST) -> float:
+    """log10 of the guesses that the cheapest segmentation takes, or limit where that is no less.
+
+    A state is a number of segments at a position, with its least cost, and its least cost where the last segment isn't a
+    brute-force span, as two of them in a row count as one. Positions without states are passed over."""
+    n, parts = len(value), Segments(value, rank, longest)
+    states: dict[int, dict[int, list[float]]] = {0: {0: [0.0, 0.0]}}
+    ahead = [0]
+    while ahead:
+        i = heapq.heappop(ahead)
+        here = states.pop(i)
+        if i == n:
+            return min(total + math.lgamma(k + 1) / math.log(10) for k, (total, _) in here.items())
+        for clean, segments in ((False, parts.structured(i, limit)), (True, parts.brute(i, limit))):
+            for j, cost in segments:
+                for k, before in here.items():
+                    total = before[clean] + cost
+                    if total + math.lgamma(k + 2) / math.log(10) < limit:
+                        if j not in states:
+                            states[j] = {}
+                            heapq.heappush(ahead, j)
+                        slot = states[j].setdefault(k + 1, [math.inf, math.inf])
+                        slot[0] = min(slot[0], total)
+                        if not clean:
+                            slot[1] = min(slot[1], total)
+    return limit
 
 
 @lru_cache(100_000)
+def _remembered(value: str, path: str) -> bool:
+    return guesses(value, words(path), longest_word(path)) >= LEAST
+
+
 def costly(value: str, path: str) -> bool:
-    rank = words(path)
-    if len(value) > LONGEST and any(guesses(value[i : i + LONGEST], rank) >= 2 * LEAST for i in range(0, len(value) - LONGEST + 1, LONGEST)):
-        return True
-    return guesses(value, rank) >= LEAST
+    return (_remembered if len(value) <= REMEMBERED else _remembered.__wrapped__)(value, path)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -207,7 +257,7 @@ def show(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-common.forgets("secrets", costly.cache_clear, words.cache_clear)
+common.forgets("secrets", _remembered.cache_clear, words.cache_clear)
 
 
 def _scan(frames: Iterator[pd.DataFrame], path: str) -> Iterator[pd.DataFrame]:

@@ -1,7 +1,9 @@
 """Operator 6: base kinds by brute force, guess costs by known values."""
 
 import hashlib
+import math
 import re
+import time
 
 import pytest
 from tests.llm import fixtures
@@ -34,21 +36,20 @@ def test_base_spans(text):
     assert S.base_spans(text) == base(text)
 
 
-def brute_guesses(value, rank):
-    """All segmentations, by recursion."""
-    import math
+RANK = S.words(S.vocabulary())
+LONG = S.longest_word(S.vocabulary())
+
 
-    ends = {}
-    for j, found in enumerate(S._segments(value, rank)):
-        for i, cost in found:
-            ends.setdefault(i, []).append((j, cost))
+def brute_guesses(value):
+    """All segmentations, by recursion."""
+    parts = S.Segments(value, RANK, LONG)
     best = [math.inf]
 
     def go(i, cost, k, free):
         if i == len(value):
             best[0] = min(best[0], cost + math.log10(math.factorial(k)))
             return
-        for j, c in ends.get(i, ()):
+        for j, c in parts.structured(i, math.inf):
             go(j, cost + c, k + 1, True)
         if free:
             for j in range(i + 1, len(value) + 1):
@@ -58,21 +59,41 @@ def brute_guesses(value, rank):
     return best[0]
 
 
-@pytest.mark.parametrize("value", ["hunter2", "password1", "qwerty12", "aaab1987", "x7Kq9v", "P@ss2020"])
+@pytest.mark.parametrize("value", ["hunter2", "password1", "qwerty12", "aaab1987", "x7Kq9v", "P@ss2020", "----------", "abababab", "asdfdog", "İx漢a1"])
 def test_cheapest_segmentation(value):
-    rank = S.words(S.vocabulary())
-    assert abs(S.guesses(value, rank) - brute_guesses(value, rank)) < 1e-9
+    want = brute_guesses(value)
+    assert abs(S.guesses(value, RANK, LONG, 40.0) - want) < 1e-9
+    assert abs(S.guesses(value, RANK, LONG) - min(want, S.LEAST)) < 1e-9
+
+
+def test_runs():
+    v = "abcabcabcab" + "-" * 1000 + "x"
+    parts = S.Segments(v, RANK, LONG)
+    for unit in (1, 2, 3, 5):
+        for i in [*range(30), 500, 3, 1009, 1011]:
+            k = 0
+            while i + k + unit < len(v) and v[i + k] == v[i + k + unit]:
+                k += 1
+            assert parts.run(i, unit) == k
 
 
 def test_order_of_costs():
-    rank = S.words(S.vocabulary())
-    cost = [S.guesses(v, rank) for v in ("password", "password123", "qwertyuiop", "sunshine2020", "x7Kq!9vR2m", "e9b9ed9cc9999999d9")]
+    cost = [S.guesses(v, RANK, LONG, 40.0) for v in ("password", "password123", "qwertyuiop", "sunshine2020", "x7Kq!9vR2m", "e9b9ed9cc9999999d9")]
     assert cost[0] < cost[1] < cost[2] < S.LEAST < min(cost[4:]) and cost[3] < S.LEAST
     assert S.costly("x7Kq!9vR2mP#", S.vocabulary()) and not S.costly("password123", S.vocabulary())
     assert not S.costly("a" * 500, S.vocabulary())
     assert S.costly("".join(f"{a}{b}" for a, b in zip("xKqvRmPzQwTgJ", "7924681357913", strict=True)) * 4 + "z8", S.vocabulary())
 
 
+@pytest.mark.parametrize(("value", "want"), [("-" * 1_000_000, False), ("x7Kq!9vR2mP#" * 80_000, True), ("ab" * 500_000, False), ("qw" * 500_000, False), ("password" * 120_000, True)])
+def test_very_long_values(value, want):
+    """A megabyte in a context takes less than a second."""
+    S.words(S.vocabulary())
+    began = time.perf_counter()
+    assert bool(S.guess_spans(f"password: {value} end", S.vocabulary())) is want
+    assert time.perf_counter() - began < 1
+
+
 def test_query(spark, tmp_path):
     rows = [fixtures.row(100 + i, t) for i, t in enumerate(TEXTS)] + fixtures.edge_rows()
     got = {(r.doc_id, i): r for i, r in enumerate(S.op6_secrets(spark, fixtures.save(spark, tmp_path / "a", rows)).collect())}
@@ -96,6 +117,12 @@ def test_values_of_letters_are_costed(value):
     assert S.guess_spans("the password is required here, a token embedding and the secret ingredient", S.vocabulary()) == []
 
 
+def test_trailing_marks():
+    """A full stop isn't part of a value, an exclamation mark may be."""
+    for text in ("password: Tr0ub4dor&3x!", "password: Tr0ub4dor&3x!.", "my secret token: Zq9$kf!2Lw@7", "the password for the db is x7Kq!9vR2mP#", "db_password: x7Kq!9vR2mP#"):
+        assert [e for _, _, e in S.guess_spans(text, S.vocabulary())] == [len(text.rstrip("."))]
+
+
 @pytest.mark.parametrize(
     "before",
     ["DB_PASSWORD=", "AWS_SECRET_ACCESS_KEY=", "client_secret: ", "password for the database is ", "login password: ", "secret password: ", "auth token: ", "auth token=", "password:\t", "password\n", "token is:\r\n"],
