@@ -115,6 +115,11 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def sampled(key: Column, count: int, most: int) -> Column:
+    """Whether a row is in a sample of about `most` of `count` rows, by the 64-bit hash of its key; all if they are no more."""
+    return F.xxhash64(key) < (1 << 64) * most // count - (1 << 63) if count > most else F.lit(True)
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """Column names, made from these, that df doesn't have (in any case)."""
     taken = {x.lower() for x in df.columns}

@@ -8,7 +8,8 @@ group's name can count for more than the two alone. Labels, language, source and
 
 Defined results: a null or empty text has no terms and gets the score of the bias alone; without labelled training rows
 each score is 0; rows with a null label aren't trained on, and of rows that repeat a doc_id in labels the largest label
-counts; a null doc_id counts as the empty text when rows are held out; texts of any length are read whole; an empty
+counts, of those that repeat one in documents the least text is learnt from; a null doc_id counts as the empty text when
+rows are held out; texts of any length are read whole; an empty
 table gives an empty result; other columns of documents are kept or ignored whatever their names.
 """
 
@@ -90,34 +91,28 @@ class Machine:
         return {"index": self.index, "bias": self.bias, "weights": self.weights, "factors": self.factors, "memo": {}}
 
 
-def choose(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """The buckets with the largest likelihood ratios, in ascending order."""
-    seen, bad = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
-    for x, label in zip(rows, labels, strict=True):  # a row's buckets are distinct
-        seen[x] += 1
-        if label == 1:
-            bad[x] += 1
-    names = np.flatnonzero(seen >= LEAST)
-    n, a = seen[names].astype(float), bad[names].astype(float)
-    total, positive = float(len(labels)), float((labels == 1).sum())
+def likelihood_ratio(n: Column, a: Column, total: int, positive: int) -> Column:
+    """Twice the log likelihood ratio of a term in n of all documents, in a of the positive ones."""
 
-    def part(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
-        return seen * np.log(np.where(seen > 0, seen, 1) / np.where(seen > 0, expected, 1))
+    def part(seen: Column, expected: Column) -> Column:
+        return F.when(seen > 0, seen * F.log(F.try_divide(seen, expected))).otherwise(0.0)
 
-    ratio = 2 * (part(a, n * positive / total) + part(n - a, n * (total - positive) / total) + part(positive - a, (total - n) * positive / total) + part(total - n - positive + a, (total - n) * (total - positive) / total))
-    ratio[ratio < CHANCE] = -1
-    best = np.lexsort((names, -ratio))[:FEATURES]
-    return np.sort(names[best[ratio[best] > 0]])
+    share, rest = positive / total, 1 - positive / total
+    return 2 * (part(a, n * share) + part(n - a, n * rest) + part(positive - a, (total - n) * share) + part(total - n - positive + a, (total - n) * rest))
 
 
-def train(rows: list[np.ndarray], labels: np.ndarray, seed: int = 9) -> Machine:
-    """Adam on the logistic loss; the same rows in the same order give the same machine."""
+def choose(terms: DataFrame, total: int, positive: int) -> np.ndarray:
+    """The FEATURES buckets of terms (label, terms) with the largest likelihood ratios, in ascending order."""
+    counts = terms.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").cast("double").alias("n"), F.sum("label").cast("double").alias("a"))
+    scored = counts.filter(F.col("n") >= LEAST).select("term", likelihood_ratio(F.col("n"), F.col("a"), total, positive).alias("ratio"))
+    best = scored.filter(F.col("ratio") >= CHANCE).orderBy(F.round("ratio", 9).desc(), "term").limit(FEATURES)
+    return np.sort(np.array([r.term for r in best.select("term").collect()], np.int32))
+
+
+def train(inputs: list[np.ndarray], labels: np.ndarray, chosen: np.ndarray, seed: int = 9) -> Machine:
+    """Adam on the logistic loss, of rows' places in chosen; the same rows in the same order give the same machine."""
     if not len(labels) or labels.min() == labels.max():
         return Machine({}, -np.inf if not len(labels) or labels.max() == 0 else 30.0, np.zeros(0), np.zeros((0, FACTORS)))
-    chosen = choose(rows, labels)
-    place = np.full(BUCKETS, -1, np.int32)
-    place[chosen] = np.arange(len(chosen))
-    inputs = [at[at >= 0] for at in (place[x] for x in rows)]
     rng = np.random.default_rng(seed)
     n = len(chosen)
     rate = labels.mean()
@@ -149,26 +144,41 @@ def train(rows: list[np.ndarray], labels: np.ndarray, seed: int = 9) -> Machine:
     return Machine({int(b): k for k, b in enumerate(chosen)}, float(params[0][0]), params[1], params[2])
 
 
+def terms_of(text: str) -> np.ndarray:
+    return np.unique(np.fromiter({b for w in set(WORDS.findall(text.lower())) for b in buckets(w)}, np.int32))
+
+
 def _terms(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     common.enter("toxicity")
     for frame in common.chunks(frames):
-        terms = [np.unique(np.fromiter({b for w in set(WORDS.findall(x.lower())) for b in buckets(w)}, np.int32)) for x in common.texts(frame)]
-        yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "toxic": frame["toxic"].to_numpy(), "terms": terms})
+        yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "label": frame["label"].to_numpy(), "terms": [terms_of(x) for x in common.texts(frame)]})
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
-    """Learns from labels (doc_id, toxic) of rows that aren't held out; sample bounds the rows in expectation."""
+    """Learns from labels (doc_id, toxic) of rows that aren't held out; sample bounds the rows in expectation.
+
+    Terms are counted where they are; the driver gets the chosen ones' names, and at most FEATURES places a row."""
     common.ship(docs.sparkSession)
-    known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).filter(~held_out(F.col("doc_id")))
-    count = known.count()
-    share = 1 << 20 if count <= sample else (1 << 20) * sample // count
-    picked = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").mapInPandas(_terms, "doc_id long, toxic int, terms array<int>")
-    got = rows.toArrow()  # at most `sample` rows in expectation
+    known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") == 1).cast("int").alias("label")).filter(~held_out(F.col("doc_id")))
+    picked = known.filter(common.sampled(F.col("doc_id"), known.count(), sample))
+    # at most `sample` rows in expectation; a repeated doc_id counts once
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.max("label").alias("label"), F.min("text").alias("text"))
+    keep: list[str] = []
+    terms = common.settle(texts.mapInPandas(_terms, "doc_id long, label int, terms array<int>"), keep)
+    total, positive = terms.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    chosen = choose(terms, total, positive) if 0 < positive < total else np.empty(0, np.int32)
+
+    def places(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [np.flatnonzero(np.isin(chosen, x)).astype(np.int32) for x in frame["terms"]]
+            yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "label": frame["label"].to_numpy(), "inputs": found})
+
+    got = terms.mapInPandas(places, "doc_id long, label int, inputs array<int>").toArrow()
+    common.drop(docs.sparkSession, keep)
     order = np.argsort(got["doc_id"].to_numpy(), kind="stable")
     # views of Arrow's own buffers, without copies
-    terms = [x for chunk in got["terms"].chunks if len(chunk) for x in np.split(chunk.flatten().to_numpy(), (chunk.offsets.to_numpy() - chunk.offsets[0].as_py())[1:-1])]
-    return train([terms[i] for i in order], got["toxic"].to_numpy()[order].astype(float))
+    inputs = [x for chunk in got["inputs"].chunks if len(chunk) for x in np.split(chunk.flatten().to_numpy(), (chunk.offsets.to_numpy() - chunk.offsets[0].as_py())[1:-1])]
+    return train([inputs[i] for i in order], got["label"].to_numpy()[order].astype(float), chosen)
 
 
 def score(machine: Machine, text: Column) -> Column:

@@ -4,8 +4,10 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 from tests.llm import fixtures
 
+from quarry.llm import common
 from quarry.llm import toxicity as X
 
 LABELS = "doc_id long, quality int, toxic int"
@@ -37,6 +39,54 @@ def test_held_out_accuracy(spark, tmp_path):
     assert len(got) == len(rows) + len(fixtures.edge_rows())
 
 
+def train(terms, labels):
+    """By all terms of three rows or more."""
+    names, n = np.unique(np.concatenate(terms), return_counts=True)
+    chosen = names[n >= 3]
+    return X.train([np.flatnonzero(np.isin(chosen, x)) for x in terms], np.array(labels, float), chosen)
+
+
+def test_score_is_the_pairwise_formula():
+    """Bias, weights, and the product of each pair's factors, summed pair by pair."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(30)]
+    index = {b: i for i, b in enumerate(sorted({b for w in words for b in X.buckets(w)}))}
+    m = X.Machine(index, -0.3, rng.normal(size=len(index)), rng.normal(0, 0.4, (len(index), X.FACTORS)))
+    for _ in range(40):
+        text = " ".join(rng.choice(words, rng.integers(0, 12)))
+        at = sorted({index[b] for w in text.split() for b in X.buckets(w)})
+        y = m.bias + sum(m.weights[i] for i in at) + sum(m.factors[i] @ m.factors[j] for n, i in enumerate(at) for j in at[:n])
+        assert abs(m.score(text) - 1 / (1 + np.exp(-np.clip(y, -30, 30)))) < 1e-9
+
+
+def test_likelihood_ratio(spark):
+    rows = [(40.0, 30.0), (40.0, 0.0), (3.0, 3.0), (90.0, 35.0), (20.0, 20.0)]
+    got = spark.createDataFrame(rows, "n double, a double").select(X.likelihood_ratio(F.col("n"), F.col("a"), 100, 40).alias("x"))
+    for (n, a), r in zip(rows, got.collect(), strict=True):
+        cells = [(a, n * 0.4), (n - a, n * 0.6), (40 - a, (100 - n) * 0.4), (60 - n + a, (100 - n) * 0.6)]
+        assert abs(r.x - 2 * sum(s * np.log(s / e) for s, e in cells if s > 0)) < 1e-9
+
+
+def test_sample_at_any_count(spark):
+    """However many rows there are, the sample isn't empty and is near its size."""
+    ids = spark.range(200_000)
+    for count in (200_000, 10_000):
+        n = ids.filter(common.sampled(F.col("id"), count, 10_000)).count()
+        assert abs(n - 200_000 * min(1, 10_000 / count)) < 500
+    seen = [ids.filter(common.sampled(F.col("id"), count, count // 4000)).count() for count in (10**9, 10**11, 10**13)]
+    assert all(20 < n < 100 for n in seen)
+    bound = str(common.sampled(F.col("id"), 10**13, 10_000))
+    assert "-9223372018" in bound and "-9223372036854775808" not in bound
+
+
+def test_repeated_documents_count_once(spark):
+    rows, labels = corpus(400)
+    docs = spark.createDataFrame(rows, fixtures.SCHEMA)
+    known = spark.createDataFrame(labels, LABELS)
+    one, many = X.fit(docs, known), X.fit(docs.union(docs).repartition(7), known)
+    assert one.index == many.index and (one.weights == many.weights).all()
+
+
 def test_pairs():
     """Neither word alone tells the label; both together do."""
     rng = random.Random(1)
@@ -46,7 +96,7 @@ def test_pairs():
         w = fixtures.words(rng, 5).split() + ["insultz"] * a + ["groupqq"] * b
         rows.append(np.unique(np.array([x for y in set(w) for x in X.buckets(y)], np.int32)))
         labels.append(float(a and b))
-    m = X.train(rows, np.array(labels))
+    m = train(rows, labels)
     assert m.score("some insultz here") < 0.5 and m.score("some groupqq here") < 0.5 and m.score("insultz groupqq") > 0.5
 
 
@@ -55,7 +105,7 @@ def test_same_rows_same_machine():
     known = {i: t for i, _, t in labels}
     terms = [np.unique(np.array([b for w in set(X.WORDS.findall(r[1].lower())) for b in X.buckets(w)], np.int32)) for r in rows]
     y = np.array([float(known.get(r[0], 0)) for r in rows])
-    a, b = X.train(terms, y), X.train(terms, y)
+    a, b = train(terms, y), train(terms, y)
     assert (a.weights == b.weights).all() and (a.factors == b.factors).all()
 
 
