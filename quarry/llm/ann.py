@@ -7,10 +7,13 @@ with its codes, the squared norm of its reconstruction, the distance that the re
 vector.
 
 A query makes a table of its products with all codewords; a row's approximate distance is its norm less twice the sum of
-its codes' entries. In each chunk of rows the RERANK best are measured exactly in double precision; then so is every other
-row that can be among the best k, its approximate distance less what its reconstruction misses being no more than the k-th
-best measured so far. So the answer is that of brute force, however close rows lie to each other. Queries go in blocks of
-QUERY_BLOCK, whose tables are all that is sent to the executors.
+its codes' entries. A search has two rounds over the codes. The first ranks each partition's rows by approximate distance
+and measures the RERANK best of each query exactly, in double precision; the k-th best over all partitions bounds what is
+among the nearest. The second measures the rows that can be within that bound: their approximate distance less what their
+reconstruction misses is no more. So the answer is that of brute force, however close rows lie to each other.
+
+Queries go to the tasks in blocks of QUERY_BYTES with their tables; rows are taken in chunks of CHUNK_BYTES; neither
+depends on the number of dimensions, and what is measured at once isn't either.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and rows with a null id, take no
 part; nor do vectors of another length than most of the sample. Ties go to the smaller id, within a chunk too, so a
@@ -34,11 +37,14 @@ from quarry.llm import common
 BOOKS, WORDS, BEAM = 24, 64, 4
 SAMPLE = 10_000
 ROUNDS = 2
-RERANK = 128
-CHUNK_ROWS = 8192
-QUERY_BLOCK = 1024
-#: Pairs of a query and a row that are measured at once.
-PAIRS = 1 << 17
+#: Rows of a partition that are measured for each query in the first round, beside those that come before them.
+RERANK = 32
+#: Bytes of vectors in a chunk of rows, and the most rows it has.
+CHUNK_BYTES, CHUNK_ROWS = 32 << 20, 8192
+#: Bytes of queries and their tables in a block.
+QUERY_BYTES = 64 << 20
+#: Bytes of what is computed at once: remainders of a beam, distances of queries and rows, pairs that are measured.
+STEP_BYTES = 32 << 20
 
 
 def usable(v: Column) -> Column:
@@ -139,55 +145,115 @@ class Best:
         return pd.DataFrame({"query_id": np.repeat(self.ids, self.k).reshape(ok.shape)[ok], "vec_id": self.who[ok], "score": self.far[ok]})
 
 
-def nearest_in_chunk(q: Quantiser, ids: np.ndarray, queries: np.ndarray, tables: np.ndarray, rows: np.ndarray, codes: np.ndarray, norms: np.ndarray, misses: np.ndarray, vectors: np.ndarray, best: Best, rerank: int) -> None:
-    """rows are in ascending order, so that of equal approximate distances the smallest ids are taken."""
-    near = np.broadcast_to(norms.astype(np.float32), (len(ids), len(rows))).copy()
-    for b in range(codes.shape[1]):
-        near -= 2 * tables[:, b, :][:, codes[:, b]]
-    near[ids[:, None] == rows[None, :]] = np.inf
-    keep = min(rerank, len(rows))
-    last = np.partition(near, keep - 1, axis=1)[:, keep - 1 : keep]
-    # all below the last one, then equals by id
-    rank = np.where(near < last, 0, np.where(near == last, 1, 2)).astype(np.int8)
-    take = np.argsort(rank, axis=1, kind="stable")[:, :keep]
-    far = np.sqrt(((vectors[take] - queries[:, None, :]) ** 2).sum(axis=2))
-    who = rows[take]
-    far[who == ids[:, None]] = np.inf
-    best.add(far, who)
-    # the sums above are of single precision: no sum is further off than `loose`
-    size = norms.max() + 2 * np.abs(tables).max(axis=2).sum(axis=1, dtype=np.float64)
-    loose = (codes.shape[1] + 4) * float(np.finfo(np.float32).eps) * (size + 1) + 1e-9 * (queries**2).sum(axis=1)
-    own = (queries**2).sum(axis=1)[:, None]
-    open_ = (near <= (best.far[:, -1:] + misses) ** 2 * (1 + 1e-9) + loose[:, None] - own) & np.isfinite(near)
-    np.put_along_axis(open_, take, False, axis=1)
-    # products in double precision rule out most of them before they are measured
-    some = np.flatnonzero(open_.any(axis=0))
-    rows, vectors, open_ = rows[some], vectors[some], open_[:, some]
-    size = own + (vectors**2).sum(axis=1)
-    open_ &= size - 2 * queries @ vectors.T <= best.far[:, -1:] ** 2 * (1 + 1e-9) + 1e-11 * size
-    left = open_.sum(axis=1)
-    start = 0
-    while start < len(ids):
-        # as many queries as have PAIRS pairs, one at least
-        stop = start + max(1, int(np.searchsorted(np.cumsum(left[start:]), PAIRS, side="right")))
-        at, row = np.nonzero(open_[start:stop])
-        if len(at):
-            part = np.concatenate([np.sqrt(((vectors[row[i : i + PAIRS]] - queries[start + at[i : i + PAIRS]]) ** 2).sum(axis=1)) for i in range(0, len(at), PAIRS)])
-            place = np.arange(len(at)) - np.concatenate(([0], np.cumsum(left[start:stop])))[at]
-            far = np.full((stop - start, int(left[start:stop].max())), np.inf)
-            who = np.full(far.shape, np.iinfo(np.int64).max)
-            far[at, place], who[at, place] = part, rows[row]
-            best.add(far, who, slice(start, stop))
-        start = stop
+@dataclass
+class Chunk:
+    """Rows in ascending order of their ids, so that of equal distances the smallest ids are taken."""
+
+    rows: np.ndarray
+    codes: np.ndarray
+    norms: np.ndarray
+    misses: np.ndarray
+    vectors: np.ndarray
+
+
+def chunks(frames: Iterator[pd.DataFrame], d: int) -> Iterator[Chunk]:
+    """Arrow batches put together."""
+    most, held, n = max(1, min(CHUNK_ROWS, CHUNK_BYTES // (8 * d))), [], 0
+
+    def out() -> Chunk:
+        frame = pd.concat(held).sort_values("vec_id", kind="stable")
+        codes = np.frombuffer(b"".join(frame["codes"]), np.uint8).reshape(len(frame), -1)
+        return Chunk(frame["vec_id"].to_numpy(), codes, frame["norm"].to_numpy(), frame["miss"].to_numpy(), np.stack(frame["embedding"].to_numpy()))
+
+    for frame in frames:
+        for i in range(0, len(frame), most):
+            part = frame.iloc[i : i + most]
+            if held and n + len(part) > most:
+                yield out()
+                held, n = [], 0
+            held.append(part)
+            n += len(part)
+    if held:
+        yield out()
+
+
+class Searcher:
+    """Searches chunks of rows for a block of queries."""
+
+    def __init__(self, q: Quantiser, ids: np.ndarray, queries: np.ndarray, k: int):
+        self.ids, self.queries, self.d = ids, queries, queries.shape[1]
+        self.tables = np.einsum("qd,bwd->qbw", queries, q.books).astype(np.float32)
+        self.own = (queries**2).sum(axis=1)
+        self.best = Best(ids, k)
+
+    def approximate(self, chunk: Chunk) -> Iterator[tuple[slice, np.ndarray]]:
+        """Queries and their squared distances to all rows of the chunk, less the queries' own squares."""
+        step = max(1, STEP_BYTES // (4 * len(chunk.rows)))
+        for i in range(0, len(self.ids), step):
+            of = slice(i, min(i + step, len(self.ids)))
+            near = np.broadcast_to(chunk.norms.astype(np.float32), (of.stop - i, len(chunk.rows))).copy()
+            for b in range(chunk.codes.shape[1]):
+                near -= 2 * self.tables[of, b, :][:, chunk.codes[:, b]]
+            near[self.ids[of, None] == chunk.rows[None, :]] = np.inf
+            yield of, near
+
+    def measure(self, of: slice, chunk: Chunk, wanted: np.ndarray) -> None:
+        """Adds the rows that are marked (queries of the slice by rows of the chunk), measured exactly."""
+        left = wanted.sum(axis=1)
+        pairs, start = max(1, STEP_BYTES // (16 * self.d)), 0
+        while start < len(left):
+            # as many queries as have so many pairs, one at least
+            stop = start + max(1, int(np.searchsorted(np.cumsum(left[start:]), pairs, side="right")))
+            at, row = np.nonzero(wanted[start:stop])
+            if len(at):
+                first = of.start + start
+                part = np.concatenate([np.sqrt(((chunk.vectors[row[i : i + pairs]] - self.queries[first + at[i : i + pairs]]) ** 2).sum(axis=1)) for i in range(0, len(at), pairs)])
+                place = np.arange(len(at)) - np.concatenate(([0], np.cumsum(left[start:stop])))[at]
+                far = np.full((stop - start, int(left[start:stop].max())), np.inf)
+                who = np.full(far.shape, np.iinfo(np.int64).max)
+                far[at, place], who[at, place] = part, chunk.rows[row]
+                self.best.add(far, who, slice(first, of.start + stop))
+            start = stop
+
+    def rank(self, parts: Iterator[Chunk], rerank: int) -> Best:
+        """The first round: the rows that are among the `rerank` best of all chunks so far, by approximate distance."""
+        held = np.full((len(self.ids), rerank), np.inf, np.float32)
+        for chunk in parts:
+            for of, near in self.approximate(chunk):
+                both = np.concatenate((held[of], near), axis=1)
+                held[of] = np.partition(both, rerank - 1, axis=1)[:, :rerank]
+                edge = held[of].max(axis=1, keepdims=True)
+                below, level = near < edge, (near == edge) & np.isfinite(near)
+                # of those at the edge, as many as there is room for
+                room = rerank - below.sum(axis=1, keepdims=True)
+                self.measure(of, chunk, below | (level & (np.cumsum(level, axis=1) <= room)))
+        return self.best
+
+    def within(self, parts: Iterator[Chunk], bound: np.ndarray) -> Best:
+        """The second round: all rows that can be within a query's bound."""
+        for chunk in parts:
+            # the sums are of single precision: none is further off than `loose`
+            size = chunk.norms.max() + 2 * np.abs(self.tables).max(axis=2).sum(axis=1, dtype=np.float64)
+            loose = (chunk.codes.shape[1] + 4) * float(np.finfo(np.float32).eps) * (size + 1) + 1e-9 * self.own
+            squares = (chunk.vectors**2).sum(axis=1)
+            for of, near in self.approximate(chunk):
+                limit, own = bound[of, None], self.own[of, None]
+                open_ = (near <= (limit + chunk.misses) ** 2 * (1 + 1e-9) + loose[of, None] - own) & np.isfinite(near)
+                # products in double precision rule out most of them before they are measured
+                some = np.flatnonzero(open_.any(axis=0))
+                for i in range(0, len(some), 1024):
+                    rows = some[i : i + 1024]
+                    total = own + squares[rows]
+                    open_[:, rows] &= total - 2 * self.queries[of] @ chunk.vectors[rows].T <= limit**2 * (1 + 1e-9) + 1e-11 * total
+                self.measure(of, chunk, open_)
+        return self.best
 
 
 def index(vectors: DataFrame, keep: list[str]) -> tuple[DataFrame, Quantiser | None]:
     """The settled index (vec_id, codes, norm, miss, embedding) of all usable rows, and its quantiser."""
     common.ship(vectors.sparkSession)
     good = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-    count = good.count()
-    share = 1 << 20 if count <= SAMPLE else (1 << 20) * SAMPLE // count
-    sample = good.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < share).orderBy("vec_id", "embedding").toArrow()["embedding"].combine_chunks()
+    sample = good.filter(common.sampled(F.struct("vec_id", "embedding"), good.count(), SAMPLE)).orderBy("vec_id", "embedding").toArrow()["embedding"].combine_chunks()
     schema = "vec_id long, codes binary, norm double, miss double, embedding array<double>"
     if not len(sample):
         return vectors.sparkSession.createDataFrame([], schema), None
@@ -198,9 +264,10 @@ def index(vectors: DataFrame, keep: list[str]) -> tuple[DataFrame, Quantiser | N
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         common.enter("ann")
+        step = max(1, STEP_BYTES // (8 * BEAM * (d + WORDS)))
         for frame in frames:
-            for i in range(0, len(frame), CHUNK_ROWS):
-                part = frame.iloc[i : i + CHUNK_ROWS]
+            for i in range(0, len(frame), step):
+                part = frame.iloc[i : i + step]
                 x = np.stack(part["embedding"].to_numpy())
                 codes = q.encode(x)
                 near = q.decode(codes)
@@ -210,38 +277,48 @@ def index(vectors: DataFrame, keep: list[str]) -> tuple[DataFrame, Quantiser | N
     return common.settle(good.filter(F.size("embedding") == d).mapInPandas(encode, schema), keep), q
 
 
-def _block(q: Quantiser, rows: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int, rerank: int) -> DataFrame:
-    tables = np.einsum("qd,bwd->qbw", queries, q.books).astype(np.float32)
+def _round(q: Quantiser, rows: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int, rerank: int, bound: np.ndarray | None = None) -> DataFrame:
+    """Each partition's k best rows of each query: of those it ranks first, or of those within the bound."""
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = Best(ids, k)
-        for frame in frames:
-            frame = frame.sort_values("vec_id", kind="stable")
-            for i in range(0, len(frame), CHUNK_ROWS):
-                part = frame.iloc[i : i + CHUNK_ROWS]
-                codes = np.frombuffer(b"".join(part["codes"]), np.uint8).reshape(len(part), -1)
-                nearest_in_chunk(q, ids, queries, tables, part["vec_id"].to_numpy(), codes, part["norm"].to_numpy(), part["miss"].to_numpy(), np.stack(part["embedding"].to_numpy()), best, rerank)
-        yield best.frame()
+        common.enter("ann")
+        s, parts = Searcher(q, ids, queries, k), chunks(frames, queries.shape[1])
+        yield (s.rank(parts, rerank) if bound is None else s.within(parts, bound)).frame()
 
     return rows.mapInPandas(search, "query_id long, vec_id long, score double")
 
 
 def search(rows: DataFrame, q: Quantiser | None, queries: DataFrame, k: int, keep: list[str], rerank: int = RERANK) -> DataFrame:
-    """query_id, rank, vec_id, score: queries (query_id, embedding) against all rows of an index."""
-    out = "query_id long, vec_id long, score double"
-    found = queries.sparkSession.createDataFrame([], out)
+    """query_id, rank, vec_id, score: queries (query_id, embedding) against all rows of an index.
+
+    The driver holds one block of queries at a time, and a bound for each of its queries."""
+    spark = queries.sparkSession
+    schema = "query_id long, vec_id long, score double"
+    found = common.scratch_path(spark)
+    keep.append(found)
+    spark.createDataFrame([], schema).write.parquet(found)
     if q is not None:
-        asked = common.settle(queries.filter(F.size("embedding") == q.books.shape[2]), keep)
-        blocks = -(-asked.count() // QUERY_BLOCK)
+        d = q.books.shape[2]
+        asked = common.settle(queries.filter(F.size("embedding") == d), keep)
+        blocks = -(-asked.count() * (8 * d + 4 * BOOKS * WORDS) // QUERY_BYTES)
+        dealt = common.scratch_path(spark)
+        keep.append(dealt)
+        if blocks:
+            asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).write.partitionBy("block").parquet(dealt)
         for b in range(blocks):
-            # the driver holds one block of queries at a time
-            block = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).orderBy("query_id").toArrow()
-            if len(block):
-                x = np.stack([np.asarray(v) for v in block["embedding"].combine_chunks().to_numpy(zero_copy_only=False)])
-                part = _block(q, rows, block["query_id"].to_numpy(), x, k, rerank)
-                found = found.unionByName(common.settle(part, keep) if blocks > 1 else part)
+            block = spark.read.schema("query_id long, embedding array<double>, block int").parquet(dealt).filter(F.col("block") == b).orderBy("query_id").toArrow()
+            if not len(block):
+                continue
+            ids, x = block["query_id"].to_numpy(), np.stack([np.asarray(v) for v in block["embedding"].combine_chunks().to_numpy(zero_copy_only=False)])
+            place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+            last = _round(q, rows, ids, x, k, rerank).withColumn("place", place).filter(F.col("place") == k).select("query_id", "score").toArrow()
+            # queries with fewer than k candidates have no bound
+            bound = np.full(len(ids), np.inf)
+            bound[np.searchsorted(ids, last["query_id"].to_numpy())] = last["score"].to_numpy()
+            _round(q, rows, ids, x, k, rerank, bound).write.mode("append").parquet(found)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = spark.read.schema(schema).parquet(found)
+    return out.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
