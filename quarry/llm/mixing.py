@@ -11,7 +11,8 @@ document is taken floor(target / words) times, and once more below the threshold
 
 Defined results: a null text has no words; a null source is a source of its own; a source without words has target 0 and
 its documents are taken 0 times; rows with equal doc_ids are in or out together; a null doc_id hashes like an empty
-name; an empty table gives an empty result; other columns of the input are ignored.
+name; texts of any length are counted whole; an empty table gives an empty result; other columns of the input are ignored
+by `mix` and kept, whatever their names, by `mixed`.
 """
 
 from __future__ import annotations
@@ -104,11 +105,11 @@ def mix(docs: DataFrame, most: int = MOST) -> DataFrame:
 
 def mixed(docs: DataFrame, most: int = MOST) -> DataFrame:
     """The rows of docs as often as the mix takes them. The thresholds go to the rows; texts aren't shuffled for it."""
-    plan = planned(docs, most)[1].select(F.col("key").alias("key__"), F.col("times").alias("times__"), F.col("below").alias("below__"))
-    rows = docs.join(common.small(plan), key_of(docs["source"].cast("string")) == F.col("key__"))
-    taken = F.col("times__") + (hashed(docs["doc_id"]) < F.col("below__")).cast("long")
-    copies = F.sequence(F.lit(1).cast("long"), taken)
-    return rows.filter(taken > 0).withColumn("copy__", F.explode(copies)).drop("key__", "times__", "below__", "copy__")
+    key, times, below, copy = common.unused(docs, "key", "times", "below", "copy")
+    plan = planned(docs, most)[1].select(F.col("key").alias(key), F.col("times").alias(times), F.col("below").alias(below))
+    rows = docs.join(common.small(plan), key_of(docs["source"].cast("string")) == F.col(key))
+    taken = F.col(times) + (hashed(docs["doc_id"]) < F.col(below)).cast("long")
+    return rows.filter(taken > 0).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), taken))).drop(key, times, below, copy)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

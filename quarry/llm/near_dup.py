@@ -4,8 +4,8 @@
    representatives go on.
 2. The signature has TREES orders of DEPTH values. In each order representatives are sorted; those that agree on the
    first BASE values form a region. A pair at similarity 0.8 shares a region in some order but for 3 in a million.
-3. Candidates are a row's next NEAR rows in the sorted region. Where the region goes on beyond them its depth adapts: only
-   the rows with a longer common prefix than the NEAR-th one stay, FEW of them at least. Rows of wide regions are also
+3. Candidates are a row's next NEAR rows in the sorted region. In a region of more rows its depth adapts: of the next WIDE
+   rows only those with a longer common prefix than the WIDE-th one stay, FEW of them at least. Rows of wide regions are also
    paired with the region's hub at three depths, the member that shares most regions, which is what copies of one
    original have in common. Very large regions sort in parts by deeper prefix.
 4. Signatures discard pairs far below the threshold; the rest are confirmed on full sets.
@@ -37,7 +37,7 @@ from quarry.llm import common
 from quarry.llm.components import components
 from quarry.llm.shingles import MinHash, shingle_set
 
-TREES, DEPTH, BASE, NEAR, FEW = 24, 8, 4, 16, 2
+TREES, DEPTH, BASE, NEAR, WIDE, FEW = 24, 8, 4, 16, 6, 2
 HUB_DEPTHS = (4, 6, 8)
 #: Rows of a region that are sorted as one.
 REGION = 4096
@@ -157,9 +157,10 @@ class Forest:
             return out
 
         near = self.runs.withColumn("part", part).select("node", "key", next_.alias("next"), "n")
-        # the rows ahead go from the longest common prefix to the shortest; with all NEAR there, more may follow
+        near = near.withColumn("next", F.when(F.col("n") > NEAR + 1, F.slice("next", 1, WIDE)).otherwise(F.col("next")))
+        # the rows ahead go from the longest common prefix to the shortest; with all WIDE there, more may follow
         shared = F.transform("next", lambda x: F.struct(x["node"].alias("node"), prefix(x).alias("common")))
-        near = near.select("node", F.when((F.col("n") > NEAR + 1) & (F.size("next") == NEAR), shared).alias("shared"), F.transform("next", lambda x: x["node"]).alias("others"))
+        near = near.select("node", F.when((F.col("n") > NEAR + 1) & (F.size("next") == WIDE), shared).alias("shared"), F.transform("next", lambda x: x["node"]).alias("others"))
         deeper = F.filter("shared", lambda x, i: (i < FEW) | (x["common"] > F.element_at("shared", -1)["common"]))
         near = near.select("node", F.explode(F.when(F.col("shared").isNotNull(), F.transform(deeper, lambda x: x["node"])).otherwise(F.col("others"))).alias("other"))
         # hubs: the member that shares most regions, at each depth

@@ -2,16 +2,20 @@
 
 Each text gives five transformed statistics: log mean word length, root of the symbol share, share of repeated words, log
 share of capitals, share of repeated lines; as whole numbers of 1/SCALE, so that sums are exact in any order. In each
-group, a language and source, a minimum-covariance-determinant estimate is made of the rows that pass the base rules:
-start from medians and median deviations, then concentrate STEPS times, each time taking the mean and covariance of the
-nearest (n + P + 1) / 2 of n rows, where rows tied at the last place share what weight is left, so that copies of one page
-come in by no more than that; scale by the median distance, and estimate once more from all rows within the chi-square
-bound of 97.5 %. The covariance of the nearest half is widened by CONSISTENT. FLOOR is the least spread of a statistic, without which one that is nearly always 0 would
-have none. A row is an outlier if its squared Mahalanobis distance is above CUT.
-
-Groups of fewer than LEAST_ROWS rows are pooled by language, and if still fewer, over all; below LEAST_POOL rows there is
-no estimate and only the base rules decide. Every step is a group-wise aggregate with partial sums over one settled table
-of a few numbers a document; percentiles are exact, by counts of at most a few ten thousand distinct whole numbers.
+group, a language and source, a minimum-covariance-determinant estimate is made of the rows that pass the base rules.
+There are three starts: medians with median deviations; mean and covariance of the values drawn in to WINSOR deviations;
+those of the rows in the BOX around the medians. Each is concentrated STEPS times, each time taking the mean and covariance
+of the nearest (n + P + 1) / 2 of n rows, where rows tied at the last place share what weight is left, so that copies of
+one page come in by no more than that. The start that ends with the smallest determinant goes on; its covariance, widened
+by CONSISTENT, is scaled by the median distance, and the estimate made once more from all rows within the chi-square bound
+of 97.5 %. FLOOR is the least spread of a statistic, without which one that is nearly always 0 would have none. A row is an
+outlier if its squared Mahalanobis distance is above CUT, which one normal row in 100,000 exceeds.
+
+A group of fewer than LEAST_ROWS rows is judged by the estimate of all rows of its language, and if those are too few by
+that of all rows; below LEAST_POOL rows in all there is no estimate and only the base rules decide. Every step is a
+group-wise aggregate with partial sums over one settled table of a few numbers a document; percentiles are exact, by
+counts of at most a few ten thousand distinct whole numbers. Three-word windows are compared by 64-bit hashes, so a text of
+n words has a repeat by chance with a probability of n^2 / 4e19.
 
 Defined results: a null or empty text has no words and fails the base rules; null languages and sources are values of
 their own; a null doc_id is an id like others; texts of any length are read whole; repeated rows count and are judged
@@ -40,7 +44,9 @@ STEPS = 4
 CONSISTENT = 1.9126
 #: Chi-square of five degrees: median, and the bound of 97.5 %.
 MEDIAN_5, INNER_5 = 4.351, 12.833
-CUT = 30.0
+#: Chi-square of five degrees: the quantile of 99.999 %.
+CUT = 30.856
+WINSOR, BOX = 2.0, 1.5
 LEAST_ROWS, LEAST_POOL = 60, 20
 #: Distances are counted in steps of 1/STEP up to MOST.
 STEP, MOST = 32, 1000
@@ -130,72 +136,99 @@ def factored(params: DataFrame, extra: list[str]) -> DataFrame:
     return out.select("group", *extra, *(f"m{k}" for k in range(P)), *(f"w{i}{j}" for i, j in _triangle()))
 
 
-def moments(rows: DataFrame, wider: float = 1.0) -> DataFrame:
-    """group, m0.. and c00.. of rows up to `bound`, those at it with the weight `share`; floors included.
+BY = ["group", "start"]
+X = [f"x{k}" for k in range(P)]
+
+
+def moments(rows: DataFrame, by: list[str], wider: float = 1.0) -> DataFrame:
+    """by, m0.. and c00.. of rows up to `bound`, those at it with the weight `share`; floors included.
 
     Sums are of whole numbers, so exact."""
     x = {"n": F.lit(1)} | {f"s{k}": F.col(f"x{k}") for k in range(P)} | {f"q{i}{j}": F.col(f"x{i}") * F.col(f"x{j}") for i, j in _triangle()}
     inner = [F.coalesce(F.sum(F.when(F.col("far") < F.col("bound"), v)), F.lit(0)).alias(f"{k}_in") for k, v in x.items()]
     edge = [F.coalesce(F.sum(F.when(F.col("far") == F.col("bound"), v)), F.lit(0)).alias(f"{k}_at") for k, v in x.items()]
-    out = rows.groupBy("group").agg(F.first("share").alias("share"), *inner, *edge)
-    out = out.withColumns({k: F.col(f"{k}_in") + F.col("share") * F.col(f"{k}_at") for k in x})
+    out = rows.groupBy(*by).agg(F.first("share").alias("share"), *inner, *edge)
+    out = out.withColumns({k: F.col(f"{k}_in") + F.col("share") * F.col(f"{k}_at") for k in x}).filter("n > 0")
     out = out.withColumns({f"m{k}": F.col(f"s{k}") / F.col("n") / SCALE for k in range(P)})
     cov = {f"c{i}{j}": (F.col(f"q{i}{j}") / F.col("n") / SCALE**2 - F.col(f"m{i}") * F.col(f"m{j}")) * wider + F.lit(FLOOR[i] ** 2 if i == j else 0.0) for i, j in _triangle()}
     return out.withColumns(cov)
 
 
 def nearest_half(far: DataFrame) -> DataFrame:
-    """group, the distance `bound` of the last of a group's nearest (n + P + 1) / 2 rows, and the weight `share` of those at it."""
-    by = Window.partitionBy("group")
+    """group, start, the distance `bound` of the last of the nearest (n + P + 1) / 2 rows, and the weight `share` of those at it."""
+    by = Window.partitionBy(*BY)
     up = F.sum("n").over(by.orderBy("far").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    # at most STEP * MOST + 1 distances a group
-    held = far.groupBy("group", "far").agg(F.count("*").alias("n")).withColumns({"up": up, "all": F.sum("n").over(by)})
+    # at most STEP * MOST + 1 distances a group and start
+    held = far.groupBy(*BY, "far").agg(F.count("*").alias("n")).withColumns({"up": up, "all": F.sum("n").over(by)})
     half = F.least(F.col("all"), F.floor((F.col("all") + P + 1) / 2))
     last = held.withColumn("left", half - F.col("up") + F.col("n")).filter((F.col("left") > 0) & (F.col("left") <= F.col("n")))
-    return last.select("group", F.col("far").alias("bound"), (F.col("left") / F.col("n")).alias("share"))
+    return last.select(*BY, F.col("far").alias("bound"), (F.col("left") / F.col("n")).alias("share"))
 
 
 def grouped(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """lang, source to group: the pair, its language's pool, the pool of all, or none."""
+    """lang, source, the group whose estimate judges the pair (the pair, its language, all, or none), and those that it feeds."""
     pairs = common.settle(rows.groupBy("lang", "source").agg(F.count("*").alias("n")), keep)
     lang, source = (F.coalesce(F.concat(F.lit("="), F.col(x)), F.lit("-")) for x in ("lang", "source"))
     named = pairs.select("lang", "source", "n", F.concat_ws("\x1f", lang, source).alias("own"), lang.alias("pool"))
-    few = F.col("n") < LEAST_ROWS
-    pools = named.filter(few).groupBy("pool").agg(F.sum("n").alias("pooled"))
-    joined = named.join(pools, "pool", "left")
-    last = few & (F.col("pooled") < LEAST_ROWS)
-    rest = joined.filter(last).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rest"))
-    # rest is one row
-    group = F.when(~few, F.col("own")).when(~last, F.col("pool")).when(F.col("rest") >= LEAST_POOL, F.lit(""))
-    return common.settle(joined.crossJoin(F.broadcast(rest)).select("lang", "source", group.alias("group")), keep)
+    few, few_here = F.col("n") < LEAST_ROWS, F.col("here") < LEAST_ROWS
+    pools = named.groupBy("pool").agg(F.sum("n").alias("here"), F.bool_or(few).alias("asked"))
+    # one row
+    every = pools.agg(F.sum("here").alias("total"), F.bool_or(few_here).alias("asked_all"))
+    joined = named.join(pools, "pool").crossJoin(F.broadcast(every))
+    group = F.when(~few, F.col("own")).when(~few_here, F.col("pool")).when(F.col("total") >= LEAST_POOL, F.lit(""))
+    feeds = F.array_compact(F.array(F.when(~few, F.col("own")), F.when(F.col("asked") & ~few_here, F.col("pool")), F.when(F.col("asked_all") & (F.col("total") >= LEAST_POOL), F.lit(""))))
+    return common.settle(joined.select("lang", "source", group.alias("group"), feeds.alias("feeds")), keep)
+
+
+def starts(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """group, start, m0.. and w00.. of the three starts."""
+    middle = common.small(common.settle(rows.groupBy("group").agg(*(F.percentile(x, F.lit(0.5)).alias(f"m{k}") for k, x in enumerate(X))), keep), GROUPS)
+    off = [F.percentile(F.abs(F.col(x) - F.col(f"m{k}")), F.lit(0.5)) for k, x in enumerate(X)]
+    # a deviation is at least its floor, as in the covariances
+    spread = rows.join(middle, "group").groupBy("group").agg(*(F.first(f"m{k}").alias(f"m{k}") for k in range(P)), *(F.sqrt(F.pow(d * 1.4826, 2) + (FLOOR[k] * SCALE) ** 2).alias(f"d{k}") for k, d in enumerate(off)))
+    spread = common.small(common.settle(spread, keep), GROUPS)
+    diagonal = {f"c{i}{j}": F.pow(F.col(f"d{i}") / SCALE, 2) if i == j else F.lit(0.0) for i, j in _triangle()}
+    first = spread.withColumns(diagonal | {f"m{k}": F.col(f"m{k}") / SCALE for k in range(P)}).withColumn("start", F.lit(0))
+    near = rows.join(spread, "group").withColumns({"far": F.lit(0), "bound": F.lit(1), "share": F.lit(0.0)})
+    low, high = ([F.round(F.col(f"m{k}") + s * WINSOR * F.col(f"d{k}")).cast("long") for k in range(P)] for s in (-1, 1))
+    drawn = near.withColumns({x: F.greatest(low[k], F.least(high[k], F.col(x))) for k, x in enumerate(X)})
+    boxed = near.filter(reduce(lambda a, b: a & b, [F.abs(F.col(x) - F.col(f"m{k}")) <= BOX * F.col(f"d{k}") for k, x in enumerate(X)]))
+    found = [factored(first, ["start"]), *(factored(moments(part.select("group", *X, "far", "bound", "share"), ["group"]).withColumn("start", F.lit(n)), ["start"]) for n, part in ((1, drawn), (2, boxed)))]
+    return reduce(DataFrame.unionByName, found)
 
 
 def judged(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance, kept."""
     keep: list[str] = []
-    all_rows = common.settle(measured(docs), keep)
+    all_rows = common.settle(measured(docs))
     good = all_rows.filter(~F.col("base_failed"))
     groups = common.small(grouped(good, keep), GROUPS)
     on = all_rows["lang"].eqNullSafe(groups["lang"]) & all_rows["source"].eqNullSafe(groups["source"])
-    rows = common.settle(good.join(groups, on).filter("group is not null").select("group", *(f"x{k}" for k in range(P))), keep)
+    rows = common.settle(good.join(groups, on).select(F.explode("feeds").alias("group"), *X), keep)
 
     def settled(params: DataFrame) -> DataFrame:
         return common.small(common.settle(params, keep), GROUPS)
 
-    middle = settled(rows.groupBy("group").agg(*(F.percentile(f"x{k}", F.lit(0.5)).alias(f"m{k}") for k in range(P))))
-    spread = rows.join(middle, "group").groupBy("group").agg(*(F.first(f"m{k}").alias(f"m{k}") for k in range(P)), *(F.percentile(F.abs(F.col(f"x{k}") - F.col(f"m{k}")), F.lit(0.5)).alias(f"d{k}") for k in range(P)))
-    start = {f"c{i}{j}": F.pow(F.col(f"d{i}") * 1.4826 / SCALE, 2) + FLOOR[i] ** 2 if i == j else F.lit(0.0) for i, j in _triangle()}
-    params = settled(factored(spread.withColumns(start | {f"m{k}": F.col(f"m{k}") / SCALE for k in range(P)}), []))
+    def measured_by(params: DataFrame) -> DataFrame:
+        return rows.join(params, "group").select(*BY, *X, distance(quantised=True).alias("far"))
+
+    params = settled(starts(rows, keep))
     for _ in range(STEPS):
-        far = common.settle(rows.join(params, "group").select("group", *(f"x{k}" for k in range(P)), distance(quantised=True).alias("far")), keep)
+        far = measured_by(params)
         near = settled(nearest_half(far))
-        params = settled(factored(moments(far.join(near, "group").filter("far <= bound"), CONSISTENT), []))
-    far = common.settle(rows.join(params, "group").select("group", *(f"x{k}" for k in range(P)), distance(quantised=True).alias("far")), keep)
+        params = settled(factored(moments(far.join(near, BY), BY, CONSISTENT), ["start"]))
+    # the smallest determinant is the largest of its inverse's factor
+    size = F.round(reduce(lambda a, b: a + b, [F.log(F.col(f"w{k}{k}")) for k in range(P)]), 9)
+    names = [c for c in params.columns if c != "group"]
+    best = params.groupBy("group").agg(F.max_by(F.struct(*names), F.struct(size, -F.col("start"))).alias("p")).select("group", "p.*")
+    far = measured_by(settled(best))
     # a step's middle, so that a median of 0 doesn't scale everything away
-    near = settled(far.groupBy("group").agg(((F.percentile("far", F.lit(0.5)) + 0.5) / MEDIAN_5 * INNER_5).alias("bound"), F.lit(1.0).alias("share")))
-    params = settled(factored(moments(far.join(near, "group").filter("far <= bound")), []))
+    near = settled(far.groupBy(*BY).agg(((F.percentile("far", F.lit(0.5)) + 0.5) / MEDIAN_5 * INNER_5).alias("bound"), F.lit(1.0).alias("share")))
+    params = settled(factored(moments(far.join(near, BY), ["group"]), []))
     known = groups.join(params.withColumnRenamed("group", "g"), F.col("group") == F.col("g"), "left").withColumnsRenamed({"lang": "lang_", "source": "source_"})
-    known = common.small(common.settle(known.drop("group", "g"), keep), GROUPS)
+    known = common.settle(known.drop("group", "g", "feeds"))
+    common.drop(docs.sparkSession, keep)
+    known = common.small(known, GROUPS)
     judged = all_rows.join(known, F.col("lang").eqNullSafe(F.col("lang_")) & F.col("source").eqNullSafe(F.col("source_")), "left").withColumn("distance", distance())
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CUT)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")

@@ -9,10 +9,11 @@ executors and retried tasks leave no partial file. A block holds whole documents
     frames      n_frames * bits * u64: each frame holds 64 ids, id j at bit j * bits, lowest bits first
 
 Frame f is at a fixed place, so any id is read without the ones before it, and numpy unpacks 64 lanes at once.
-Columns beside the block: part (its range of doc_ids), block, first (ids of the part before it), n_docs, n_ids.
+Columns beside the block: part (its range of doc_ids), block, first (ids of the part before it), n_docs, n_ids, least and
+most (of its doc_ids, null without any). A reader of some documents skips the files and row groups that can't hold them.
 
 Defined results: a null text is empty (the end id only); a null doc_id sorts first; rows with equal doc_ids are in
-order of their texts; an empty table gives an empty store; other columns of the input are ignored. Texts of any length
+order of a hash of their texts, so that an id that a large part of the rows has is dealt over many parts; an empty table gives an empty store; other columns of the input are ignored. Texts of any length
 are encoded whole. The vocabulary's special string inside a text is one special token, as the library's default has it.
 """
 
@@ -37,7 +38,7 @@ MAGIC = b"QTB1"
 BLOCK_IDS = 1 << 19
 #: Characters of text that are encoded at once.
 CHUNK_CHARS = 8_000_000
-BLOCKS_SCHEMA = "part int, block int, first long, n_docs long, n_ids long, bits int, payload binary"
+BLOCKS_SCHEMA = "part int, block int, first long, n_docs long, n_ids long, bits int, least long, most long, payload binary"
 
 
 def vocabulary() -> str:
@@ -185,11 +186,12 @@ def _write(frames: Iterator[pd.DataFrame], path: str, end_id: int, bits: int) ->
     def out() -> pd.DataFrame:
         nonlocal first, block, n_ids
         ids = np.concatenate(held)
-        row = (part, block, first, len(names), len(ids), bits, to_block(names, lengths, ids, bits))
+        known = [int(x) for x in names if x is not None and x == x]
+        row = (part, block, first, len(names), len(ids), bits, min(known, default=None), max(known, default=None), to_block(names, lengths, ids, bits))
         first, block, n_ids = first + len(ids), block + 1, 0
         for x in (names, lengths, held):
             x.clear()
-        return pd.DataFrame([row], columns=["part", "block", "first", "n_docs", "n_ids", "bits", "payload"])
+        return pd.DataFrame([row], columns=["part", "block", "first", "n_docs", "n_ids", "bits", "least", "most", "payload"])
 
     for frame in common.chunks(frames, most=CHUNK_CHARS):
         for name, ids in zip(frame["doc_id"].tolist(), encode(path, common.texts(frame)), strict=True):
@@ -209,7 +211,9 @@ def write_tokens(docs: DataFrame, path: str, vocab: str | None = None, end_id: i
     vocab = vocab or vocabulary()
     bits = bits_for(library(vocab).get_vocab_size(with_added_tokens=True))
     # the null flag: mapInPandas would turn a long column with nulls into floats
-    ordered = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.col("doc_id").alias("at")).repartitionByRange("at").sortWithinPartitions("at", "text").select("doc_id", "text")
+    named = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.col("doc_id").alias("at"), F.xxhash64("text").alias("hash"))
+    # rows that are alike in all are as good in any order
+    ordered = named.repartitionByRange("at", "hash", F.rand(1)).sortWithinPartitions("at", "hash", "text").select("doc_id", "text")
     ordered.mapInPandas(partial(_write, path=vocab, end_id=end_id, bits=bits), BLOCKS_SCHEMA).write.parquet(path)
 
 
@@ -244,10 +248,30 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     return docs.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def read_ids(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
-    """doc_id and its ids (array<int>), for all or some documents; only the wanted documents' frames are unpacked."""
+#: Ranges of doc_ids that a reader asks the files for.
+RANGES = 64
+
+
+def ranges(doc_ids: set[int]) -> list[tuple[int, int]]:
+    """At most RANGES ranges that hold the ids, parted at the widest gaps."""
+    ordered = sorted(doc_ids)
+    gaps = sorted(range(1, len(ordered)), key=lambda i: ordered[i - 1] - ordered[i])[: RANGES - 1]
+    cuts = [0, *sorted(gaps), len(ordered)]
+    return [(ordered[a], ordered[b - 1]) for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
+
+
+def read_ids(spark: SparkSession, path: str, doc_ids: list[int | None] | None = None) -> DataFrame:
+    """doc_id and its ids (array<int>), for all or some documents; of these only the blocks that may hold them are read, and
+    only their own frames unpacked."""
     common.ship(spark)
     wanted = None if doc_ids is None else frozenset(doc_ids)
+    blocks = spark.read.schema(BLOCKS_SCHEMA).parquet(path)
+    if wanted is not None:
+        held = F.lit(False)
+        for a, b in ranges({x for x in wanted if x is not None}):
+            held = held | ((F.col("least") <= b) & (F.col("most") >= a))
+        # a block with a null doc_id may have others too
+        blocks = blocks.filter(held if None not in wanted else F.lit(True))
 
     def ids(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -256,7 +280,7 @@ def read_ids(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -
                 keep = [k for k, x in enumerate(b.doc_ids) if wanted is None or x in wanted]
                 yield pd.DataFrame({"doc_id": pd.array([b.doc_ids[k] for k in keep], dtype="Int64"), "ids": [b.document(k).astype(np.int32) for k in keep]})
 
-    return spark.read.schema(BLOCKS_SCHEMA).parquet(path).select("payload").mapInPandas(ids, "doc_id long, ids array<int>")
+    return blocks.select("payload").mapInPandas(ids, "doc_id long, ids array<int>")
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
