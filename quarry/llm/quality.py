@@ -112,28 +112,24 @@ def _triangle() -> list[tuple[int, int]]:
 
 def distance(quantised: bool = False) -> Column:
     """Squared Mahalanobis distance of x0.. from mean m0.. under the inverse Cholesky factor w00.. of the group."""
-    z = [reduce(lambda a, b: a + b, [F.col(f"w{i}{j}") * (F.col(f"x{j}") / SCALE - F.col(f"m{j}")) for j in range(i + 1)]) for i in range(P)]
-    d = reduce(lambda a, b: a + b, [v * v for v in z])
-    return F.floor(F.least(d, F.lit(float(MOST))) * STEP) if quantised else d
+    z = [" + ".join(f"w{i}{j} * (x{j} / {SCALE}D - m{j})" for j in range(i + 1)) for i in range(P)]
+    d = " + ".join(f"pow({v}, 2)" for v in z)
+    return F.expr(f"floor(least({d}, {MOST}D) * {STEP})" if quantised else d)
 
 
 def factored(params: DataFrame, extra: list[str]) -> DataFrame:
-    """group, m0.., w00.. from group, m0.. and the covariances c00..: the inverse of the Cholesky factor."""
-    out = params
+    """group, m0.., w00.. from group, m0.. and the covariances c00..: the inverse of the Cholesky factor.
+
+    One select, whose later columns use its earlier ones."""
+    steps = []
     for i, j in _triangle():
-        s = F.col(f"c{i}{j}")
-        for k in range(j):
-            s = s - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
+        s = " - ".join([f"c{i}{j}", *(f"l{i}{k} * l{j}{k}" for k in range(j))])
         # the floors keep the diagonal positive; rounding can't take it below theirs by much
-        out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(s, F.lit(FLOOR[i] ** 2 / 2))) if i == j else s / F.col(f"l{j}{j}"))
+        steps.append(f"sqrt(greatest({s}, {FLOOR[i] ** 2 / 2}D)) AS l{i}{j}" if i == j else f"({s}) / l{j}{j} AS l{i}{j}")
     for j in range(P):
         for i in range(j, P):
-            if i == j:
-                v = 1 / F.col(f"l{i}{i}")
-            else:
-                v = -reduce(lambda a, b: a + b, [F.col(f"l{i}{k}") * F.col(f"w{k}{j}") for k in range(j, i)]) / F.col(f"l{i}{i}")
-            out = out.withColumn(f"w{i}{j}", v)
-    return out.select("group", *extra, *(f"m{k}" for k in range(P)), *(f"w{i}{j}" for i, j in _triangle()))
+            steps.append(f"1 / l{i}{i} AS w{i}{j}" if i == j else f"-({' + '.join(f'l{i}{k} * w{k}{j}' for k in range(j, i))}) / l{i}{i} AS w{i}{j}")
+    return params.selectExpr("*", *steps).select("group", *extra, *(f"m{k}" for k in range(P)), *(f"w{i}{j}" for i, j in _triangle()))
 
 
 BY = ["group", "start"]
@@ -144,14 +140,12 @@ def moments(rows: DataFrame, by: list[str], wider: float = 1.0) -> DataFrame:
     """by, m0.. and c00.. of rows up to `bound`, those at it with the weight `share`; floors included.
 
     Sums are of whole numbers, so exact."""
-    x = {"n": F.lit(1)} | {f"s{k}": F.col(f"x{k}") for k in range(P)} | {f"q{i}{j}": F.col(f"x{i}") * F.col(f"x{j}") for i, j in _triangle()}
-    inner = [F.coalesce(F.sum(F.when(F.col("far") < F.col("bound"), v)), F.lit(0)).alias(f"{k}_in") for k, v in x.items()]
-    edge = [F.coalesce(F.sum(F.when(F.col("far") == F.col("bound"), v)), F.lit(0)).alias(f"{k}_at") for k, v in x.items()]
-    out = rows.groupBy(*by).agg(F.first("share").alias("share"), *inner, *edge)
-    out = out.withColumns({k: F.col(f"{k}_in") + F.col("share") * F.col(f"{k}_at") for k in x}).filter("n > 0")
-    out = out.withColumns({f"m{k}": F.col(f"s{k}") / F.col("n") / SCALE for k in range(P)})
-    cov = {f"c{i}{j}": (F.col(f"q{i}{j}") / F.col("n") / SCALE**2 - F.col(f"m{i}") * F.col(f"m{j}")) * wider + F.lit(FLOOR[i] ** 2 if i == j else 0.0) for i, j in _triangle()}
-    return out.withColumns(cov)
+    x = {"n": "1"} | {f"s{k}": f"x{k}" for k in range(P)} | {f"q{i}{j}": f"x{i} * x{j}" for i, j in _triangle()}
+    sums = [F.expr(f"sum(if(far {op} bound, {v}, 0))").alias(f"{k}_{name}") for k, v in x.items() for op, name in (("<", "in"), ("=", "at"))]
+    out = rows.groupBy(*by).agg(F.first("share").alias("share"), *sums).selectExpr(*by, *(f"{k}_in + share * {k}_at AS {k}" for k in x)).filter("n > 0")
+    means = [f"s{k} / n / {SCALE} AS m{k}" for k in range(P)]
+    cov = [f"(q{i}{j} / n / {SCALE**2} - m{i} * m{j}) * {wider}D + {FLOOR[i] ** 2 if i == j else 0.0}D AS c{i}{j}" for i, j in _triangle()]
+    return out.selectExpr(*by, *means, *cov)
 
 
 def nearest_half(far: DataFrame) -> DataFrame:
@@ -182,7 +176,7 @@ def grouped(rows: DataFrame, keep: list[str]) -> DataFrame:
 
 def starts(rows: DataFrame, keep: list[str]) -> DataFrame:
     """group, start, m0.. and w00.. of the three starts."""
-    middle = common.small(common.settle(rows.groupBy("group").agg(*(F.percentile(x, F.lit(0.5)).alias(f"m{k}") for k, x in enumerate(X))), keep), GROUPS)
+    middle = rows.groupBy("group").agg(*(F.percentile(x, F.lit(0.5)).alias(f"m{k}") for k, x in enumerate(X)))
     off = [F.percentile(F.abs(F.col(x) - F.col(f"m{k}")), F.lit(0.5)) for k, x in enumerate(X)]
     # a deviation is at least its floor, as in the covariances
     spread = rows.join(middle, "group").groupBy("group").agg(*(F.first(f"m{k}").alias(f"m{k}") for k in range(P)), *(F.sqrt(F.pow(d * 1.4826, 2) + (FLOOR[k] * SCALE) ** 2).alias(f"d{k}") for k, d in enumerate(off)))
@@ -215,16 +209,16 @@ def judged(docs: DataFrame) -> DataFrame:
     params = settled(starts(rows, keep))
     for _ in range(STEPS):
         far = measured_by(params)
-        near = settled(nearest_half(far))
+        near = nearest_half(far)
         params = settled(factored(moments(far.join(near, BY), BY, CONSISTENT), ["start"]))
     # the smallest determinant is the largest of its inverse's factor
     size = F.round(reduce(lambda a, b: a + b, [F.log(F.col(f"w{k}{k}")) for k in range(P)]), 9)
     names = [c for c in params.columns if c != "group"]
     best = params.groupBy("group").agg(F.max_by(F.struct(*names), F.struct(size, -F.col("start"))).alias("p")).select("group", "p.*")
-    far = measured_by(settled(best))
+    far = measured_by(best)
     # a step's middle, so that a median of 0 doesn't scale everything away
-    near = settled(far.groupBy(*BY).agg(((F.percentile("far", F.lit(0.5)) + 0.5) / MEDIAN_5 * INNER_5).alias("bound"), F.lit(1.0).alias("share")))
-    params = settled(factored(moments(far.join(near, BY), ["group"]), []))
+    near = far.groupBy(*BY).agg(((F.percentile("far", F.lit(0.5)) + 0.5) / MEDIAN_5 * INNER_5).alias("bound"), F.lit(1.0).alias("share"))
+    params = factored(moments(far.join(near, BY), ["group"]), [])
     known = groups.join(params.withColumnRenamed("group", "g"), F.col("group") == F.col("g"), "left").withColumnsRenamed({"lang": "lang_", "source": "source_"})
     known = common.settle(known.drop("group", "g", "feeds"))
     common.drop(docs.sparkSession, keep)
