@@ -7,98 +7,160 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# fixed values: (category, pattern), searched in a stripped line in this order; the first that matches names the line
-RULES = (
-    ("article_info", r"(?i)^a\s*r\s*t\s*i\s*c\s*l\s*e\s+i\s*n\s*f\s*o"),
-    ("abstract_header", r"^A\s+B\s+S\s+T\s+R\s+A\s+C\s+T\s*$"),
-    ("keywords_header", r"(?i)^key\s?words\s*:?\s*$"),
-    ("disclaimer", r"(?i)^(?:disclaimer|publisher.s note)\b"),
-    ("credit_statement", r"(?i)^credit author(?:ship)? (?:contribution )?statement"),
-    ("date_line_en", r"(?i)^(?:received|revised|accepted|available online|published)\b.{0,12}\b\d{1,2}\s+\w+\s+(?:19|20)\d{2}"),
-    ("volume_issue_cn", r"^第\s*\d+\s*卷\s*第?\s*\d+\s*期"),
-    ("volume_issue_cn", r"^(?:19|20)\d{2}\s*年\s*第\s*\d+\s*期"),
-    ("article_id_cn", r"^文章编号\s*[:：]"),
-    ("clc_number", r"^中图分类号\s*[:：]"),
-    ("doc_code", r"^文献标[识志]码\s*[:：]"),
-    ("doc_code", r"^文献标[识志]码\s*[A-Z]\s*$"),
-    ("doi_fullwidth", r"^ＤＯＩ\s*[:：]"),
-    ("bracket_header", r"^【[^】]{1,12}】\s*$"),
-    ("bracket_empty", r"^[\[【（(]\s*[\]】）)]\s*$"),
-    ("doi_line", r"(?i)^(?:https?://(?:dx\.)?doi\.org/|doi\s*[:：]?\s*)10\.\d{4,9}/\S+\s*$"),
-    ("issn_isbn", r"(?i)^(?:e?issn|isbn)\s*[:：]?\s*[\dXx][\dXx-]{7,}"),
-    ("date_cn", r"^收稿日期\s*[:：]"),
-    ("date_cn", r"^修[回订]日期\s*[:：]"),
-    ("date_cn", r"^(?:录用|网络出版|出版)日期\s*[:：]"),
-    ("funding", r"^(?:基金项目|资助项目|项目基金)\s*[:：]"),
-    ("funding", r"^(?:国家自然科学基金|国家社会科学基金|教育部人文社科)\S{0,20}[（(]?\d{4,}"),
-    ("funding", r"(?i)^(?:funding|this (?:work|study|research) (?:was|is) (?:supported|funded) by)\b"),
-    ("author_bio", r"^作者简介\s*[:：]"),
-    ("author_bio", r"^第一作者(?:简介)?\s*[:：]"),
-    ("author_bio", r"^[\x{4e00}-\x{9fff}]{2,4}\s*[（(](?:19|20)\d{2}\s*[-—－]\s*[)）]"),
-    ("corresponding_author", r"(?i)^(?:\*+\s*)?(?:corresponding author|通[讯信]作者)\b?"),
-    ("citation_format", r"^(?:引用格式|引用本文)\s*[:：]"),
-    ("citation_format", r"(?i)^(?:cite this article|to cite this article|citation)\s*(?:as)?\s*:"),
-    ("thesis", r"^(?:硕士|博士)学位论文"),
-    ("thesis", r"^(?:学位授予单位|指导教师|研究生姓名)\s*[:：]"),
-    ("thesis", r"^(?:分类号|密级|学校代码)\s*[:：]"),
-    ("running_header", r"^[A-Z][\w.\- ]{1,40}\bet al\.?\s*(?:/|\||[A-Z]).{0,60}\d+\s*$"),
-    ("page_x_of_y", r"(?i)^(?:page\s+)?\d{1,4}\s+of\s+\d{1,4}\s*$"),
-    ("editor", r"(?i)^(?:handling |academic |associate )?editors?\s*[:：]|^责任编辑\s*[:：]"),
-    ("continuation", r"(?i)^[（(]\s*(?:continued(?: on next page)?|续[表图]?)\s*[)）]\s*$"),
-    ("page_number_fullwidth", r"^[·•\-—]*\s*[０-９]{1,4}\s*[·•\-—]*$"),
-    ("total_issue", r"^[（(]?总第?\s*\d+\s*期"),
-    ("month_year", r"^(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+(?:19|20)\d{2}\s*$"),
-    ("page_range", r"^\d{1,5}\s*[-–—]\s*\d{1,5}\s*$"),
-    ("page_number_dotted", r"^[·•]\s*\d{1,4}\s*[·•]\s*$"),
-    ("copyright", r"(?i)^(?:©|\(c\)|copyright)\s*.{0,20}(?:19|20)\d{2}"),
-    ("copyright", r"(?i)\ball rights reserved\b"),
-    ("published_by", r"(?i)^published by\b"),
-    ("downloaded_from", r"(?i)^downloaded (?:from|by|on)\b"),
-    ("url_only", r"(?i)^(?:https?://|www\.)\S+\s*$"),
-    ("email", r"(?i)^(?:e-?mail(?: address(?:es)?)?\s*[:：]\s*)?\S+@\S+\.\w+\s*[;,.]?\s*$"),
-    ("keywords_variant", r"(?i)^key-words?\s*:"),
-)
+# fixed values: white space, digits and brackets as journals print them; labels in brackets or before a colon
+S, D, OPEN, CLOSE, COLON = r"[\s\x{3000}\x{a0}]", "[0-9０-９]", "[〔\\[]", "[〕\\]]", "[:：]"
+DATED = "收稿|修回|修订|投稿|录用|收到"
+ROLES = "Conceptualization|Methodology|Software|Validation|Formal analysis|Investigation|Resources|Data [Cc]uration|Writing .*|Visualization|Supervision|Project administration|Funding acquisition"
+DECLARED = "The authors declare that they have no known|interests or personal relationships that could have appeared|Declaration of [Cc]ompeting [Ii]nterest"
+THESIS = "学生姓名|指导教师|专业学位类别|研究方向|答辩委员会主席|授位时间|培养单位"
+
+
+def spaced(word: str) -> str:
+    """A line of a word whose letters stand apart."""
+    return f"^{f'{S}+'.join(word)}{S}*$"
+
+
+def boxed(words: str) -> str:
+    """A label in brackets."""
+    return f"{OPEN}{S}*(?:{words}){S}*{CLOSE}"
+
+
+#: What a line that goes is about, and how such lines look; the first class that a line belongs to names it.
+CLASSES = {
+    "heading": (
+        spaced("ARTICLEINFO"),
+        spaced("ABSTRACT"),
+        f"^(?i:keywords){COLON}?{S}*$",
+        f"^Key{S}+[Ww]ords{COLON}?{S}*$",
+        rf"^(?i:{boxed(f'摘{S}*要|关键{S}*词|abstract?|keywords?|key{S}*words')}){S}*$",
+    ),
+    "statement": (f"^(?:{DECLARED})", rf"^(?:{ROLES})\.{S}"),
+    "dates": (
+        f"^(?i:received|accepted|published|revised)(?:{S}|:).*{D}{{4}}",
+        boxed(f"(?:{DATED})日期"),
+        f"^(?:{DATED})日期{COLON}.*{D}{{4}}",
+        f"(?:收稿|修回|修订|录用)日期{COLON}{S}*{D}{{4}}[-—]{D}{{2}}[-—]{D}{{2}}",
+        f"^(?:{D}{{4}}{S}*年{S}*{D}{{1,2}}{S}*月|[A-Z][a-z]{{2,8}}[．.]{S}*{D}{{4}}|[A-Z][a-z]{{2,8}},{S}*{D}{{4}}){S}*$",
+    ),
+    "issue": (
+        f"第{S}*{D}+{S}*卷{S}*第?{S}*{D}+{S}*期",
+        rf"(?i:vol)(?:{S}|[.．，,])+{D}+(?:{S}|[,.．])+(?i:no)(?:{S}|[.．])+{D}+",
+        f"总第{S}*{D}+{S}*期",
+        f"^[A-Z][a-z]+ {D}{{4}}, {D}{{1,2}}, (?:x{S}*)?{D}+(?:{S}+of{S}+{D}+)?{S}*$",
+    ),
+    "identifier": (
+        boxed("文章编号"),
+        boxed("中图分类号"),
+        f"{boxed('文献标识[码志]')}{COLON}?{S}*[A-Za-z]",
+        f"文献标识[码志]{COLON}{S}*[A-Za-z]",
+        rf"{boxed('ＤＯＩ')}{S}*１０\.{D}{{1,5}}/[^\s\x{{3000}}\x{{a0}}]{{4,80}}{S}*$",
+        rf"^(?i:doi){COLON}{S}*10\.",
+        f"^(?i:issn|isbn){COLON}{S}*{D}",
+    ),
+    "funding": (
+        f"{OPEN}?{S}*(?:基金项目|基金资助){S}*[:：〕\\]](?:{S}*[^\\s\\x{{3000}}\\x{{a0}}])",
+        "国家自然科学基金",
+        rf"^{S}*\[?{S}*(?i:foundation){S}*{COLON}{S}*(?i:no)\.",
+    ),
+    "people": (
+        boxed("作者简介"),
+        f"^(?:第一作者简介|作者简介|通讯作者|通信作者){S}*{COLON}.*{D}{{4}}{S}*[—-]",
+        rf"^(?:第一作者简介|作者简介){S}*{COLON}.*\({D}{{4}}[-—]{S}*\)",
+        rf"^\*{S}*(?:通讯|通信)作者{COLON}.*{D}{{4}}",
+        f"责任编辑(?:{COLON}|{S})",
+    ),
+    "citation": (boxed("引用格式|引文格式"), f"^引用格式{COLON}"),
+    "thesis": (f"^(?:{THESIS}){COLON}", f"(?:硕士|博士|专业)学位论文{S}*$", "^（专业学位）$"),
+    "page": (
+        f"^{D}{{1,2}}{S}+of{S}+{D}{{1,2}}{S}*$",
+        f"[（(]{S}*(?:上接|下转|续接){S}*第{S}*{D}+{S}*页{S}*[）)]",
+        f"^[０-９]{{1,3}}{S}*$",
+        f"^{D}{{1,6}}{S}*[-—]{S}*{D}{{1,6}}{S}*页",
+        f"^·{S}*{D}{{1,4}}{S}*·{S}*$",
+    ),
+    "rights": (
+        f"^©{S}*{D}{{4}}",
+        rf"^(?i:all rights reserved)\.?{S}*$",
+        f"^(?i:published (?:by|online))(?:{S}|:)",
+        f"^(?i:downloaded (?:from|by))(?:{S}|:)",
+    ),
+    "link": (rf"^https?://\S+\.\S+{S}*$", rf"^(?i:e[- ]?mail){COLON}{S}*\S+@\S+{S}*$"),
+    "empty": (f"{OPEN}{S}*{CLOSE}",),
+}
+PATTERNS = {name: "|".join(f"(?:{p})" for p in looks) for name, looks in CLASSES.items()}
+#: Near such a line, among the last three that were kept, a line of 1 to 4 digits is a page number.
+NUMBERED_BESIDE = f"(?i)第{S}*{D}+{S}*卷|vol\\.{D}+|收稿日期|基金项目|作者简介|article info|abstract|keywords|downloaded|published"
+LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 #: Kinds of repeated lines, for noise reports.
 NOISE_KINDS = (("page_number", r"^\W*\d{1,4}\W*$"), ("url", r"(?i)https?://|www\."), ("doi", r"(?i)\b10\.\d{4,9}/"), ("email", r"\S+@\S+\.\w+"), ("copyright", r"(?i)©|copyright|all rights reserved"), ("date", r"(?:19|20)\d{2}"))
 
 
+def stripped(line: Column) -> Column:
+    return F.regexp_replace(line, f"^{S}+|{S}+$", "")
+
+
+def split_lines(text: Column) -> Column:
+    """Lines without their ends; an end at the text's end begins no further line, and an empty text has none."""
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(text, rf"(?:{LINE_END})\z", ""), LINE_END))
+
+
 def category(line: Column) -> Column:
-    """The first rule that the stripped line matches; null for blank lines and lines to keep."""
-    s = F.trim(line)
-    return F.when(s != "", F.coalesce(*(F.when(s.rlike(p), F.lit(c)) for c, p in RULES)))
+    """The class of a line that goes; null for blank lines and lines to keep."""
+    s = stripped(line)
+    return F.when(s != "", F.coalesce(*(F.when(s.rlike(p), F.lit(c)) for c, p in PATTERNS.items())))
 
 
 def lines(pages: DataFrame) -> DataFrame:
     """item_key, line_no, line, category."""
-    return pages.select("item_key", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("category", category(F.col("line")))
+    return pages.select("item_key", F.posexplode(split_lines(F.col("text"))).alias("line_no", "line")).withColumn("category", category(F.col("line")))
 
 
-def cleaned(text: Column) -> Column:
-    """The text without lines that match a rule, nor lines of 1 to 4 digits while one of the last three kept lines looks like noise; three line feeds or more become two.
+def fates(rows: Column) -> Column:
+    """A letter for each line: r matches a class, d is a page number, c a number to keep, n a line that makes numbers beside
+    it page numbers, k any other.
 
-    A fold over the lines: a digit line that is dropped does not enter the lines kept, so the next is judged by the same."""
-    noise = "|".join(f"(?:{p})" for _, p in NOISE_KINDS[:5])
-    rows = F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("x"), category(x).alias("c"), (F.trim(x) == "").alias("blank")))
-    start = F.struct(F.array().cast("array<string>").alias("kept"), F.array().cast("array<string>").alias("near"))
+    A number goes if one of the three lines kept before it is an n. Numbers that went don't count among the three, nor do
+    they end the reach of an n; a number that stays is beyond that reach already. So an n reaches over the next two k."""
 
-    def step(a: Column, row: Column) -> Column:
-        digits = F.trim(row["x"]).rlike(r"^\d{1,4}$") & F.exists(a["near"], lambda n: F.trim(n).rlike(noise))
-        drop = row["c"].isNotNull() | digits
-        kept = F.concat(a["kept"], F.array(row["x"]))
-        near = F.when(row["blank"], a["near"]).otherwise(F.slice(F.reverse(F.concat(a["near"], F.array(row["x"]))), 1, 3))
-        return F.when(drop, a).otherwise(F.struct(kept.alias("kept"), F.when(row["blank"], a["near"]).otherwise(F.reverse(near)).alias("near")))
+    def letter(line: Column) -> Column:
+        s = stripped(line)
+        gone = reduce(lambda a, b: a | b, (s.rlike(p) for p in PATTERNS.values()))
+        return F.when((s != "") & gone, "r").when(s.rlike(f"^{D}{{1,4}}$"), "c").when(s.rlike(NUMBERED_BESIDE), "n").otherwise("k")
 
-    return F.regexp_replace(F.array_join(F.aggregate(rows, start, step, lambda a: a["kept"]), "\n"), r"\n{3,}", "\n\n")
+    def reached(part: Column) -> Column:
+        head = F.regexp_extract(part, "^n[rc]*(?:k[rc]*){0,2}", 0)
+        return F.concat(F.translate(head, "c", "d"), F.substr(part, F.length(head) + 1))
+
+    flags = F.array_join(F.transform(rows, letter), "")
+    return F.split(F.array_join(F.transform(F.split(flags, "(?=n)"), reached), ""), "")
+
+
+def cleaned(text: Column) -> Column:
+    """The text without lines of a class and page numbers; three line feeds or more become two."""
+    rows = split_lines(text)
+    fate = F.zip_with(rows, fates(rows), lambda line, f: F.struct(line.alias("line"), f.alias("f")))
+    kept = F.transform(F.filter(fate, lambda x: ~x["f"].isin("r", "d")), lambda x: x["line"])
+    return F.regexp_replace(F.array_join(kept, "\n"), r"\n{3,}", "\n\n")
 
 
 def report(pages: DataFrame) -> DataFrame:
-    """category, n_lines over all items, most first."""
+    """category, n_lines and n_items over all items."""
     return lines(pages).filter("category is not null").groupBy("category").agg(F.count("*").alias("n_lines"), F.countDistinct("item_key").alias("n_items"))
 
 
 def summary(pages: DataFrame) -> DataFrame:
-    """item_key, lines in, lines removed."""
-    return lines(pages).groupBy("item_key").agg(F.count("*").alias("lines_in"), F.count("category").alias("lines_removed"))
+    """item_key, lines in, lines removed, page numbers among them counted."""
+    fate = pages.select("item_key", split_lines(F.col("text")).alias("rows")).select("item_key", F.size("rows").cast("long").alias("lines_in"), fates(F.col("rows")).alias("f"))
+    gone = F.size(F.filter("f", lambda x: x.isin("r", "d"))).cast("long")
+    return fate.groupBy("item_key").agg(F.sum("lines_in").alias("lines_in"), F.sum(gone).alias("lines_removed"))
+
+
+def samples(pages: DataFrame, each: int = 10) -> DataFrame:
+    """category, line: the first lines removed of each class, cut to 80 characters."""
+    found = lines(pages).filter("category is not null")
+    place = F.row_number().over(Window.partitionBy("category").orderBy("item_key", "line_no"))
+    line = stripped(F.col("line"))
+    return found.withColumn("n", place).filter(F.col("n") <= each).select("category", F.when(F.length(line) > 80, F.concat(F.substring(line, 1, 80), F.lit("..."))).otherwise(line).alias("line"))
 
 
 def noise_patterns(chunks: DataFrame, least: int = 3, most: int = 50) -> DataFrame:

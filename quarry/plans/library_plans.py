@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions import names
 from quarry.functions import text as T
 from quarry.operators import cleaning, expand, library, measure
+from quarry.plans import journal
 from quarry.plans import tables as t
 
 ENTRIES: dict = {}
@@ -121,14 +122,14 @@ def k12(s, d):
 # --- cleaning ---
 
 
-@entry("C1_clean_lines")
+@entry("C1_clean_lines", f"WITH {journal.LINES} SELECT item_key, coalesce(md5(regexp_replace(string_agg(line, chr(10) ORDER BY i), '\\n{{3,}}', chr(10) || chr(10), 'g')), md5('')) AS digest FROM printed LEFT JOIN kept USING (item_key) WHERE text IS NOT NULL GROUP BY item_key")
 def c1(s, d):
-    return t.pages(s, d).select("item_key", F.length(cleaning.cleaned(F.col("text"))).alias("n_chars"))
+    return journal.pages(s, d).filter("text is not null").select("item_key", F.md5(cleaning.cleaned(F.col("text")).cast("binary")).alias("digest"))
 
 
-@entry("C2_rule_counts")
+@entry("C2_rule_counts", f"WITH {journal.LINES} SELECT category, count(*) AS n_lines, count(DISTINCT item_key) AS n_items FROM lines WHERE category IS NOT NULL GROUP BY category")
 def c2(s, d):
-    return cleaning.report(t.pages(s, d))
+    return cleaning.report(journal.pages(s, d))
 
 
 @entry("C4_collapse", r"SELECT doc_id, length(regexp_replace(text, '\n{3,}', chr(10) || chr(10), 'g')) AS n FROM documents")
@@ -136,9 +137,14 @@ def c4(s, d):
     return t.table(s, d, "documents").select("doc_id", F.length(F.regexp_replace("text", r"\n{3,}", "\n\n")).cast("long").alias("n"))
 
 
-@entry("C5_report", "SELECT doc_id::VARCHAR AS item_key, len(string_split(text, chr(10))) AS lines_in FROM documents")
+@entry("C5_report", f"WITH {journal.LINES}, n AS (SELECT item_key, count(*) AS n FROM kept GROUP BY item_key), m AS (SELECT item_key, count(*) AS m FROM lines GROUP BY item_key) SELECT item_key, coalesce(m, 0) AS lines_in, coalesce(m, 0) - coalesce(n, 0) AS lines_removed FROM printed LEFT JOIN m USING (item_key) LEFT JOIN n USING (item_key)")
 def c5(s, d):
-    return cleaning.summary(t.pages(s, d)).select("item_key", "lines_in")
+    return cleaning.summary(journal.pages(s, d))
+
+
+@entry("C5_samples", f"WITH {journal.LINES} SELECT category, CASE WHEN length(s) > 80 THEN substr(s, 1, 80) || '...' ELSE s END AS line FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY item_key, i) AS n FROM lines WHERE category IS NOT NULL) WHERE n <= 10")
+def c5b(s, d):
+    return cleaning.samples(journal.pages(s, d))
 
 
 @entry("F10_garbled", f"WITH {t.CHUNKS} SELECT count(*) AS n, count(*) FILTER (WHERE length(text) >= 20 AND length(regexp_replace(text, '[\\x20-\\x7e\\s]', '', 'g')) > 0.4 * length(text)) AS garbled FROM chunks")

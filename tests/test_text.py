@@ -1,11 +1,15 @@
 """Hand-made cases of column functions."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import names
 from quarry.functions import text as T
 from quarry.operators import chunking, cleaning, expand, library
+from quarry.plans import journal
 
 
 def one(spark, column, **values):
@@ -93,18 +97,37 @@ def test_stance_modes(spark):
 
 
 def test_cleaning(spark):
-    text = "A B S T R A C T\n\nreal body line\nhttps://example.org/x\n12\nmore text"
-    assert one(spark, cleaning.cleaned(F.col("t")), t=s(text)) == "\nreal body line\n12\nmore text"
-    noisy = "see https://example.org/x for more\n12\n13\n14\n15\nend"
-    assert one(spark, cleaning.cleaned(F.col("t")), t=s(noisy)) == "see https://example.org/x for more\nend"
-    assert one(spark, cleaning.cleaned(F.col("t")), t=s("a\n\n\n\n\nb")) == "a\n\nb"
-    assert one(spark, cleaning.cleaned(F.col("t")), t=s(None)) is None
-
-
-@pytest.mark.parametrize(("line", "want"), [("文章编号：1234", "article_id_cn"), ("第 5 卷第 3 期", "volume_issue_cn"), ("Received 12 May 2020", "date_line_en"), ("12 of 30", "page_x_of_y"), ("© 2020 X", "copyright"), ("plain words", None), ("", None), ("12-19", "page_range")])
-def test_rules(spark, line, want):
-    assert one(spark, cleaning.category(F.col("t")), t=s(line)) == want
-    assert len(cleaning.RULES) == 48
+    clean = lambda x: one(spark, cleaning.cleaned(F.col("t")), t=s(x))
+    assert clean("A B S T R A C T\n\nreal body line\nhttps://example.org/x\n12\nmore text") == "\nreal body line\n12\nmore text"
+    assert clean("Published results\n12\n13\n14\n15\nend") == "Published results\nend"
+    assert clean("a\n\n\n\n\nb") == "a\n\nb"
+    assert clean(None) is None and clean("") == "" and clean("\n") == "" and clean("x\r\ny\n") == "x\ny"
+
+
+def page_numbers(text):
+    """The fold over lines, with the last three that were kept."""
+    kept, near = [], []
+    for line in text.split("\n"):
+        if re.fullmatch(r"\d{1,4}", line) and any(re.search(r"第\s*\d+\s*卷|Published", x) for x in near):
+            continue
+        kept.append(line)
+        near = [*near, line][-3:]
+    return "\n".join(kept)
+
+
+def test_page_numbers(spark):
+    rng = random.Random(1)
+    texts = [journal.NUMBERED, *("\n".join(rng.choice(["12", "7", "x", "y", "Published results"]) for _ in range(rng.randint(1, 40))) for _ in range(60))]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string").select("i", cleaning.cleaned(F.col("t")).alias("x")).collect()
+    for r in got:
+        assert r.x == re.sub("\n{3,}", "\n\n", page_numbers(texts[r.i]))
+
+
+def test_line_classes(spark):
+    lines = [*journal.GOING, *((None, x) for x in journal.STAYING), (None, ""), (None, "plain words")]
+    rows = spark.createDataFrame([(i, x) for i, (_, x) in enumerate(lines)], "i int, t string").select("i", cleaning.category(F.col("t")).alias("c")).collect()
+    assert {lines[r.i][1]: r.c for r in rows} == {x: c for c, x in lines}
+    assert {c for c, _ in journal.GOING} == set(cleaning.CLASSES)
 
 
 def test_decompose(spark):
