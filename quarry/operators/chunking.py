@@ -3,46 +3,77 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.operators import models
 
 SIZE, STEP, SHORT, MOST = 600, 480, 200, 1200
-CONJUNCTIONS = r"(?i)^(?:however|therefore|moreover|furthermore|but|and|thus|hence|consequently|in addition|on the other hand)\b|^(?:但是|然而|因此|所以|而且|此外|并且)"
+#: Words that a chunk begins with when a sentence was cut before it, and what may hang on to them.
+# fixed values
+CONJUNCTIONS = "and but or however therefore thus moreover furthermore additionally also meanwhile 并 并且 而且 但是 然而 因此 所以 此外 另外 同时 以及 还有".split()
+EDGES = "，。！？.!?；;…,、:："
 CAPTION = r"(?m)^\s*(?:(?i:table|figure|fig\.)\s*\d+|[表图]\s*\d+)"
-#: Heading patterns and their levels.
-HEADINGS = (
-    (1, r"^\s*(?:第[一二三四五六七八九十]+章|[一二三四五六七八九十]+、)\s*\S+"),
-    (1, r"^\s*(?i:abstract|introduction|background|related work|methods?|methodology|materials and methods|results?|discussion|conclusions?|references|acknowledge?ments?)\s*$"),
-    (1, r"^\s*\d{1,2}\.?\s+[A-Z][^\n.]{2,80}$"),
-    (2, r"^\s*\d{1,2}\.\d{1,2}\.?\s+\S[^\n]{2,80}$"),
-    (3, r"^\s*\d{1,2}\.\d{1,2}\.\d{1,2}\.?\s+\S[^\n]{2,80}$"),
+# fixed values: numerals, what parts them from a title, and what a title begins with
+CHINESE, ROMAN, ENGLISH, ANY_TITLE = "[一二三四五六七八九十]", "[MDCLX]*(?:IX|IV|V?I{1,3})", r"[A-Za-z][^\n]{0,80}", r"[^\n]{0,80}"
+NUMBERED = (
+    (r"\d+", r"[. \t、．]", r"[A-Za-z\x{4e00}-\x{9fff}][^\n]{0,80}"),
+    (f"{CHINESE}+", "[、．]", ANY_TITLE),
+    (ROMAN, r"[. \t、]", ENGLISH),
+    (r"(?i:chapter|ch\.)[ \t]*\d+", r"[. \t:、]", ENGLISH),
+    (r"§[ \t]*\d+", r"[. \t、]", ENGLISH),
 )
-#: Section types by the first keyword that a heading contains.
-SECTION_TYPES = (
-    ("abstract", ("abstract", "摘要")),
-    ("introduction", ("introduction", "引言", "绪论")),
-    ("literature", ("related work", "literature", "文献")),
-    ("methods", ("method", "material", "方法")),
-    ("data", ("data", "study area", "数据")),
-    ("results", ("result", "结果")),
-    ("discussion", ("discussion", "讨论")),
-    ("conclusion", ("conclusion", "结论")),
-    ("acknowledgements", ("acknowledg", "致谢")),
-    ("references", ("references", "bibliography", "参考文献")),
+BARE = (
+    r"(?i:introduction|methods?|methodology|results?|discussion|conclusion|references|bibliography|appendix|appendices|acknowledgments?|supplementary|supporting\s+information)",
+    "(?:引言|绪论|研究方法|方法|结果|结果与分析|结果与讨论|讨论|结论|总结|参考文献|附录|致谢|摘要)",
 )
+SUBNUMBERED = (
+    (r"\d+\.\d+(?:\.\d+)?", r"[. \t、]", ANY_TITLE),
+    (rf"[（(](?:{CHINESE}|\d)+[）)]", "", ANY_TITLE),
+    ("[①②③④⑤⑥⑦⑧⑨⑩]", "", ANY_TITLE),
+    ("[A-F]", r"[. \t、]", ENGLISH),
+)
+#: Numbers alone, which head a section where an item has no other headings.
+ALONE = (r"^\s*(\d+(?:\.\d+)*)[.\s、．]?\s*$", f"^\\s*({CHINESE}+)[、．]?\\s*$", rf"^\s*[（(]((?:{CHINESE}|\d)+)[）)]\s*$", rf"^\s*({ROMAN})\s*[.\s、]?\s*$")
+# fixed values: section types by the first whose words a heading contains
+SECTION_TYPES = {
+    "abstract": "abstract|摘要|a b s t r a c t",
+    "introduction": "intro|引言|绪论|背景|background|问题提出|问题的提出|研究意义|theoretical framework|理论框架|conceptual framework|概念框架|研究假设|hypothesis|hypotheses|理论基础",
+    "literature_review": "literature|related work|文献综述|研究综述|前人研究|文献回顾|已有研究|国内外研究",
+    "methods": "method|方法|实验设计|数据|data|study area|研究区|材料|material|样本|sample|empirical strategy|empirical framework|empirical approach|实证策略|实证框架|模型设定|模型构建|计量模型|变量定义|变量选择|变量说明|identification|estimation|研究设计|research design|case study|案例分析|survey|问卷|调查设计|measurement|测量",
+    "results": "result|finding|结果|analysis|实证分析|descriptive statistics|描述性统计|基准回归|robustness|稳健性|内生性|endogeneity|异质性|heterogeneity|机制分析|mechanism|进一步分析",
+    "discussion": "discussion|讨论|implication|policy recommendations|建议|政策启示|政策含义|对策|研究启示|管理启示|实践启示",
+    "conclusion": "conclusion|结论|总结|concluding|summary|结语|结束语|研究不足|limitations|研究局限|未来研究|future research",
+    "references": "reference|bibliography|文献|注释",
+    "appendix": "appendix|appendices|附录|附表|附图|supplementary|supporting information|附件",
+    "acknowledgments": "acknowledgment|acknowledgement|致谢|感谢|基金项目|资助",
+}
+
+
+def sliding(pages: DataFrame, size: int = SIZE, step: int = STEP, short: int = 0) -> DataFrame:
+    """pages (item_key, text) to windows (item_key, chunk_idx, text): of `size` characters each `step`, stripped; the last is the first that reaches the end. Blank windows are dropped.
+
+    A last window below `short` characters joins the one before, with a blank line, as `merge_short` has it; here it needs
+    no shuffle, since a page's windows are made together."""
+    body = F.concat(F.col("text"), F.lit("\n"))
 
+    def cut(body: Column) -> Column:
+        n = F.greatest(F.lit(1), F.ceil((F.length(body) - size) / step) + 1)
+        every = F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), lambda k: F.struct(k.alias("chunk_idx"), T.stripped(F.substr(body, k * step + 1, F.lit(size))).alias("text")))
+        return F.filter(every, lambda x: x["text"] != "")
 
-def sliding(pages: DataFrame, size: int = SIZE, step: int = STEP) -> DataFrame:
-    """pages (item_key, text) to windows (item_key, chunk_idx, text): of `size` characters each `step`, stripped; the last is the first that reaches the end. Blank windows are dropped."""
-    body = F.concat(F.col("text"), F.lit("\n"))
-    n = F.greatest(F.lit(1), F.ceil((F.length(body) - size) / step) + 1)
-    rows = pages.filter(F.length(T.stripped("text")) > 0).select("item_key", body.alias("body"), F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))).alias("chunk_idx"))
-    out = rows.select("item_key", "chunk_idx", T.stripped(F.substr("body", F.col("chunk_idx") * step + 1, F.lit(size))).alias("text"))
-    return out.filter("text <> ''")
+    def merged(w: Column) -> Column:
+        last, before = F.element_at(w, -1), F.get(w, F.size(w) - 2)
+        both = F.struct(before["chunk_idx"].alias("chunk_idx"), F.concat(before["text"], F.lit("\n\n"), last["text"]).alias("text"))
+        return F.when((F.size(w) > 1) & (F.length(last["text"]) < short), F.concat(F.slice(w, F.lit(1), F.size(w) - 2), F.array(both))).otherwise(w)
+
+    windows = T.let(body, cut)
+    rows = pages.filter(F.length(T.stripped("text")) > 0).select("item_key", (T.let(windows, merged) if short else windows).alias("w"))
+    return rows.select("item_key", F.explode("w").alias("x")).select("item_key", "x.chunk_idx", "x.text")
 
 
 def merge_short(chunks: DataFrame, short: int = SHORT) -> DataFrame:
@@ -54,6 +85,11 @@ def merge_short(chunks: DataFrame, short: int = SHORT) -> DataFrame:
     return seen.filter(~is_tail).select("item_key", "chunk_idx", joined.alias("text"))
 
 
+def first_word(text: Column) -> Column:
+    """The first word, lower-cased, without marks at its edges."""
+    return F.lower(F.regexp_replace(F.get(F.split(T.stripped(text), r"\s+"), 0), f"^[{EDGES}]+|[{EDGES}]+$", ""))
+
+
 def tagged(chunks: DataFrame) -> DataFrame:
     """chunk_id, language, sentence_count, starts_with_conjunction, quality_flag, has_figure_table beside the chunk."""
     t = F.col("text")
@@ -65,8 +101,8 @@ def tagged(chunks: DataFrame) -> DataFrame:
         "text",
         T.chunk_language(t).alias("language"),
         n.alias("sentence_count"),
-        t.rlike(CONJUNCTIONS).alias("starts_with_conjunction"),
-        F.when((F.length(t) < 40) | (n == 0), "incomplete").otherwise("ok").alias("quality_flag"),
+        first_word(t).isin(*CONJUNCTIONS).alias("starts_with_conjunction"),
+        F.when((F.length(t) < 40) | (n == 0), "incomplete").otherwise("good").alias("quality_flag"),
         t.rlike(CAPTION).alias("has_figure_table"),
     )
 
@@ -84,36 +120,64 @@ def page_at(positions: DataFrame, offsets: DataFrame) -> DataFrame:
     return positions.join(offsets, (positions["item_key"] == offsets["item_key"]) & (offsets["start"] <= positions["pos"]) & (positions["pos"] < offsets["end"])).select(positions["*"], "page_num")
 
 
-def heading_level(head: Column) -> Column:
-    """The level of the heading pattern that the first line of a chunk matches; null without one."""
-    valid = F.length(F.trim(head)).between(3, 100) & (F.regexp_count(head, F.lit(r"\p{L}")) >= 0.3 * F.length(F.trim(head)))
-    return F.when(valid, F.coalesce(*(F.when(head.rlike(p), F.lit(level)) for level, p in HEADINGS)))
+HEAD_CHARS = 200
+
+
+def heading(text: Column) -> Column:
+    """struct(level, title) of the heading in a chunk's first HEAD_CHARS characters; null without one.
+
+    Top-level looks are tried in order, then those of subsections. A level is what the numeral's dots say; the title comes
+    without numeral and has 3 to 100 characters, three in ten of them letters at least."""
+    head = F.substring(text, 1, HEAD_CHARS)
+
+    def found(looks: list[str]) -> Column:
+        each = [F.when(head.rlike(p), F.struct(F.regexp_extract(head, p, 1).alias("n"), T.stripped(F.regexp_extract(head, p, 2)).alias("title"))) for p in looks]
+        one = F.coalesce(*each)
+        dots = F.when(one["n"].rlike(r"^\d+\.\d+"), F.length(one["n"]) - F.length(F.translate(one["n"], ".", "")) + 1).otherwise(1)
+        title = one["title"]
+        letters = F.regexp_count(title, F.lit(r"\p{L}"))
+        return F.when(F.length(title).between(3, 100) & (letters >= 0.3 * F.length(title)), F.struct(F.least(dots, F.lit(3)).alias("level"), title.alias("title")))
+
+    look = lambda n, mark, title: rf"(?m)^\s*({n}){mark}[ \t]*({title})$"
+    top = [look(*x) for x in NUMBERED] + [rf"(?m)^\s*()({x})\s*$" for x in BARE]
+    return F.coalesce(found(top), found([look(*x) for x in SUBNUMBERED]))
+
+
+def heading_level(text: Column) -> Column:
+    return heading(text)["level"]
+
+
+def number_alone(text: Column) -> Column:
+    """A numeral that is a line of its own in a chunk's first characters; null without one."""
+    head = F.substring(text, 1, HEAD_CHARS)
+    each = [F.when(head.rlike(f"(?m){p}"), F.regexp_extract(head, f"(?m){p}", 1)) for p in ALONE]
+    one = F.coalesce(*each)
+    return F.when(F.length(one).between(1, 20), one)
 
 
 def section_type(heading: Column) -> Column:
     low = F.lower(heading)
-    out = F.lit("unknown")
-    for name, words in reversed(SECTION_TYPES):
-        hit = low.contains(words[0])
-        for w in words[1:]:
-            hit = hit | low.contains(w)
-        out = F.when(hit, name).otherwise(out)
-    return out
+    return F.coalesce(*(F.when(low.rlike(words), F.lit(name)) for name, words in SECTION_TYPES.items()), F.lit("unknown"))
 
 
 def sections(chunks: DataFrame) -> DataFrame:
     """item_key, section_idx, heading, section_type, level, parent_idx, chunk_start_idx, chunk_end_idx.
 
-    A section runs from its heading's chunk to the next heading; chunks before the first heading are an unknown section."""
-    head = F.substring(T.first_line(F.trim(F.substring("text", 1, 200))), 1, 200)
-    level = F.when(F.coalesce(F.col("quality_flag"), F.lit("ok")) != "incomplete", heading_level(head))
-    w = Window.partitionBy("item_key").orderBy("chunk_idx")
-    marked = chunks.select("item_key", "chunk_idx", head.alias("head"), level.alias("level")).withColumn("section_idx", F.sum(F.col("level").isNotNull().cast("int")).over(w))
-    first = F.min_by(F.struct("head", "level"), "chunk_idx")
+    A section runs from its heading's chunk to the next heading; chunks before the first heading are an unknown section. In
+    an item without headings numbers that stand alone head sections of unknown type."""
+    fine = F.coalesce(F.col("quality_flag"), F.lit("good")) != "incomplete"
+    by = Window.partitionBy("item_key")
+    marked = chunks.select("item_key", "chunk_idx", F.when(fine, heading(F.col("text"))).alias("h"), F.when(fine, number_alone(F.col("text"))).alias("n"))
+    bare = F.max(F.col("h").isNotNull()).over(by)
+    title = F.when(bare, F.col("h.title")).otherwise(F.col("n"))
+    kind = F.when(bare, section_type(F.col("h.title"))).otherwise("unknown")
+    marked = marked.select("item_key", "chunk_idx", title.alias("title"), kind.alias("kind"), F.coalesce("h.level", F.lit(1)).alias("level"))
+    marked = marked.withColumn("section_idx", F.sum(F.col("title").isNotNull().cast("int")).over(by.orderBy("chunk_idx")))
+    first = F.min_by(F.struct("title", "kind", "level"), "chunk_idx")
     grouped = marked.groupBy("item_key", "section_idx").agg(first.alias("f"), F.min("chunk_idx").alias("chunk_start_idx"), F.max("chunk_idx").alias("chunk_end_idx"))
-    has = F.col("f.level").isNotNull()
-    out = grouped.select("item_key", "section_idx", F.when(has, F.trim("f.head")).otherwise("").alias("heading"), F.when(has, section_type(F.col("f.head"))).otherwise("unknown").alias("section_type"), F.coalesce("f.level", F.lit(1)).alias("level"), "chunk_start_idx", "chunk_end_idx")
-    before = Window.partitionBy("item_key").orderBy("section_idx").rowsBetween(Window.unboundedPreceding, -1)
+    has = F.col("f.title").isNotNull()
+    out = grouped.select("item_key", "section_idx", F.coalesce("f.title", F.lit("")).alias("heading"), F.when(has, F.col("f.kind")).otherwise("unknown").alias("section_type"), "f.level", "chunk_start_idx", "chunk_end_idx")
+    before = by.orderBy("section_idx").rowsBetween(Window.unboundedPreceding, -1)
     one, two = (F.max(F.when(F.col("level") <= k, F.col("section_idx"))).over(before) for k in (1, 2))
     parent = F.when(F.col("level") == 2, one).when(F.col("level") == 3, F.greatest(one, two))
     return out.withColumn("parent_idx", parent)
@@ -125,18 +189,44 @@ def section_map(chunks: DataFrame, found: DataFrame) -> DataFrame:
     return chunks.join(spans, "item_key").filter(F.col("chunk_idx").between(F.col("chunk_start_idx"), F.col("chunk_end_idx"))).select("item_key", "chunk_idx", "section_idx")
 
 
-def enriched(text: Column, title: Column, year: Column, keywords: Column, section: Column) -> Column:
-    """A header of keywords, title with year and section, then the text."""
-    some = lambda c: F.nullif(F.trim(c), F.lit(""))
-    head = F.concat_ws(
-        " ",
-        F.concat(F.lit("Keywords: "), F.substring(some(keywords), 1, 200)),
-        F.concat(F.lit("Title: "), F.substring(some(title), 1, 150), F.when(F.coalesce(year, F.lit(0)) > 0, F.concat(F.lit(" ("), year.cast("string"), F.lit(")"))).otherwise("")),
-        F.when(section != "content", F.concat(F.lit("Section: "), section)),
-    )
+def enriched(text: Column, title: Column, year: Column, keywords: Column, section: Column, title_en: Column | None = None, keywords_en: Column | None = None) -> Column:
+    """A line of "[Keywords: …] [Title: … (year)] [Section: …]", with English forms where there are any, then the text."""
+    some = lambda c, most: F.substring(F.nullif(F.trim(c), F.lit("")), 1, most)
+    dated = F.concat(some(title, 150), F.when(F.coalesce(year, F.lit(0)) > 0, F.concat(F.lit(" ("), year.cast("string"), F.lit(")"))).otherwise(""))
+    parts = {"Keywords": some(keywords, 200), "Title": dated, "Section": F.when(section != "content", some(section, 120))}
+    if title_en is not None:
+        parts |= {"Title_EN": some(title_en, 150), "Keywords_EN": some(keywords_en, 200)}
+    head = F.concat_ws(" ", *(F.concat(F.lit(f"[{k}: "), v, F.lit("]")) for k, v in parts.items()))
     return F.when(head == "", text).otherwise(F.concat(head, F.lit("\n"), text))
 
 
+def header_keywords(document: Column) -> Column:
+    """The keywords of an enriched text's first line; empty without any."""
+    return F.trim(F.regexp_extract(document, r"\[Keywords:\s*([^\n]*?)\](?=\s*\[|\s*(?:\n|$))", 1))
+
+
+def without_header(document: Column) -> Column:
+    """What follows the first line; the whole of a text that has one line only."""
+    return F.when(F.instr(document, "\n") > 0, F.substr(document, F.instr(document, "\n") + 1)).otherwise(document)
+
+
+def bilingual(papers: DataFrame, model: Callable[[str], str]) -> DataFrame:
+    """item_key, title_en, keywords_en of the papers (item_key, title, keywords) with a Chinese title; each distinct text is
+    given to the model once."""
+    mine = papers.filter(T.is_chinese(F.col("title"))).select("item_key", "title", F.when(T.is_chinese(F.col("keywords")), F.col("keywords")).alias("keywords"))
+    each = mine.select(F.explode(F.array("title", "keywords")).alias("x")).filter("x is not null").distinct().withColumn("en", models.translated(F.col("x"), model))
+    t, k = each.toDF("title", "title_en"), each.toDF("keywords", "keywords_en")
+    return mine.join(t, "title", "left").join(k, "keywords", "left").select("item_key", F.coalesce("title_en", F.lit("")).alias("title_en"), F.coalesce("keywords_en", F.lit("")).alias("keywords_en"))
+
+
+def re_enriched(index: DataFrame, english: DataFrame) -> DataFrame:
+    """chunk_id, document of the chunks of an index (chunk_id, item_key, document, title, year, section) that change when
+    their papers' English forms (item_key, title_en, keywords_en) enter the header. Keywords come from the old header."""
+    rows = index.join(english.filter("title_en <> ''"), "item_key")
+    fresh = enriched(without_header(F.col("document")), F.col("title"), F.col("year"), header_keywords(F.col("document")), F.col("section"), F.col("title_en"), F.col("keywords_en"))
+    return rows.withColumn("fresh", fresh).filter("fresh <> document").select("chunk_id", F.col("fresh").alias("document"))
+
+
 def keyword_tags(tags: Column, prefixes: tuple[str, ...] = ("_", "#", "/")) -> Column:
     """Tags of three characters or more without an organising prefix, joined."""
     keep = F.filter(tags, lambda x: (F.length(x) >= 3) & ~F.substring(x, 1, 1).isin(*prefixes))

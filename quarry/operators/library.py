@@ -111,3 +111,25 @@ def publisher_quota(scored: DataFrame, publisher: str, limit: int) -> DataFrame:
     placed = scored.withColumn("own", F.when(mine, F.row_number().over(Window.partitionBy("query_id", "publisher").orderBy(*order))))
     first = placed.withColumn("sure", F.coalesce(F.col("own") <= quota, F.lit(False)))
     return first.withColumn("place", F.row_number().over(by.orderBy(F.col("sure").desc(), *order))).filter(F.col("place") <= limit).drop("own", "sure", "place")
+
+
+def cited_records(refs: DataFrame, records: DataFrame) -> DataFrame:
+    """Each citation (item_key, chunk_idx, ref) with the table or figure (item_key, ref, body) of that number in its item, once."""
+    return refs.distinct().join(records, ["item_key", "ref"])
+
+
+def fetch_depth(limit: Column) -> Column:
+    """How many hits to ask of each source for `limit` merged ones."""
+    return F.least(F.greatest(3 * limit, F.lit(30)), F.lit(50))
+
+
+def recommended(seeds: DataFrame, related: DataFrame, similar: DataFrame) -> DataFrame:
+    """seed, hit, source of seeds (seed, doi) and the edges of two sources (doi, hit), one after the other; seeds without a
+    DOI have none."""
+    edges = related.withColumn("source", F.lit("related")).unionByName(similar.withColumn("source", F.lit("similar")))
+    return seeds.filter(F.coalesce(F.trim("doi"), F.lit("")) != "").join(edges, "doi").select("seed", "hit", "source")
+
+
+def with_files(items: DataFrame, files: DataFrame) -> DataFrame:
+    """Items that have a file, with the url of the first (item_key, place, url)."""
+    return items.join(files.groupBy("item_key").agg(F.min_by("url", "place").alias("url")), "item_key")

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators import search
+
 
 def per_query(qrels: DataFrame, ranked: DataFrame) -> DataFrame:
     """query_id, recall5, recall10, recall20, rr, ndcg10 of qrels (query_id, item_key, null where nothing is expected) and ranked (query_id, item_key, rank).
@@ -68,27 +75,98 @@ def upper_median(rows: DataFrame, column: str) -> DataFrame:
     return counts.withColumn("upto__", upto).crossJoin(F.broadcast(total)).filter(F.col("upto__") > F.floor(F.col("total__") / 2)).agg(F.min("value__").alias("median"))
 
 
+#: Bytes of sums that a task holds before it gives them out.
+HELD_BYTES = 64 << 20
+
+
+def _sums(frames: Iterator[pd.DataFrame], gram: bool) -> Iterator[pd.DataFrame]:
+    """item_key, n, q and q2 (sums of squared lengths and their squares), s (sum vector), g (Gram matrix of coordinates)."""
+    held: dict[str, list] = {}
+
+    def out() -> pd.DataFrame:
+        rows = [(k, n, q, q2, s.tolist(), None if g is None else g.reshape(-1).tolist()) for k, (n, q, q2, s, g) in held.items()]
+        held.clear()
+        return pd.DataFrame(rows, columns=["item_key", "n", "q", "q2", "s", "g"])
+
+    for frame in frames:
+        for key, part in frame.groupby("item_key"):
+            x = np.stack(part["embedding"].to_numpy()).astype(float)
+            own = (x**2).sum(axis=1)
+            now = held.setdefault(key, [0, 0.0, 0.0, 0.0, 0.0 if gram else None])
+            for i, v in enumerate((len(x), own.sum(), (own**2).sum(), x.sum(axis=0), x.T @ x if gram else None)):
+                now[i] = None if v is None else now[i] + v
+            if len(held) * 8 * x.shape[1] * (x.shape[1] if gram else 1) > HELD_BYTES:
+                yield out()
+    if held:
+        yield out()
+
+
+def _group_sums(vectors: DataFrame, gram: bool = False) -> DataFrame:
+    """One row a task and item at least; nothing of the size of a vector's square is shuffled for each vector."""
+    return vectors.select("item_key", "embedding").mapInPandas(partial(_sums, gram=gram), "item_key string, n long, q double, q2 double, s array<double>, g array<double>")
+
+
+def _squared(parts: DataFrame, column: str, name: str) -> DataFrame:
+    """item_key and the sum of the squares of an array's sums."""
+    each = parts.select("item_key", F.posexplode(column).alias("i", "x")).groupBy("item_key", "i").agg(F.sum("x").alias("x"))
+    return each.groupBy("item_key").agg(F.sum(F.col("x") * F.col("x")).alias(name))
+
+
 def group_similarity(vectors: DataFrame) -> DataFrame:
-    """item_key, n, mean and population deviation of the dot products of all pairs in a group (item_key, id, embedding of unit length).
+    """item_key, n, mean and population deviation of the dot products of all pairs in a group (item_key, embedding of unit length).
 
     The mean comes from the sum vector, without pairs: |sum|^2 less the squares, halved. The second moment likewise from the
-    Gram matrix of coordinates, summed by group."""
-    d = vectors.select("item_key", "id", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "x"))
-    # coordinates against coordinates of one vector: a fixed d^2 per row, no pair of rows
-    gram = d.alias("a").join(d.alias("b"), F.expr("a.item_key = b.item_key and a.id = b.id")).groupBy("a.item_key", "a.i", F.col("b.i").alias("j")).agg(F.sum(F.expr("a.x * b.x")).alias("g"))
-    second = gram.groupBy("item_key").agg(F.sum(F.col("g") * F.col("g")).alias("g2"))
-    sums = d.groupBy("item_key", "i").agg(F.sum("x").alias("s")).groupBy("item_key").agg(F.sum(F.col("s") * F.col("s")).alias("s2"))
-    own = d.groupBy("item_key", "id").agg(F.sum(F.col("x") * F.col("x")).alias("q")).groupBy("item_key").agg(F.count("*").alias("n"), F.sum("q").alias("q"), F.sum(F.col("q") * F.col("q")).alias("q2"))
+    Gram matrix of coordinates, summed by group in the tasks first."""
+    parts = _group_sums(vectors, gram=True)
+    own = parts.groupBy("item_key").agg(F.sum("n").alias("n"), F.sum("q").alias("q"), F.sum("q2").alias("q2")).filter("n > 1")
     pairs = F.col("n") * (F.col("n") - 1) / 2
     mean = (F.col("s2") - F.col("q")) / 2 / pairs
-    return own.join(sums, "item_key").join(second, "item_key").filter("n > 1").select("item_key", "n", mean.alias("mean_sim"), F.sqrt(F.greatest(F.lit(0.0), (F.col("g2") - F.col("q2")) / 2 / pairs - mean * mean)).alias("std_sim"))
+    return own.join(_squared(parts, "s", "s2"), "item_key").join(_squared(parts, "g", "g2"), "item_key").select("item_key", "n", mean.alias("mean_sim"), F.sqrt(F.greatest(F.lit(0.0), (F.col("g2") - F.col("q2")) / 2 / pairs - mean * mean)).alias("std_sim"))
 
 
 def centroids(vectors: DataFrame) -> DataFrame:
     """item_key, n, centroid: the mean vector of each group."""
-    d = vectors.select("item_key", "id", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "x"))
-    mean = d.groupBy("item_key", "i").agg(F.avg("x").alias("m"), F.count("*").alias("n"))
-    return mean.groupBy("item_key").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("centroid"))
+    parts = _group_sums(vectors)
+    n = parts.groupBy("item_key").agg(F.sum("n").alias("n"))
+    sums = parts.select("item_key", F.posexplode("s").alias("i", "x")).groupBy("item_key", "i").agg(F.sum("x").alias("x")).groupBy("item_key").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("s"))
+    return n.join(sums, "item_key").select("item_key", "n", F.transform("s", lambda v: v["x"] / F.col("n")).alias("centroid"))
+
+
+def similar_papers(vectors: DataFrame, k: int) -> DataFrame:
+    """key_a < key_b, sim: the k pairs of papers with the most similar centroids.
+
+    Each paper's k best come from a search in blocks, so pairs aren't formed; the best k of all are among them."""
+    c = centroids(vectors)
+    size = F.sqrt(F.aggregate("centroid", F.lit(0.0), lambda a, x: a + x * x))
+    unit = c.select(F.xxhash64("item_key").alias("id"), "item_key", size.alias("size"), "centroid").filter("size > 0")
+    unit = unit.select("id", "item_key", F.transform("centroid", lambda x: x / F.col("size")).alias("embedding"))
+    asked = unit.select(F.col("id").alias("query_id"), F.col("item_key").alias("own"), "embedding")
+    near = search.dense(unit, asked, k, own="own").join(asked.select("query_id", "own"), "query_id")
+    pairs = near.select(F.least("own", "item_key").alias("key_a"), F.greatest("own", "item_key").alias("key_b"), F.col("score").alias("sim"))
+    return pairs.groupBy("key_a", "key_b").agg(F.max("sim").alias("sim")).orderBy(F.round("sim", 6).desc(), "key_a", "key_b").limit(k)
+
+
+#: Separation, share of outliers, length correlation and similarity of papers beyond which something is wrong, and the
+#: coherence below which a section is weak.
+WEAK, OUTLIERS, DRIFT, ALIKE, COHERENT = 1.3, 0.1, 0.3, 0.85, 0.4
+
+
+def issues(summary: DataFrame) -> DataFrame:
+    """summary (separation_ratio, outliers, sampled, length_correlation, top_similarity and keys) with a row for each issue."""
+    r = F.col("length_correlation")
+    rules = {
+        "weak_separation": F.col("separation_ratio") < WEAK,
+        "outliers": F.col("outliers") > F.col("sampled") * OUTLIERS,
+        "long_chunks_drift": r < -DRIFT,
+        "short_chunks_lack_context": r > DRIFT,
+        "similar_papers": F.col("top_similarity") > ALIKE,
+    }
+    return summary.withColumn("issue", F.explode(F.array_compact(F.array(*(F.when(v, F.lit(k)) for k, v in rules.items())))))
+
+
+def weak_sections(by_section: DataFrame) -> DataFrame:
+    """Sections (section, mean) of low coherence; plain content isn't judged."""
+    return by_section.filter((F.col("section") != "content") & (F.col("mean") < COHERENT))
 
 
 def trace_stats(log: DataFrame) -> DataFrame:

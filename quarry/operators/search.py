@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,37 +19,131 @@ RRF = 60
 QUERY_BLOCK = 1024
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """token, chunk_id, item_key, tf, dl: dl is the chunk's number of tokens, carried so that scoring needs no other join."""
-    split = chunks.select("chunk_id", "item_key", T.tokens(F.col("text")).alias("tokens"))
-    rows = split.select("chunk_id", "item_key", F.size("tokens").alias("dl"), F.explode("tokens").alias("token"))
-    return rows.groupBy("token", "chunk_id", "item_key", "dl").agg(F.count("*").alias("tf"))
+def tokenised(chunks: DataFrame) -> DataFrame:
+    """The sparse index, a row a chunk: chunk_id, item_key, tokens (repeats stay, none is an empty list)."""
+    none = F.array().cast("array<string>")
+    return chunks.select("chunk_id", "item_key", F.coalesce(T.tokens(F.col("text")), none).alias("tokens"))
 
 
-def totals(chunks: DataFrame) -> DataFrame:
+def totals(index: DataFrame) -> DataFrame:
     """One row: n, the number of chunks, those without tokens too, and avgdl, their mean number of tokens."""
-    return chunks.agg(F.count("*").alias("n"), F.avg(F.coalesce(F.size(T.tokens(F.col("text"))), F.lit(0))).alias("avgdl"))
+    return index.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
 
 
-def idf(posted: DataFrame, total: DataFrame) -> DataFrame:
+def idf(index: DataFrame) -> DataFrame:
     """token, df, idf: negative values become EPSILON times the mean over the vocabulary."""
-    df = posted.groupBy("token").agg(F.count("*").alias("df"))
+    df = index.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     # the totals and the mean are single rows
-    scored = df.crossJoin(F.broadcast(total.select("n"))).select("token", "df", raw.alias("raw"))
+    scored = df.crossJoin(F.broadcast(index.agg(F.count("*").alias("n")))).select("token", "df", raw.alias("raw"))
     mean = scored.agg(F.avg("raw").alias("mean"))
     return scored.crossJoin(F.broadcast(mean)).select("token", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25(queries: DataFrame, posted: DataFrame, total: DataFrame) -> DataFrame:
+def bm25(queries: DataFrame, index: DataFrame, k: int | None = None, by: str = "chunk_id", known: DataFrame | None = None) -> DataFrame:
     """query_id, chunk_id, item_key, score above 0, of queries (query_id, text); repeated query tokens count each time.
 
-    posted and total are read several times: store them (sinks.write_index) where more than one batch is asked."""
+    With k, the k best of each query, by chunks or (by="item_key", without chunk_id) by papers with their best chunk's
+    score. Chunks are scored where they are: a task weighs its chunks' tokens, multiplies them with a block of queries and
+    keeps k of each, so no row of a query and a token is formed. `known` is a stored idf (sinks.write_index); otherwise it
+    is counted from the index, which is then read twice."""
+    total = totals(index).first()
     asked = queries.select("query_id", F.explode(T.tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
-    weighed = asked.join(idf(posted, total), "token")
-    hits = posted.join(weighed, "token").crossJoin(F.broadcast(total.select("avgdl")))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy("query_id", "chunk_id", "item_key").agg(F.sum(part).alias("score")).filter("score > 0")
+    weighed = asked.join(known if known is not None else idf(index), "token").select("query_id", "token", (F.col("times") * F.col("idf")).alias("w"))
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    out = None
+    for b in range(blocks):
+        block = weighed.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).orderBy("query_id", "token").toArrow()
+        part = _sparse_block(index, Weights.of(block), total.avgdl or 1.0, k, by)
+        out = part if out is None else out.unionByName(part)
+    if k is None:
+        return out
+    return top(out, k, by).drop("rank")
+
+
+@dataclass
+class Weights:
+    """Queries of a block by their tokens' weights; parts of PART queries have a matrix of their own."""
+
+    parts: list[tuple[np.ndarray, dict[str, int], np.ndarray]]
+
+    PART = 128
+
+    @classmethod
+    def of(cls, block: pa.Table) -> Weights:
+        ids, tokens, w = block["query_id"].to_numpy(), block["token"].to_pylist(), block["w"].to_numpy()
+        parts, names = [], np.unique(ids)
+        for i in range(0, len(names), cls.PART):
+            own = names[i : i + cls.PART]
+            rows = np.flatnonzero((ids >= own[0]) & (ids <= own[-1]))
+            place = {t: n for n, t in enumerate(sorted({tokens[r] for r in rows}))}
+            matrix = np.zeros((len(own), len(place)))
+            matrix[np.searchsorted(own, ids[rows]), [place[tokens[r]] for r in rows]] = w[rows]
+            parts.append((own, place, matrix))
+        return cls(parts)
+
+
+#: Numbers in the matrix of asked tokens by chunks.
+CELLS = 1 << 22
+
+
+def _scores(batch: pa.RecordBatch, weights: Weights, avgdl: float) -> Iterator[tuple[np.ndarray, slice, np.ndarray]]:
+    """Query ids, chunks of the batch, and their scores."""
+    lists = batch.column("tokens")
+    flat = lists.flatten().dictionary_encode()
+    words, codes = flat.dictionary.to_pylist(), flat.indices.to_numpy()
+    sizes = np.diff(lists.offsets.to_numpy())
+    chunk = np.repeat(np.arange(len(sizes)), sizes)
+    norm = K1 * (1 - B + B * sizes / avgdl)
+    for ids, place, matrix in weights.parts:
+        of = np.array([place.get(x, -1) for x in words], np.int64)[codes] if len(words) else np.empty(0, np.int64)
+        step = max(1, CELLS // max(1, len(place)))
+        for i in range(0, len(sizes), step):
+            stop = min(i + step, len(sizes))
+            mine = (of >= 0) & (chunk >= i) & (chunk < stop)
+            tf = np.bincount((chunk[mine] - i) * len(place) + of[mine], minlength=(stop - i) * len(place)).reshape(stop - i, len(place)).astype(float)
+            yield ids, slice(i, stop), matrix @ (tf * (K1 + 1) / (tf + norm[i:stop, None])).T
+
+
+def _sparse_block(index: DataFrame, weights: Weights, avgdl: float, k: int | None, by: str) -> DataFrame:
+    papers = by == "item_key"
+    columns = ["query_id", "item_key", "score"] if papers else ["query_id", "chunk_id", "item_key", "score"]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, dict[str, tuple]] = {}
+        floor: dict[int, float] = {}
+
+        def rows(found: list[tuple]) -> pa.RecordBatch:
+            kinds = [pa.int64(), *[pa.string()] * (len(columns) - 2), pa.float64()]
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate(kinds)], columns)
+
+        for batch in batches:
+            items, names = batch.column("item_key").to_pylist(), batch.column("chunk_id").to_pylist()
+            for ids, of, scores in _scores(batch, weights, avgdl):
+                if k is None:
+                    q, c = np.nonzero(scores > 0)
+                    at = pa.array(of.start + c)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[q]), batch.column("chunk_id").take(at), batch.column("item_key").take(at), pa.array(scores[q, c])], columns)
+                    continue
+                for q, row in zip(ids.tolist(), scores, strict=True):
+                    # equal scores are equal to 9 decimals; those at the edge all stay until they are put in order
+                    near = np.round(row, 9)
+                    edge = floor.get(q, 0.0)
+                    if len(near) > k and not papers:
+                        edge = max(edge, np.partition(near, len(near) - k)[len(near) - k])
+                    mine = held.setdefault(q, {})
+                    for c in np.flatnonzero((row > 0) & (near >= edge)):
+                        name = (items if papers else names)[of.start + c]
+                        if name not in mine or mine[name][-1] < row[c]:
+                            mine[name] = (q, name, row[c]) if papers else (q, name, items[of.start + c], row[c])
+                    if len(mine) > k:
+                        best = sorted(mine.items(), key=lambda x: (-round(x[1][-1], 9), x[0]))[:k]
+                        held[q], floor[q] = dict(best), round(best[-1][1][-1], 9)
+        if k is not None:
+            yield rows([x for mine in held.values() for x in mine.values()])
+
+    kinds = "query_id long, item_key string, score double" if papers else "query_id long, chunk_id string, item_key string, score double"
+    return index.select("chunk_id", "item_key", "tokens").mapInArrow(search, kinds)
 
 
 def top(hits: DataFrame, k: int, tie: str, by: str = "query_id", score: Column | None = None) -> DataFrame:
@@ -61,39 +157,69 @@ def dense(rows: DataFrame, queries: DataFrame, k: int, own: str | None = None) -
 
     Queries (query_id, embedding, and `own` if given) go out in blocks; each task keeps its k best of each query. Rows whose
     item_key is the query's `own` are left out, before the k are taken. Equal scores (to 9 decimals) go by id."""
-    spark = rows.sparkSession
-    count = queries.count()
-    blocks = max(1, -(-count // QUERY_BLOCK))
+    out = _by_blocks(rows, queries, own, lambda ids, q, mine: _nearest(rows, ids, q, mine, k))
+    return top(out if out is not None else rows.sparkSession.createDataFrame([], NEAREST), k, "id")
+
+
+def dense_papers(rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, item_key, score: each paper's largest dot product with each query, put together where the rows are."""
+    out = _by_blocks(rows, queries, None, lambda ids, q, _: _papers(rows, ids, q))
+    out = out if out is not None else rows.sparkSession.createDataFrame([], PAPERS)
+    return out.groupBy("query_id", "item_key").agg(F.max("score").alias("score"))
+
+
+NEAREST = "query_id long, id long, item_key string, score double"
+PAPERS = "query_id long, item_key string, score double"
+
+
+def _by_blocks(rows: DataFrame, queries: DataFrame, own: str | None, search: Callable[[np.ndarray, np.ndarray, np.ndarray | None], DataFrame]) -> DataFrame | None:
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     out = None
     for b in range(blocks):
         block = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).orderBy("query_id").toArrow().to_pydict()
         if block["query_id"]:
-            part = _block(rows, np.array(block["query_id"]), np.array(block["embedding"], float), np.array(block[own], object) if own else None, k)
+            part = search(np.array(block["query_id"]), np.array(block["embedding"], float), np.array(block[own], object) if own else None)
             out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = spark.createDataFrame([], "query_id long, id long, item_key string, score double")
-    return top(out, k, "id")
+    return out
 
 
-def _block(rows: DataFrame, ids: np.ndarray, q: np.ndarray, own: np.ndarray | None, k: int) -> DataFrame:
+def _nearest(rows: DataFrame, ids: np.ndarray, q: np.ndarray, own: np.ndarray | None, k: int) -> DataFrame:
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: list[pd.DataFrame] = [pd.DataFrame({"query_id": [], "id": [], "item_key": [], "score": []}).astype({"query_id": int, "id": int, "score": float})] * len(ids)
+        far, score = np.full((len(ids), k), -np.inf), np.full((len(ids), k), -np.inf)
+        who, paper = np.full((len(ids), k), np.iinfo(np.int64).max), np.full((len(ids), k), None, object)
         for frame in frames:
             if not len(frame):
                 continue
-            x = np.stack(frame["embedding"].to_numpy()).astype(float)
-            scores = q @ x.T
+            frame = frame.sort_values("id", kind="stable")
+            exact = q @ np.stack(frame["embedding"].to_numpy()).astype(float).T
             keys, names = frame["item_key"].to_numpy(), frame["id"].to_numpy()
-            for i in range(len(ids)):
-                s = np.round(scores[i], 9)
-                ok = np.arange(len(s)) if own is None else np.flatnonzero(keys != own[i])
-                order = ok[np.lexsort((names[ok], -s[ok]))[:k]]
-                part = pd.DataFrame({"query_id": ids[i], "id": names[order], "item_key": keys[order], "score": scores[i][order]})
-                both = pd.concat((best[i], part))
-                best[i] = both.iloc[np.lexsort((both["id"], -both["score"].round(9)))[:k]]
-        yield pd.concat(best) if best else pd.DataFrame(columns=["query_id", "id", "item_key", "score"])
+            near = np.round(exact, 9)
+            if own is not None:
+                near[own[:, None] == keys[None, :]] = -np.inf
+            n = min(k, len(frame))
+            last = np.partition(near, len(frame) - n, axis=1)[:, len(frame) - n : len(frame) - n + 1]
+            # all above the last one, then equals by id
+            take = np.argsort(np.where(near > last, 0, np.where(near == last, 1, 2)), axis=1, kind="stable")[:, :n]
+            both = [np.concatenate((a, b), axis=1) for a, b in ((far, np.take_along_axis(near, take, 1)), (score, np.take_along_axis(exact, take, 1)), (who, names[take]), (paper, keys[take]))]
+            order = np.lexsort((both[2], -both[0]), axis=1)[:, :k]
+            far, score, who, paper = (np.take_along_axis(x, order, 1) for x in both)
+        ok = np.isfinite(far)
+        yield pd.DataFrame({"query_id": np.repeat(ids, k).reshape(ok.shape)[ok], "id": who[ok], "item_key": paper[ok], "score": score[ok]})
+
+    return rows.select("id", "item_key", "embedding").mapInPandas(search, NEAREST)
+
+
+def _papers(rows: DataFrame, ids: np.ndarray, q: np.ndarray) -> DataFrame:
+    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                frame = frame.sort_values("item_key", kind="stable")
+                keys = frame["item_key"].to_numpy()
+                first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+                best = np.maximum.reduceat(q @ np.stack(frame["embedding"].to_numpy()).astype(float).T, first, axis=1)
+                yield pd.DataFrame({"query_id": np.repeat(ids, len(first)), "item_key": np.tile(keys[first], len(ids)), "score": best.reshape(-1)})
 
-    return rows.select("id", "item_key", "embedding").mapInPandas(search, "query_id long, id long, item_key string, score double")
+    return rows.select("id", "item_key", "embedding").mapInPandas(search, PAPERS)
 
 
 def best_per_paper(hits: DataFrame, tie: str) -> DataFrame:
@@ -135,6 +261,21 @@ def tiers(hits: DataFrame) -> DataFrame:
     return seen.withColumn("tier", tier).drop("n", "at", "high", "low")
 
 
+def hybrid(queries: DataFrame, dense_ranks: DataFrame, sparse_ranks: DataFrame, papers: DataFrame, k: int, fallback: int | None = None) -> DataFrame:
+    """query_id, item_key, score, rank, source, tier and the columns of papers (item_key, year and more): two rank lists
+    (query_id, item_key, rank) fused and tiered, the k best of the papers given.
+
+    Queries (query_id) without any get the newest `fallback` (k) papers, with score 0 and the lowest tier."""
+    fused = tiers(rrf(dense_ranks, sparse_ranks).withColumn("score", F.round("score", 9)))
+    found = ranked(fused.join(papers, "item_key"), k)
+    newest = papers.orderBy(F.desc("year"), F.desc("item_key")).limit(k if fallback is None else fallback)
+    # k rows
+    newest = newest.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("year"), F.desc("item_key"))))
+    without = queries.join(found.select("query_id").distinct(), "query_id", "left_anti").crossJoin(F.broadcast(newest))
+    rest = without.withColumns({"score": F.lit(0.0), "source": F.lit("recency"), "tier": F.lit("low")})
+    return found.unionByName(rest.select(*found.columns))
+
+
 def consolidated(lists: DataFrame, k: int = RRF) -> DataFrame:
     """External records of several ranked lists, one row a merge_key: fused score, missing fields filled in list order, most citations, all sources."""
     order = F.struct("list_order", "rank")

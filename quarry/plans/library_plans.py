@@ -275,21 +275,6 @@ def q6(s, d):
     return t.passages(s, d).select("query_id", F.explode(expand.decomposed(F.col("text"))).alias("part"))
 
 
-@entry("Q1_query_language", "SELECT item_id AS query_id, 'en' AS language FROM benchmark")
-def q1(s, d):
-    return t.passages(s, d).select("query_id", T.query_language(F.col("text")).alias("language"))
-
-
-@entry("Q9_terms", "SELECT doc_id, len(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]{3,}'), lambda x: x NOT IN ('the','and','for','with','from','that','this','are','was','of','in','on','to','by','an','a','is','as','at')))) AS n FROM documents")
-def q9(s, d):
-    return t.table(s, d, "documents").select("doc_id", F.size(expand.terms(F.col("text"))).cast("long").alias("n"))
-
-
-@entry("Q8_seed_queries")
-def q8(s, d):
-    return expand.seed_queries(t.items(s, d).select(F.col("doc_id").alias("query_id"), "title", F.col("tags").alias("keywords")))
-
-
 # --- aggregates, audits, diagnostics ---
 
 
@@ -330,13 +315,7 @@ CENTROIDS_SQL = ", x AS (SELECT item_key, unnest(e) AS x, generate_subscripts(e,
 
 @entry("A10_similar_papers", f"WITH {t.VECTORS}{CENTROIDS_SQL} SELECT a.item_key AS key_a, b.item_key AS key_b, round(list_cosine_similarity(a.c, b.c), 6) AS sim FROM c a JOIN c b ON a.item_key < b.item_key ORDER BY sim DESC, key_a, key_b LIMIT 10")
 def a10(s, d):
-    from quarry.functions.vectors import dot
-
-    # one row a paper: pairs of centroids are what is asked for
-    c = measure.centroids(t.vectors(s, d)).select("item_key", "centroid")
-    a, b = c.toDF("key_a", "ca"), c.toDF("key_b", "cb")
-    norm = lambda x: F.sqrt(dot(F.col(x), F.col(x)))
-    return a.join(F.broadcast(b), F.col("key_a") < F.col("key_b")).select("key_a", "key_b", F.round(dot(F.col("ca"), F.col("cb")) / (norm("ca") * norm("cb")), 6).alias("sim")).orderBy(F.desc("sim"), "key_a", "key_b").limit(10)
+    return measure.similar_papers(t.vectors(s, d), 10).select("key_a", "key_b", F.round("sim", 6).alias("sim"))
 
 
 @entry("A11_length_correlation", "SELECT round(corr(length(text), quality), 6) AS r FROM documents JOIN labels USING (doc_id)")
@@ -541,11 +520,6 @@ def t16(s, d):
     return t.table(s, d, "pages").select("page_id", F.md5(T.strip_html(F.col("html")).cast("binary")).alias("digest"))
 
 
-@entry("T18_json_fields", "SELECT event_type, count(*) AS n, count(props) AS with_props FROM events GROUP BY event_type")
-def t18(s, d):
-    return t.table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count("props").alias("with_props"))
-
-
 @entry("T22_escape_html", "SELECT page_id, length(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')) AS n FROM pages")
 def t22(s, d):
     return t.table(s, d, "pages").select("page_id", F.length(T.escape_html(F.col("html"))).cast("long").alias("n"))
@@ -560,13 +534,13 @@ def t25(s, d):
 CUES = {"supporting": ("the", "worthless"), "opposing": ("idiot", "ing"), "neutral": ("and",)}
 
 
-@entry("T13_stance", r"SELECT doc_id, p AS pos, n AS neg, CASE WHEN p > n AND p > u THEN 'supporting' WHEN n > p AND n > u THEN 'opposing' ELSE 'neutral' END AS stance FROM (SELECT doc_id, len(regexp_extract_all(lower(text), '\b(?:the|worthless)\b')) AS p, len(regexp_extract_all(lower(text), '\b(?:idiot|ing)\b')) AS n, len(regexp_extract_all(lower(text), '\b(?:and)\b')) AS u FROM documents WHERE lang = 'en')")
+@entry("T13_stance", r"SELECT doc_id, p AS pos, n AS neg, CASE WHEN p > n AND p > u THEN 'supporting' WHEN n > p AND n > u THEN 'opposing' ELSE 'neutral' END AS stance FROM (SELECT doc_id, len(regexp_extract_all(lower(text), '\b(?:the|worthless)\b')) AS p, len(regexp_extract_all(lower(text), '\b(?:idiot|ing)\b')) AS n, len(regexp_extract_all(lower(text), '\b(?:and)\b')) AS u FROM documents)")
 def t13(s, d):
-    x = t.table(s, d, "documents").filter("lang = 'en'").select("doc_id", T.stance_counts(F.col("text"), **CUES).alias("c"))
+    x = t.table(s, d, "documents").select("doc_id", T.stance_counts(F.col("text"), **CUES).alias("c"))
     return x.select("doc_id", F.col("c.pos").cast("long").alias("pos"), F.col("c.neg").cast("long").alias("neg"), T.stance(F.col("c")).alias("stance"))
 
 
-@entry("R21_arguments", r"SELECT stance, count(*) AS n FROM (SELECT CASE WHEN p > n AND p > u THEN 'supporting' WHEN n > p AND n > u THEN 'opposing' ELSE 'neutral' END AS stance FROM (SELECT len(regexp_extract_all(lower(text), '\b(?:the|worthless)\b')) AS p, len(regexp_extract_all(lower(text), '\b(?:idiot|ing)\b')) AS n, len(regexp_extract_all(lower(text), '\b(?:and)\b')) AS u FROM documents WHERE lang = 'en')) GROUP BY stance")
+@entry("R21_arguments", r"SELECT stance, count(*) AS n FROM (SELECT CASE WHEN p > n AND p > u THEN 'supporting' WHEN n > p AND n > u THEN 'opposing' ELSE 'neutral' END AS stance FROM (SELECT len(regexp_extract_all(lower(text), '\b(?:the|worthless)\b')) AS p, len(regexp_extract_all(lower(text), '\b(?:idiot|ing)\b')) AS n, len(regexp_extract_all(lower(text), '\b(?:and)\b')) AS u FROM documents)) GROUP BY stance")
 def r21(s, d):
     return t13(s, d).groupBy("stance").agg(F.count("*").alias("n"))
 

@@ -53,12 +53,10 @@ def r23(s, d):
     return t.chunks(s, d).filter("chunk_idx < 5").select("item_key", "chunk_idx", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@entry("R24_reading_note", f"WITH {t.HITS} SELECT item_key, query_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id, item_key ORDER BY round(score, 9) DESC, chunk_id) AS n FROM hits WHERE query_id < 6) WHERE n <= 3")
+@entry("R24_reading_note", f"WITH {t.HITS} SELECT item_key, query_id, chunk_id, n AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id, item_key ORDER BY round(score, 9) DESC, chunk_id) AS n FROM hits) WHERE n <= 3")
 def r24(s, d):
-    c = t.chunks(s, d)
-    hits = search.bm25(t.passages(s, d).filter("query_id < 6"), search.postings(c), search.totals(c))
     n = F.row_number().over(Window.partitionBy("query_id", "item_key").orderBy(F.round("score", 9).desc(), "chunk_id"))
-    return hits.withColumn("n", n).filter("n <= 3").select("item_key", "query_id", "chunk_id")
+    return r._hits(s, d).withColumn("place", n.cast("long")).filter("place <= 3").select("item_key", "query_id", "chunk_id", "place")
 
 
 @entry("F6_captioned", f"WITH {t.CHUNKS} SELECT chunk_id FROM chunks WHERE regexp_matches(text, '(?m)^\\s*(?:(?i:table|figure|fig\\.)\\s*\\d+)')")
@@ -71,20 +69,6 @@ def f13(s, d):
     return t.table(s, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.count(F.when(F.col("role") == "user", 1)).alias("u")).filter("u >= 1").drop("u")
 
 
-@entry("J5_cited_records")
-def j5(s, d):
-    c = chunking.chunked(t.pages(s, d))
-    refs = c.filter("kind = 'prose'").select("item_key", "chunk_idx", F.explode("table_refs").alias("ref"))
-    return refs.join(c.filter("kind = 'table'").select("item_key", "ref", F.col("text").alias("body")), ["item_key", "ref"])
-
-
-@entry("J6_reference_bridge")
-def j6(s, d):
-    c = chunking.chunked(t.pages(s, d)).filter("kind = 'prose'")
-    one = lambda kind: c.select("item_key", "chunk_idx", F.explode(f"{kind}_refs").alias("ref"), F.lit(kind).alias("kind"))
-    return one("table").union(one("figure"))
-
-
 @entry("A6_audit", f"WITH {t.CHUNKS} SELECT CASE WHEN length(text) < 200 THEN 'short' WHEN length(text) > 1200 THEN 'long' ELSE 'ok' END AS kind, count(*) AS n FROM chunks GROUP BY kind")
 def a6(s, d):
     n = F.length("text")
@@ -111,11 +95,6 @@ def a8(s, d):
     return one.select(F.round(intra / F.col("wp"), 6).alias("intra"), F.round((every - intra) / (pairs - F.col("wp")), 6).alias("inter"))
 
 
-@entry("A17_full_pipeline")
-def a17(s, d):
-    return measure.per_query(r._qrels(s, d), search.ranked(r._fused(s, d), 20))
-
-
 @entry("A33_chunk_grid", r"""WITH g AS (SELECT unnest([300, 600, 900]) AS size), b AS (SELECT length(text || chr(10)) AS n FROM documents WHERE length(regexp_replace(text, '^\s+|\s+$', '', 'g')) > 0) SELECT size, sum(greatest(0, ceil((n - size) / (size * 0.8))) + 1)::BIGINT AS n_windows FROM g, b GROUP BY size""")
 def a33(s, d):
     body = t.pages(s, d).filter(F.length(T.stripped("text")) > 0).select((F.length("text") + 1).alias("n"), F.explode(F.array(F.lit(300), F.lit(600), F.lit(900))).alias("size"))
@@ -181,11 +160,6 @@ def t12(s, d):
     return f.select("c_custkey", F.try_element_at("f", F.lit("title")).alias("title"), F.try_element_at("f", F.lit("year")).alias("year"))
 
 
-@entry("T4_surname", "SELECT c_custkey, 'Lee' AS a, 'Lee' AS b FROM customer")
-def t4(s, d):
-    return t.table(s, d, "customer").select("c_custkey", names.surname(F.lit("Ann Lee")).alias("a"), names.surname(F.lit("Lee, A.")).alias("b"))
-
-
 @entry("T17_inverted_index", r"SELECT item_id, array_to_string(string_split_regex(trim(text), '\s+'), ' ') AS text FROM benchmark")
 def t17(s, d):
     from quarry.sources.readers import abstract_from_index
@@ -232,14 +206,10 @@ def t27(s, d):
     return t.log(s, d).groupBy("strategy", formats.diagnosis(e).alias("cause")).agg(F.count("*").alias("n"))
 
 
-@entry("T3_snippet")
-def t3(s, d):
-    return t.table(s, d, "documents").select("doc_id", T.snippet(F.col("text")).alias("snippet"))
-
-
-@entry("X2_trace_lookup", f"WITH {t.LOG} SELECT trace_id, strategy, latency_ms FROM log WHERE trace_id = 17")
+@entry("X2_trace_lookup", f"WITH {t.LOG} SELECT trace_id, strategy, latency_ms FROM log WHERE trace_id IN (SELECT item_id FROM benchmark)")
 def x2(s, d):
-    return t.log(s, d).filter("trace_id = 17").select("trace_id", "strategy", "latency_ms")
+    ids = t.passages(s, d).select(F.col("query_id").alias("trace_id"))
+    return t.log(s, d).join(ids, "trace_id", "left_semi").select("trace_id", "strategy", "latency_ms")
 
 
 @entry("X4_golden_titles", f"{I} SELECT item_key, CASE WHEN contains(title, ':') THEN trim(split_part(title, ':', 1)) ELSE substr(title, 1, 80) END AS query FROM items WHERE length(title) >= 20")
@@ -248,11 +218,6 @@ def x4(s, d):
     return t.items(s, d).filter("length(title) >= 20").select("item_key", cut.alias("query"))
 
 
-@entry("X5_is_chinese", "SELECT count(*) AS n, 0 AS chinese FROM documents")
-def x5(s, d):
-    return t.table(s, d, "documents").agg(F.count("*").alias("n"), F.count(F.when(T.is_chinese(F.col("text")), 1)).cast("int").alias("chinese"))
-
-
 @entry("X13_to_json", f"WITH {t.LOG} SELECT trace_id, '{{\"strategy\":\"' || strategy || '\",\"success\":' || success || '}}' AS doc FROM log")
 def x13(s, d):
     return t.log(s, d).select("trace_id", F.to_json(F.struct("strategy", "success")).alias("doc"))

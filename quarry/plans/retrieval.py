@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as T
 from quarry.functions.vectors import dot
 from quarry.operators import chunking, measure, search
+from quarry.plans import made
 from quarry.plans import tables as t
 
 ENTRIES: dict = {}
@@ -21,13 +22,16 @@ def entry(name: str, sql: str | None = None):  # noqa: ANN201
     return add
 
 
-def _hits(s: SparkSession, d: str) -> DataFrame:
-    c = t.chunks(s, d)
-    return search.bm25(t.passages(s, d), search.postings(c), search.totals(c))
+#: Hits of a query that go into paper ranks, fusion and evaluation.
+BEST = 50
+
+
+def _hits(s: SparkSession, d: str, k: int | None = None, by: str = "chunk_id") -> DataFrame:
+    return search.bm25(t.passages(s, d), search.tokenised(t.chunks(s, d)), k, by)
 
 
 def _best(s: SparkSession, d: str) -> DataFrame:
-    return search.top(_hits(s, d), 50, "chunk_id")
+    return search.top(_hits(s, d, BEST), BEST, "chunk_id")
 
 
 def _papers(s: SparkSession, d: str) -> DataFrame:
@@ -67,9 +71,10 @@ def h14(s, d):
 
 @entry(
     "H15_chunk_tags",
-    f"""WITH {t.CHUNKS} SELECT chunk_id, 'en' AS language, n AS sentence_count, regexp_matches(text, '{chunking.CONJUNCTIONS}') AS starts_with_conjunction,
-  CASE WHEN length(text) < 40 OR n = 0 THEN 'incomplete' ELSE 'ok' END AS quality_flag
-  FROM (SELECT *, len(list_filter(string_split(regexp_replace(text, '([.!?;])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> ''))::INT AS n FROM chunks)""",
+    f"""WITH {t.CHUNKS}, c AS (SELECT *, len(regexp_extract_all(text, '[\\x{{4e00}}-\\x{{9fff}}]')) AS z, len(regexp_extract_all(text, '[A-Za-z]')) AS a, lower(regexp_replace(regexp_extract(text, '^\\S+'), '^[.!?;,:…，。！？；、：]+|[.!?;,:…，。！？；、：]+$', '', 'g')) AS w,
+  len(list_filter(string_split(regexp_replace(text, '([.!?;])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> ''))::INT AS n FROM chunks)
+  SELECT chunk_id, CASE WHEN z + a = 0 THEN 'en' WHEN z / (z + a) > 0.6 THEN 'zh' WHEN z / (z + a) < 0.1 THEN 'en' ELSE 'mixed' END AS language, n AS sentence_count,
+  w IN ('and', 'but', 'or', 'however', 'therefore', 'thus', 'moreover', 'furthermore', 'additionally', 'also', 'meanwhile') AS starts_with_conjunction, CASE WHEN length(text) < 40 OR n = 0 THEN 'incomplete' ELSE 'good' END AS quality_flag FROM c""",
 )
 def h15(s, d):
     return chunking.tagged(t.chunks(s, d)).select("chunk_id", "language", "sentence_count", "starts_with_conjunction", "quality_flag")
@@ -96,38 +101,55 @@ def h16(s, d):
 @entry(
     "H18_page_at",
     """WITH p AS (SELECT conv_id, turn, coalesce(sum(length(text) + 1) OVER w, 0) AS a, coalesce(sum(length(text) + 1) OVER w, 0) + length(text) + 1 AS b FROM conversations
-  WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT conv_id AS item_key, pos, turn AS page_num FROM (SELECT DISTINCT conv_id, unnest([0, 100, 400]) AS pos FROM conversations) JOIN p USING (conv_id) WHERE a <= pos AND pos < b""",
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+spots AS (SELECT conv_id, unnest(generate_series(0, max(b)::BIGINT - 1, 97)) AS pos FROM p GROUP BY conv_id)
+SELECT conv_id AS item_key, pos, turn AS page_num FROM spots JOIN p USING (conv_id) WHERE a <= pos AND pos < b""",
 )
 def h18(s, d):
+    """Places every 97 characters of each item."""
     p = t.turns(s, d).select(F.col("section_id").alias("item_key"), F.col("chunk_idx").alias("page_num"), "text")
-    at = p.select("item_key").distinct().withColumn("pos", F.explode(F.array(F.lit(0), F.lit(100), F.lit(400))))
-    return chunking.page_at(at, chunking.page_offsets(p))
+    offsets = chunking.page_offsets(p)
+    at = offsets.groupBy("item_key").agg(F.max("end").alias("end")).select("item_key", F.explode(F.expr("sequence(0L, end - 1, 97L)")).alias("pos"))
+    return chunking.page_at(at, offsets)
 
 
-@entry(
-    "H20_section_type",
-    """SELECT conv_id, turn, CASE WHEN l LIKE '%abstract%' THEN 'abstract' WHEN l LIKE '%introduction%' THEN 'introduction' WHEN l LIKE '%related work%' OR l LIKE '%literature%' THEN 'literature'
-  WHEN l LIKE '%method%' OR l LIKE '%material%' THEN 'methods' WHEN l LIKE '%data%' OR l LIKE '%study area%' THEN 'data' WHEN l LIKE '%result%' THEN 'results' WHEN l LIKE '%discussion%' THEN 'discussion'
-  WHEN l LIKE '%conclusion%' THEN 'conclusion' WHEN l LIKE '%acknowledg%' THEN 'acknowledgements' WHEN l LIKE '%references%' OR l LIKE '%bibliography%' THEN 'references' ELSE 'unknown' END AS section_type
-FROM (SELECT conv_id, turn, lower(text) AS l FROM conversations)""",
-)
+_TYPES = ", ".join(f"({i}, '{kind}', '{word}')" for i, (kind, words) in enumerate(chunking.SECTION_TYPES.items()) for word in words.split("|"))
+
+
+@entry("H20_section_type", f"WITH k AS (SELECT * FROM (VALUES {_TYPES}) AS v(o, kind, word)), h AS (SELECT conv_id, turn, lower(text) AS l FROM conversations UNION ALL SELECT -row_number() OVER (), 0, '3. ' || word || ' x' FROM k) SELECT conv_id, turn, coalesce((SELECT arg_min(kind, o) FROM k WHERE contains(l, word)), 'unknown') AS section_type FROM h")
 def h20(s, d):
-    return t.table(s, d, "conversations").select("conv_id", "turn", chunking.section_type(F.col("text")).alias("section_type"))
+    words = [word for every in chunking.SECTION_TYPES.values() for word in every.split("|")]
+    heads = s.createDataFrame([(-i - 1, 0, f"3. {w} x") for i, w in enumerate(words)], "conv_id long, turn int, text string")
+    rows = t.table(s, d, "conversations").select("conv_id", "turn", "text").union(heads)
+    return rows.select("conv_id", "turn", chunking.section_type(F.col("text")).alias("section_type"))
 
 
-@entry("H19_sections")
+SECTIONED = (
+    ("a", 0, "Some title and authors of this paper"), ("a", 1, "1. Introduction\nIt begins."), ("a", 2, "it goes on with words"), ("a", 3, "2.1 Study area\nHere."), ("a", 4, "2.1.3 Sampling design\nThere."), ("a", 5, "III. Results and findings"),
+    ("a", 6, "Chapter 4: Discussion"), ("a", 7, "§5 Conclusions"), ("a", 8, "参考文献"), ("a", 9, "（一）研究区域概况"), ("a", 10, "① 数据来源说明"), ("a", 11, "A. Data sources"), ("a", 12, "二、研究方法与数据"), ("a", 13, "12 345 678\nplain"),
+    ("b", 0, "3.\nplain text here"), ("b", 1, "more of it"), ("b", 2, "（二）\nand more"), ("c", 0, "nothing at all"), ("c", 1, "still nothing"),
+)
+SECTIONS = (
+    ("a", 0, "", "unknown", 1, None, 0, 0), ("a", 1, "Introduction", "introduction", 1, None, 1, 2), ("a", 2, "Study area", "methods", 2, 1, 3, 3), ("a", 3, "Sampling design", "unknown", 3, 2, 4, 4), ("a", 4, "Results and findings", "results", 1, None, 5, 5),
+    ("a", 5, "Discussion", "discussion", 1, None, 6, 6), ("a", 6, "Conclusions", "conclusion", 1, None, 7, 7), ("a", 7, "参考文献", "references", 1, None, 8, 8), ("a", 8, "研究区域概况", "methods", 1, None, 9, 9), ("a", 9, "数据来源说明", "methods", 1, None, 10, 10), ("a", 10, "Data sources", "methods", 1, None, 11, 11),
+    ("a", 11, "研究方法与数据", "methods", 1, None, 12, 13), ("b", 1, "3", "unknown", 1, None, 0, 1), ("b", 2, "二", "unknown", 1, None, 2, 2), ("c", 0, "", "unknown", 1, None, 0, 1),
+)
+
+
+@entry("H19_sections", made.values(SECTIONS, "item_key, section_idx, heading, section_type, level, parent_idx, chunk_start_idx, chunk_end_idx"))
 def h19(s, d):
-    return chunking.sections(t.chunks(s, d).withColumn("quality_flag", F.lit("ok")))
+    """The sections of made papers; of the driver's chunks, which have no headings but by chance, H22 maps each."""
+    rows = s.createDataFrame([(*x, "good") for x in SECTIONED], "item_key string, chunk_idx int, text string, quality_flag string")
+    return chunking.sections(rows)
 
 
-@entry("H22_section_map", f"WITH {t.CHUNKS} SELECT count(*) AS n FROM chunks")
+@entry("H22_section_map", f"WITH {t.CHUNKS} SELECT item_key, chunk_idx FROM chunks")
 def h22(s, d):
-    c = t.chunks(s, d)
-    return chunking.section_map(c, chunking.sections(c.withColumn("quality_flag", F.lit("ok")))).agg(F.count("*").alias("n"))
+    c = chunking.tagged(t.chunks(s, d))
+    return chunking.section_map(c, chunking.sections(c)).select("item_key", "chunk_idx")
 
 
-@entry("H23_enriched", f"WITH {t.ITEMS} SELECT item_key, md5('Keywords: ' || lang || ', ' || source || ' Title: ' || substr(trim(title), 1, 150) || CASE WHEN year > 0 THEN ' (' || year || ')' ELSE '' END || chr(10) || abstract) AS digest FROM items WHERE trim(title) <> ''")
+@entry("H23_enriched", f"WITH {t.ITEMS} SELECT item_key, md5('[Keywords: ' || lang || ', ' || source || '] [Title: ' || substr(trim(title), 1, 150) || CASE WHEN year > 0 THEN ' (' || year || ')' ELSE '' END || ']' || chr(10) || abstract) AS digest FROM items WHERE trim(title) <> ''")
 def h23(s, d):
     x = t.items(s, d).filter("trim(title) <> ''")
     out = chunking.enriched(F.col("abstract"), F.col("title"), F.col("year"), F.array_join("tags", ", "), F.lit("content"))
@@ -152,13 +174,12 @@ def r1(s, d):
 
 @entry("R2_bm25_build", f"WITH {t.POSTINGS} SELECT token, df, round(idf, 6) AS idf FROM idf")
 def r2(s, d):
-    c = t.chunks(s, d)
-    return search.idf(search.postings(c), search.totals(c)).select("token", "df", F.round("idf", 6).alias("idf"))
+    return search.idf(search.tokenised(t.chunks(s, d))).select("token", "df", F.round("idf", 6).alias("idf"))
 
 
 @entry("R3_bm25_topk", f"WITH {t.HITS} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM best WHERE rank <= 20")
 def r3(s, d):
-    return search.top(_hits(s, d), 20, "chunk_id").select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+    return search.top(_hits(s, d, 20), 20, "chunk_id").select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
 @entry("R12_paper_rank", f"WITH {t.HITS} SELECT query_id, item_key, rank FROM papers")
@@ -201,11 +222,6 @@ def r19(s, d):
     return search.best_per_paper(search.dense(t.vectors(s, d), q, 200, own="own"), "id").select("query_id", "item_key", "id", F.col("rank").cast("long").alias("rank"))
 
 
-@entry("R6_cosine", f"WITH {t.VECTORS} SELECT id, round(list_dot_product(e, e), 6) AS own FROM v")
-def r6(s, d):
-    return t.vectors(s, d).select("id", F.round(dot(F.col("embedding"), F.col("embedding")), 6).alias("own"))
-
-
 @entry("R22_recall_test", f"WITH {t.VECTORS}, r AS (SELECT query_id, own, item_key, row_number() OVER (PARTITION BY query_id ORDER BY round(list_dot_product(e, qe), 9) DESC, id) AS rank FROM v, vq) SELECT query_id, count(*) FILTER (WHERE own = item_key) AS own_hits, min(rank) FILTER (WHERE own = item_key) AS best_rank FROM r WHERE rank <= 20 GROUP BY query_id")
 def r22(s, d):
     q = t.vector_queries(s, d)
@@ -216,8 +232,7 @@ def r22(s, d):
 
 @entry("R13_multi_query", f"WITH {t.VECTORS}, r AS (SELECT query_id, item_key, w * list_dot_product(e, qe) AS score FROM v, vq, (SELECT unnest([1.0, 0.4, 0.2]) AS w)) SELECT query_id, item_key, round(max(score), 6) AS score FROM r GROUP BY ALL")
 def r13(s, d):
-    n = t.vectors(s, d).count()
-    hits = search.dense(t.vectors(s, d), t.vector_queries(s, d).select("query_id", "embedding"), n)
+    hits = search.dense_papers(t.vectors(s, d), t.vector_queries(s, d).select("query_id", "embedding"))
     weighed = hits.withColumn("weight", F.explode(F.array(F.lit(1.0), F.lit(0.4), F.lit(0.2))))
     return search.merged_queries(weighed).withColumn("score", F.round("score", 6))
 
@@ -248,8 +263,7 @@ def r14(s, d):
 )
 def r20(s, d):
     q = t.passages(s, d).select("query_id", F.posexplode(T.sentences(F.col("text"))).alias("i", "text")).filter("length(text) >= 10").select((F.col("query_id") * 1000 + F.col("i")).alias("query_id"), "text")
-    c = t.chunks(s, d)
-    per = search.bm25(q, search.postings(c), search.totals(c)).groupBy("query_id", "item_key").agg(F.max("score").alias("score"))
+    per = search.bm25(q, search.tokenised(t.chunks(s, d)), 5, "item_key")
     return search.top(per, 5, "item_key").select("query_id", "item_key", F.col("rank").cast("long").alias("rank"))
 
 
@@ -262,7 +276,7 @@ def r25(s, d):
 
 @entry("R10_within_item", f"WITH {t.HITS}, g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS r FROM hits) SELECT query_id, item_key, chunk_id, round(1 / (60 + row_number() OVER (PARTITION BY query_id, item_key ORDER BY r)), 6) AS score FROM g WHERE r <= 200")
 def r10(s, d):
-    held = search.top(_hits(s, d), 200, "chunk_id")
+    held = search.top(_hits(s, d, 200), 200, "chunk_id")
     place = F.row_number().over(Window.partitionBy("query_id", "item_key").orderBy("rank"))
     return held.select("query_id", "item_key", "chunk_id", F.round(1 / (search.RRF + place), 6).alias("score"))
 
@@ -292,13 +306,14 @@ metrics AS (SELECT query_id, CASE WHEN n = 0 THEN 1.0 ELSE h5 / n END AS recall5
 
 
 def _qrels(s: SparkSession, d: str) -> DataFrame:
-    """A passage's expected documents hold it verbatim. They share its first five words, which cuts the pairs to compare."""
-    head = lambda c: F.concat_ws(" ", F.slice(F.split(c, r"\s+"), 1, 5))
-    asked = t.passages(s, d).withColumn("head", head(F.col("text")))
+    """A passage's expected documents hold it verbatim, its first five words among theirs. Only places and keys meet on
+    those; texts are compared where the keys did."""
+    asked = t.passages(s, d).withColumn("head", F.xxhash64(F.array_join(F.slice(F.split("text", r"\s+"), 1, 5), " ")))
     words = F.split("text", r"\s+")
-    docs = t.pages(s, d).select("item_key", F.col("text").alias("body"), words.alias("w"))
-    at = docs.select("item_key", "body", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1))), lambda i: F.concat_ws(" ", F.slice("w", i, 5))))).alias("head"))
-    found = at.join(F.broadcast(asked), "head").filter(F.col("body").contains(F.col("text"))).select("query_id", "item_key").distinct()
+    runs = T.let(words, lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 4, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, 5), " ")))))
+    pages = t.pages(s, d)
+    at = pages.select("item_key", F.explode(runs).alias("head")).join(asked.select("query_id", "head"), "head").select("query_id", "item_key").distinct()
+    found = pages.select("item_key", F.col("text").alias("body")).join(at, "item_key").join(asked.select("query_id", "text"), "query_id").filter(F.col("body").contains(F.col("text"))).select("query_id", "item_key").distinct()
     return t.passages(s, d).select("query_id").join(found, "query_id", "left")
 
 
@@ -337,9 +352,3 @@ def a34(s, d):
     return measure.overlap(_shared(s, d), _papers(s, d), 10).select("query_id", F.round("overlap", 6).alias("overlap"), F.round("spearman", 6).alias("spearman"))
 
 
-@entry("R16_hybrid_search")
-def r16(s, d):
-    """Sparse and second-list ranks fused, tiered, joined with metadata, filtered by year, ten a query, fallback by recency."""
-    fused = search.tiers(_fused(s, d))
-    known = fused.join(t.items(s, d).select("item_key", "title", "year", "doi"), "item_key").filter("year >= 1995")
-    return search.ranked(known, 10).select("query_id", "item_key", "title", "year", "doi", F.round("score", 6).alias("score"), "rank", "source", "tier")

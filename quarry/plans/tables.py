@@ -38,7 +38,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chunking.merge_short(chunking.sliding(pages(spark, sf_dir)))
+    rows = chunking.sliding(pages(spark, sf_dir), short=chunking.SHORT)
     return rows.withColumn("chunk_id", F.concat_ws(":", "item_key", F.col("chunk_idx").cast("string")))
 
 

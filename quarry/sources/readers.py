@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 TRACE_SCHEMA = "trace_id string, ts string, query string, strategy string, success boolean, error string, latency_ms double, results array<struct<item_key: string, score: double, rank: int, source: string>>"
 QRELS_SCHEMA = "queries array<struct<query_id: string, query_text: string, expected_item_keys: array<string>, category: string, difficulty: string, notes: string>>"
@@ -72,33 +71,42 @@ def title_matches(seeds: DataFrame, works: DataFrame, least: float = 0.6) -> Dat
     return first.join(have, "word").filter(F.size(F.array_intersect("ws", "ww")) >= least * F.size("ws")).select("seed_id", "work_id").distinct()
 
 
-class RecordSource(DataSource):
-    """External bibliographic records (format "records"): a connector with an injected fetcher, or a fixture file offline.
-
-    Options: path, a JSON-lines file of records, and source, a name. Registered with spark.dataSource.register."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "records"
-
-    def schema(self) -> str:
-        return "source string, source_id string, rank int, title string, year int, doi string, citation_count long"
-
-    def reader(self, schema) -> DataSourceReader:  # noqa: ANN001
-        return _Records(self.options)
-
-
-class _Records(DataSourceReader):
-    def __init__(self, options: dict):
-        self.path, self.source = options["path"], options.get("source", "records")
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(0)]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        import json
-
-        with open(self.path) as lines:
-            for rank, line in enumerate(lines, 1):
-                x = json.loads(line)
-                yield self.source, x.get("id"), rank, x.get("title"), x.get("year") or 0, x.get("doi"), x.get("citations") or 0
+RECORD_SCHEMA = "id string, title string, year int, doi string, citations long"
+
+
+def records(spark: SparkSession, path: str, source: str = "records") -> DataFrame:
+    """source, source_id, rank, title, year, doi, citation_count of external records kept as JSON lines, in their order.
+
+    Each file is one list, as a service gave it; lines that can't be read are passed over."""
+    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split(F.trim("value"), "\r?\n")).alias("i", "line"))
+    rows = lines.select("i", F.from_json("line", RECORD_SCHEMA).alias("x")).filter(F.coalesce("x.id", "x.title").isNotNull())
+    return rows.select(F.lit(source).alias("source"), F.col("x.id").alias("source_id"), (F.col("i") + 1).alias("rank"), "x.title", F.coalesce("x.year", F.lit(0)).alias("year"), "x.doi", F.coalesce("x.citations", F.lit(0)).alias("citation_count"))
+
+
+WORK_SCHEMA = (
+    "id string, title string, display_name string, doi string, publication_year int, cited_by_count long, abstract string, abstract_inverted_index map<string, array<int>>,"
+    " authorships array<struct<author: struct<display_name: string>>>, primary_location struct<source: struct<display_name: string, host_organization_name: string>>, open_access struct<is_oa: boolean, oa_url: string>"
+)
+
+
+def works(raw: DataFrame) -> DataFrame:
+    """Nested work records (value: JSON) as flat ones: source, source_id, title, authors, year, doi, abstract, venue, publisher,
+    citation_count, is_open_access, oa_pdf_url. Missing values are empty, 0 or false."""
+    x = raw.select(F.from_json("value", WORK_SCHEMA).alias("x")).select("x.*")
+    some = lambda c: F.coalesce(c, F.lit(""))
+    names = F.filter(F.transform("authorships", lambda a: a["author"]["display_name"]), lambda n: some(n) != "")
+    place = F.col("primary_location.source")
+    return x.select(
+        F.lit("openalex").alias("source"),
+        some(F.col("id")).alias("source_id"),
+        some(F.coalesce("title", "display_name")).alias("title"),
+        F.coalesce(names, F.array().cast("array<string>")).alias("authors"),
+        F.coalesce("publication_year", F.lit(0)).alias("year"),
+        F.trim(F.replace(some(F.col("doi")), F.lit("https://doi.org/"), F.lit(""))).alias("doi"),
+        some(F.coalesce("abstract", abstract_from_index(F.col("abstract_inverted_index")))).alias("abstract"),
+        some(place["display_name"]).alias("venue"),
+        some(place["host_organization_name"]).alias("publisher"),
+        F.coalesce("cited_by_count", F.lit(0)).alias("citation_count"),
+        F.coalesce("open_access.is_oa", F.lit(False)).alias("is_open_access"),
+        some(F.col("open_access.oa_url")).alias("oa_pdf_url"),
+    )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.operators import search
+
 PARTS = 64
 
 
@@ -37,12 +39,12 @@ def save_manifest(manifest: DataFrame, path: str, model: str, chunking: str) ->
     manifest.select("item_key", "version", F.lit(model).alias("embedding_model"), F.lit(chunking).alias("chunking_version")).write.mode("overwrite").parquet(path)
 
 
-def write_index(posted: DataFrame, total: DataFrame, path: str) -> None:
-    """The sparse index: postings in folders by a hash of the token, and the totals."""
-    part = F.pmod(F.xxhash64("token"), F.lit(PARTS)).cast("int")
-    posted.withColumn("part", part).repartition("part").write.partitionBy("part").mode("overwrite").parquet(f"{path}/postings")
-    total.write.mode("overwrite").parquet(f"{path}/totals")
+def write_index(index: DataFrame, path: str) -> None:
+    """The sparse index (search.tokenised) as it lies, a row a chunk, and the weights of its tokens."""
+    index.write.mode("overwrite").parquet(f"{path}/chunks")
+    search.idf(index.sparkSession.read.parquet(f"{path}/chunks")).write.mode("overwrite").parquet(f"{path}/idf")
 
 
 def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/postings").drop("part"), spark.read.parquet(f"{path}/totals")
+    """What search.bm25 takes as index and known."""
+    return spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/idf")

@@ -30,8 +30,7 @@ def test_pdf_pages(spark, tmp_path):
 
 def test_records_source(spark, tmp_path):
     (tmp_path / "r.jsonl").write_text('{"id": "W1", "title": "A", "year": 2020}\n{"id": "W2", "title": "B", "doi": "10.1/b"}\n')
-    spark.dataSource.register(readers.RecordSource)
-    got = spark.read.format("records").option("path", str(tmp_path / "r.jsonl")).option("source", "works").load().orderBy("rank").collect()
+    got = readers.records(spark, str(tmp_path / "r.jsonl"), "works").orderBy("rank").collect()
     assert [(r.source, r.source_id, r["rank"], r.year) for r in got] == [("works", "W1", 1, 2020), ("works", "W2", 2, 0)]
 
 

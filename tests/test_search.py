@@ -1,9 +1,14 @@
 """Fusion, tiers, diversity and metrics."""
 
+import collections
+import random
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from quarry.operators import expand, library, measure, models, search
+from quarry.sources import sinks
 
 RANKS = "query_id long, item_key string, rank int"
 
@@ -19,11 +24,64 @@ def test_rrf_and_ties(spark):
 
 def test_negative_idf_is_floored(spark):
     chunks = spark.createDataFrame([("1", "a", "common rare"), ("2", "a", "common"), ("3", "a", "other words here")], "chunk_id string, item_key string, text string")
-    got = {r.token: r.idf for r in search.idf(search.postings(chunks), search.totals(chunks)).collect()}
+    got = {r.token: r.idf for r in search.idf(search.tokenised(chunks)).collect()}
     raw = {t: np.log(3 - n + 0.5) - np.log(n + 0.5) for t, n in (("common", 2), ("rare", 1), ("other", 1), ("words", 1), ("here", 1))}
     assert abs(got["common"] - 0.25 * np.mean(list(raw.values()))) < 1e-12
 
 
+def plain_bm25(queries, chunks):
+    """Scores by the formula, term by term."""
+    split = {c: re.findall("[a-z]{2,}", (x or "").lower()) for c, _, x in chunks}
+    n, mean = len(split), np.mean([len(x) for x in split.values()])
+    df = collections.Counter(t for x in split.values() for t in set(x))
+    raw = {t: np.log(n - d + 0.5) - np.log(d + 0.5) for t, d in df.items()}
+    idf = {t: r if r >= 0 else 0.25 * np.mean(list(raw.values())) for t, r in raw.items()}
+    out = {}
+    for q, text in queries:
+        for c, x in split.items():
+            out[q, c] = sum(idf[t] * x.count(t) * 2.5 / (x.count(t) + 1.5 * (0.25 + 0.75 * len(x) / mean)) for t in re.findall("[a-z]{2,}", text.lower()) if t in x)
+    return {k: v for k, v in out.items() if v > 0}
+
+
+def test_bm25(spark, tmp_path, monkeypatch):
+    """Against the formula: all hits, the best chunks, the best papers; in blocks and parts of queries; from a stored index."""
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefgh", k=2)) for _ in range(40)]
+    chunks = [(f"{i // 4}:{i % 4}", str(i // 4), None if i == 7 else " ".join(rng.choices(words, k=rng.randint(0, 30)))) for i in range(120)]
+    chunks += [("90:0", "90", chunks[0][2]), ("91:0", "91", chunks[0][2])]
+    queries = [(i, " ".join(rng.choices(words, k=rng.randint(1, 8)))) for i in range(9)] + [(50, "zzzz"), (51, "")]
+    want = plain_bm25(queries, chunks)
+    table = spark.createDataFrame(chunks, "chunk_id string, item_key string, text string").repartition(3)
+    asked = spark.createDataFrame(queries, "query_id long, text string")
+    sinks.write_index(search.tokenised(table), str(tmp_path))
+    index, known = sinks.read_index(spark, str(tmp_path))
+    for cells, part, block in ((search.CELLS, 128, 1024), (300, 2, 4)):
+        monkeypatch.setattr(search, "CELLS", cells)
+        monkeypatch.setattr(search.Weights, "PART", part)
+        monkeypatch.setattr(search, "QUERY_BLOCK", block)
+        got = {(r.query_id, r.chunk_id): r.score for r in search.bm25(asked, index, known=known).collect()}
+        assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)
+        for k in (1, 5, 200):
+            best = {(q, c) for q, _ in queries for c in sorted((c for p, c in want if p == q), key=lambda c: (-round(want[q, c], 9), c))[:k]}
+            assert {(r.query_id, r.chunk_id) for r in search.bm25(asked, search.tokenised(table), k).collect()} == best
+        papers = {}
+        for (q, c), x in want.items():
+            papers[q, c.split(":")[0]] = max(x, papers.get((q, c.split(":")[0]), 0))
+        best = {(q, i) for q, _ in queries for i in sorted((i for p, i in papers if p == q), key=lambda i: (-round(papers[q, i], 9), i))[:3]}
+        assert {(r.query_id, r.item_key) for r in search.bm25(asked, index, 3, "item_key", known).collect()} == best
+
+
+def test_similar_papers(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 5))
+    rows = spark.createDataFrame([(i, str(i % 9), v.tolist()) for i, v in enumerate(x)], "id long, item_key string, embedding array<double>").repartition(3)
+    c = np.array([x[i::9].mean(axis=0) for i in range(9)])
+    c /= np.linalg.norm(c, axis=1, keepdims=True)
+    pairs = sorted(((-round(float(c[a] @ c[b]), 6), str(a), str(b)) for a in range(9) for b in range(a + 1, 9)))[:4]
+    got = [(r.key_a, r.key_b, round(r.sim, 6)) for r in measure.similar_papers(rows, 4).collect()]
+    assert got == [(a, b, -s) for s, a, b in pairs]
+
+
 def test_tiers(spark):
     rows = [(1, f"k{i}", float(i)) for i in range(8)] + [(2, f"k{i}", float(i)) for i in range(3)]
     got = {(r.query_id, r.item_key): r.tier for r in search.tiers(spark.createDataFrame(rows, "query_id long, item_key string, score double")).collect()}
