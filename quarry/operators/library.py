@@ -133,3 +133,12 @@ def recommended(seeds: DataFrame, related: DataFrame, similar: DataFrame) -> Dat
 def with_files(items: DataFrame, files: DataFrame) -> DataFrame:
     """Items that have a file, with the url of the first (item_key, place, url)."""
     return items.join(files.groupBy("item_key").agg(F.min_by("url", "place").alias("url")), "item_key")
+
+
+def first_open(candidates: DataFrame, stages: list[str]) -> DataFrame:
+    """item_key, stage, url: of the places where an open copy may be (item_key, stage, url), the first stage that has a url.
+
+    Stages that aren't named don't count."""
+    place = F.array_position(F.array(*map(F.lit, stages)), F.col("stage"))
+    known = candidates.withColumn("place", place).filter((F.col("place") > 0) & (F.coalesce(F.trim("url"), F.lit("")) != ""))
+    return known.groupBy("item_key").agg(F.min_by(F.struct("stage", "url"), F.struct("place", "url")).alias("x")).select("item_key", "x.stage", "x.url")

@@ -11,7 +11,7 @@ from quarry.operators import chunking, expand, library, measure, search
 from quarry.plans import made
 from quarry.plans import retrieval as r
 from quarry.plans import tables as t
-from quarry.sources import readers
+from quarry.sources import readers, sinks
 
 ENTRIES: dict = {}
 I = f"WITH {t.ITEMS}"  # noqa: E741
@@ -248,3 +248,41 @@ def r16(s, d):
     dense = search.dense(v, v.select(F.col("id").alias("query_id"), "embedding").join(t.passages(s, d).select("query_id"), "query_id", "left_semi"), 50)
     out = search.hybrid(asked.select("query_id"), dense, sparse, t.items(s, d).filter("year >= 2015").select("item_key", "title", "year", "doi"), 10)
     return out.select("query_id", "item_key", "title", "year", "doi", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"), "source", "tier")
+
+
+@entry("K1_replace_in_store", f"WITH {t.CHUNKS} SELECT item_key, chunk_idx, md5(text) AS digest FROM chunks WHERE item_key NOT IN (SELECT doc_id::VARCHAR FROM documents WHERE doc_id % 10 = 3) UNION ALL SELECT doc_id::VARCHAR, 0, md5(text) FROM documents WHERE doc_id % 10 = 3")
+def k1(s, d):
+    """Through the sink: chunks are written, some items replaced, and the table is read back."""
+    path, work = sinks.scratch(s, "chunks"), sinks.scratch(s, "work")
+    parts = sinks.write_chunks(t.chunks(s, d).select("item_key", "chunk_idx", "text"), path, 8)
+    fresh = t.table(s, d, "documents").filter("doc_id % 10 = 3").select(F.col("doc_id").cast("string").alias("item_key"), F.lit(0).alias("chunk_idx"), "text")
+    sinks.replace_items(fresh, path, work, parts)
+    return s.read.parquet(path).select("item_key", "chunk_idx", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@entry("K5_stored_index", f"WITH {t.HITS} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM best WHERE rank <= 20")
+def k5(s, d):
+    """BM25 from the stored index."""
+    path = sinks.scratch(s, "index")
+    sinks.write_index(search.tokenised(t.chunks(s, d)), path)
+    index, known = sinks.read_index(s, path)
+    hits = search.top(search.bm25(t.passages(s, d), index, 20, known=known), 20, "chunk_id")
+    return hits.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+@entry("K6_traces", f"WITH {t.LOG} SELECT trace_id::VARCHAR AS trace_id, strategy, latency_ms FROM log WHERE trace_id IN (SELECT item_id FROM benchmark)")
+def k6(s, d):
+    """Traces appended in folders by day, in two batches, and found by id."""
+    path = sinks.scratch(s, "traces")
+    log = t.log(s, d).select(F.col("trace_id").cast("string").alias("trace_id"), "ts", "strategy", "latency_ms")
+    for batch in (log.filter("trace_id % 2 = 0"), log.filter("trace_id % 2 = 1")):
+        sinks.append_traces(batch, path)
+    ids = [str(r.query_id) for r in t.passages(s, d).select("query_id").collect()]
+    return sinks.find_traces(s, path, ids).select("trace_id", "strategy", "latency_ms")
+
+
+@entry("S24_open_access", "SELECT item_key, stage, url FROM (SELECT user_id::VARCHAR AS item_key, event_type AS stage, 'u' || event_id AS url, row_number() OVER (PARTITION BY user_id ORDER BY list_position(['signup', 'click', 'purchase'], event_type), 'u' || event_id) AS n FROM events WHERE event_type IN ('signup', 'click', 'purchase') AND event_id % 3 > 0) WHERE n = 1")
+def s24(s, d):
+    e = t.table(s, d, "events")
+    url = F.when(F.col("event_id") % 3 > 0, F.concat(F.lit("u"), F.col("event_id").cast("string"))).otherwise("")
+    return library.first_open(e.select(F.col("user_id").cast("string").alias("item_key"), F.col("event_type").alias("stage"), url.alias("url")), ["signup", "click", "purchase"])

@@ -26,6 +26,20 @@ def pdf_pages(spark: SparkSession, path: str, parse: Callable[[bytes], list[str]
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(pages, "item_key string, page_num int, text string")
 
 
+def pdf_outline(spark: SparkSession, path: str, parse: Callable[[bytes], list[tuple[int, str, int]]]) -> DataFrame:
+    """item_key (the file's name), place from 0, level, title, page of each outline entry, as `parse` reads them."""
+
+    def entries(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for name, content in zip(frame["path"], frame["content"], strict=True):
+                key = name.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+                rows += [(key, i, *x) for i, x in enumerate(parse(content))]
+            yield pd.DataFrame(rows, columns=["item_key", "place", "level", "title", "page"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(entries, "item_key string, place int, level int, title string, page int")
+
+
 def full_text(pages: DataFrame, most: int = 50) -> DataFrame:
     """item_key and its first pages under markers, with a note if there are more."""
     rows = pages.groupBy("item_key").agg(F.array_sort(F.collect_list(F.when(F.col("page_num") <= most, F.struct("page_num", "text")))).alias("p"), F.max("page_num").alias("last"))
@@ -41,7 +55,7 @@ def golden_queries(spark: SparkSession, path: str) -> DataFrame:
 
 def dictionary(spark: SparkSession, path: str) -> DataFrame:
     """term, expansion from a JSON object of lists."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     pairs = raw.select(F.explode(F.from_json("value", "map<string, array<string>>")).alias("term", "all"))
     return pairs.select("term", F.explode("all").alias("expansion"))
 
@@ -78,7 +92,7 @@ def records(spark: SparkSession, path: str, source: str = "records") -> DataFram
     """source, source_id, rank, title, year, doi, citation_count of external records kept as JSON lines, in their order.
 
     Each file is one list, as a service gave it; lines that can't be read are passed over."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split(F.trim("value"), "\r?\n")).alias("i", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.trim("value"), "\r?\n")).alias("i", "line"))
     rows = lines.select("i", F.from_json("line", RECORD_SCHEMA).alias("x")).filter(F.coalesce("x.id", "x.title").isNotNull())
     return rows.select(F.lit(source).alias("source"), F.col("x.id").alias("source_id"), (F.col("i") + 1).alias("rank"), "x.title", F.coalesce("x.year", F.lit(0)).alias("year"), "x.doi", F.coalesce("x.citations", F.lit(0)).alias("citation_count"))
 

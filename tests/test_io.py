@@ -3,6 +3,7 @@
 import datetime
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import library
@@ -82,3 +83,40 @@ def test_late_rows(spark):
     rows = logged(spark).withColumn("ts", F.when(F.col("trace_id") > 2, F.col("ts")))
     timed, without = traces.split_late(rows)
     assert timed.count() == 57 and without.count() == 3
+
+
+def test_folders_by_rows(spark, tmp_path, monkeypatch):
+    """More rows, more folders and tasks; an item is in one folder, however many rows it has."""
+    monkeypatch.setattr(sinks, "FOLDER_ROWS", 50)
+    monkeypatch.setattr(sinks, "TASK_ROWS", 20)
+    rows = [("hot" if i % 3 else f"k{i}", i, f"t{i}") for i in range(300)]
+    path = str(tmp_path / "c")
+    parts = sinks.write_chunks(spark.createDataFrame(rows, "item_key string, chunk_idx int, text string"), path)
+    assert parts == 6
+    got = spark.read.parquet(path)
+    assert sorted((r.item_key, r.chunk_idx, r.text) for r in got.collect()) == sorted(rows)
+    assert got.groupBy("item_key").agg(F.countDistinct("part").alias("n")).agg(F.max("n")).first()[0] == 1
+    assert len([x for x in got.inputFiles() if "/part=" in x]) > got.select("part").distinct().count()
+
+
+def test_traced(spark, tmp_path):
+    path = str(tmp_path / "t")
+    with sinks.Traced(spark, path, "a", "q", "hybrid"):
+        pass
+    with pytest.raises(KeyError), sinks.Traced(spark, path, "b", "q", "dense"):
+        raise KeyError("gone")
+    a, b = sinks.find_traces(spark, path, ["a"]).first(), sinks.find_traces(spark, path, ["b", "c"]).first()
+    assert a.success and a.error is None and a.latency_ms >= 0 and a.ts is not None
+    assert not b.success and b.error == "KeyError: 'gone'" and b.strategy == "dense"
+
+
+def test_outline(spark, tmp_path):
+    (tmp_path / "K1.pdf").write_bytes(b"1|Intro|1;2|Scope|2")
+    parse = lambda b: [(int(x), y, int(z)) for x, y, z in (e.split("|") for e in b.decode().split(";"))]
+    assert [tuple(r) for r in readers.pdf_outline(spark, str(tmp_path / "*.pdf"), parse).orderBy("place").collect()] == [("K1", 0, 1, "Intro", 1), ("K1", 1, 2, "Scope", 2)]
+
+
+def test_open_access(spark):
+    rows = [("a", "unpaywall", None), ("a", "arxiv", "u1"), ("a", "pmc", "u2"), ("b", "core", ""), ("c", "other", "u3")]
+    got = library.first_open(spark.createDataFrame(rows, "item_key string, stage string, url string"), ["unpaywall", "pmc", "arxiv", "core"])
+    assert sorted(tuple(r) for r in got.collect()) == [("a", "pmc", "u2")]

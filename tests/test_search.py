@@ -98,6 +98,50 @@ def test_mmr(spark):
     assert [r.id for r in search.mmr(hits, relevance_weight=0).orderBy("mmr_rank").collect()] == [0, 1, 2, 3, 4, 5, 9]
 
 
+def plain_mmr(rows, weight=0.6, most=3, penalty=0.1):
+    """The same choice, one row at a time."""
+    rows = sorted(rows, key=lambda r: (-r[3], r[1]))
+    s = [r[3] for r in rows]
+    rel = {r[1]: (r[3] - min(s)) / (max(s) - min(s)) if max(s) > min(s) else 1.0 for r in rows}
+    out = []
+    while True:
+        best = None
+        for r in rows:
+            n = sum(o[2] == r[2] for o in out)
+            if r in out or n >= most:
+                continue
+            near = max([0.0, *(float(np.dot(r[4], o[4])) for o in out)])
+            value = weight * rel[r[1]] - (1 - weight) * near - ((n - 1) * penalty if n >= 2 else 0)
+            if best is None or round(value, 12) > best[0]:
+                best = (round(value, 12), r)
+        if best is None:
+            return [r[1] for r in out]
+        out.append(best[1])
+
+
+def test_mmr_by_brute_force(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for q in range(4):
+        x = rng.normal(size=(25, 3))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        rows += [(q, i, f"p{rng.integers(0, 7)}", float(rng.integers(0, 8)) / 8, v.tolist()) for i, v in enumerate(x)]
+    hits = spark.createDataFrame(rows, "query_id long, id long, item_key string, score double, embedding array<double>")
+    got = {}
+    for r in search.mmr(hits).orderBy("query_id", "mmr_rank").collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    assert got == {q: plain_mmr([r for r in rows if r[0] == q]) for q in range(4)}
+
+
+def test_hybrid(spark):
+    """Two lists fused and tiered; a query without papers gets the newest."""
+    dense = spark.createDataFrame([(1, "a", 1), (1, "b", 2)], RANKS)
+    sparse = spark.createDataFrame([(1, "b", 1), (1, "c", 2), (2, "z", 1)], RANKS)
+    papers = spark.createDataFrame([("a", 2001), ("b", 2002), ("c", 2003)], "item_key string, year int")
+    got = search.hybrid(spark.createDataFrame([(1,), (2,)], "query_id long"), dense, sparse, papers, 2).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.item_key, r.source, r.tier) for r in got] == [(1, "b", "hybrid", "high"), (1, "a", "semantic", "medium"), (2, "c", "recency", "low"), (2, "b", "recency", "low")]
+
+
 def test_dense_is_exact(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 8))
