@@ -62,8 +62,16 @@ def sliding(pages: DataFrame, size: int = SIZE, step: int = STEP, short: int = 0
     body = F.concat(F.col("text"), F.lit("\n"))
 
     def cut(body: Column) -> Column:
-        n = F.greatest(F.lit(1), F.ceil((F.length(body) - size) / step) + 1)
-        every = F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), lambda k: F.struct(k.alias("chunk_idx"), T.stripped(F.substr(body, k * step + 1, F.lit(size))).alias("text")))
+        # a place in a string is found from its start, so long texts are cut into parts of some windows first
+        n = F.greatest(F.lit(1), F.ceil((F.length(body) - size) / step) + 1).cast("int")
+        group = F.ceil(F.sqrt(n)).cast("int")
+
+        def windows(first: Column) -> Column:
+            last = F.least(first + group, n) - 1
+            part = F.substr(body, first * step + 1, group * step + size)
+            return T.let(part, lambda p: F.transform(F.sequence(first, last), lambda k: F.struct(k.alias("chunk_idx"), T.stripped(F.substr(p, (k - first) * step + 1, F.lit(size))).alias("text"))))
+
+        every = F.flatten(F.transform(F.sequence(F.lit(0), n - 1, group), windows))
         return F.filter(every, lambda x: x["text"] != "")
 
     def merged(w: Column) -> Column:

@@ -10,6 +10,7 @@ from quarry.functions.vectors import dot
 from quarry.operators import chunking, measure, search
 from quarry.plans import made
 from quarry.plans import tables as t
+from quarry.sources import sinks
 
 ENTRIES: dict = {}
 
@@ -26,8 +27,29 @@ def entry(name: str, sql: str | None = None):  # noqa: ANN201
 BEST = 50
 
 
-def _hits(s: SparkSession, d: str, k: int | None = None, by: str = "chunk_id") -> DataFrame:
-    return search.bm25(t.passages(s, d), search.tokenised(t.chunks(s, d)), k, by)
+#: Where the sparse index of a folder's documents is stored, by the session and the files as they are.
+_stored: dict[tuple, str] = {}
+
+
+def stored_index(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The sparse index of all chunks and its tokens' weights, built once for the documents as they are and then read."""
+    jvm, conf = s.sparkContext._jvm, s.sparkContext._jsc.hadoopConfiguration()
+    stamp = [s.sparkContext.applicationId, d]
+    for name in sorted(t.table(s, d, "documents").inputFiles()):
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        stamp += [name, status.getModificationTime(), status.getLen()]
+    key = tuple(stamp)
+    if key not in _stored:
+        path = sinks.scratch(s, "index")
+        sinks.write_index(search.tokenised(t.chunks(s, d)), path)
+        _stored[key] = path
+    return sinks.read_index(s, _stored[key])
+
+
+def _hits(s: SparkSession, d: str, k: int | None = None, by: str = "chunk_id", asked: DataFrame | None = None) -> DataFrame:
+    index, known = stored_index(s, d)
+    return search.bm25(t.passages(s, d) if asked is None else asked, index, k, by, known)
 
 
 def _best(s: SparkSession, d: str) -> DataFrame:
@@ -263,7 +285,7 @@ def r14(s, d):
 )
 def r20(s, d):
     q = t.passages(s, d).select("query_id", F.posexplode(T.sentences(F.col("text"))).alias("i", "text")).filter("length(text) >= 10").select((F.col("query_id") * 1000 + F.col("i")).alias("query_id"), "text")
-    per = search.bm25(q, search.tokenised(t.chunks(s, d)), 5, "item_key")
+    per = _hits(s, d, 5, "item_key", q)
     return search.top(per, 5, "item_key").select("query_id", "item_key", F.col("rank").cast("long").alias("rank"))
 
 

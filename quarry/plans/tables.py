@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import chunking
+from quarry.session import spread
 
 TYPES = ("attachment", "note", "annotation", "article", "book", "thesis", "report")
 
@@ -34,7 +35,8 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("item_key"), F.lit(1).alias("page_num"), "text")
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return documents.select(F.col("doc_id").cast("string").alias("item_key"), F.lit(1).alias("page_num"), "text")
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -241,8 +241,7 @@ def r16(s, d):
     """Sparse ranks of the passages and dense ranks of their vectors, fused, tiered, joined with metadata and filtered by year,
     ten a query; the newest papers for a query (-1, of no known word) that has none."""
     asked = t.passages(s, d).union(s.createDataFrame([(-1, "漢")], "query_id long, text string"))
-    index = search.tokenised(t.chunks(s, d))
-    hits = search.top(search.bm25(asked, index, r.BEST), r.BEST, "chunk_id")
+    hits = search.top(r._hits(s, d, r.BEST, asked=asked), r.BEST, "chunk_id")
     sparse = search.best_per_paper(hits, "chunk_id").select("query_id", "item_key", "rank")
     v = t.vectors(s, d).withColumn("item_key", F.col("id").cast("string"))
     dense = search.dense(v, v.select(F.col("id").alias("query_id"), "embedding").join(t.passages(s, d).select("query_id"), "query_id", "left_semi"), 50)
