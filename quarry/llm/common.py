@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.session import spread
+
 #: A side with at most this many narrow rows is broadcast; a larger one is joined by shuffling.
 BROADCAST_ROWS = 200_000
 
@@ -31,7 +33,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name == "documents" else df
 
 
 #: Arrow's own pool keeps what was freed; the system's gives it back.
